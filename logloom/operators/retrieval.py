@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -207,7 +208,13 @@ def _blocks(
     right = corpus.select("item_id", *corpus_columns, block("item_id", n_corpus).alias("_c")).withColumn(
         "_q", all_blocks(n_query)
     )
-    return left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInPandas(cell, schema)
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        types = {"query_id": a.schema.field("query_id").type, "item_id": b.schema.field("item_id").type}
+        found = cell(a.to_pandas(), b.to_pandas())
+        return pa.table({c: pa.array(found[c].tolist(), types.get(c, pa.float64())) for c in found.columns})
+
+    return left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInArrow(run, schema)
 
 
 def keyword_search(
