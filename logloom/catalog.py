@@ -173,8 +173,13 @@ def _stats(spark: SparkSession, d: str) -> DataFrame:
     return ad.block_event_stats(_events(spark, d))
 
 
+def _counts(spark: SparkSession, d: str) -> DataFrame:
+    """Counts for queries that sum them anyway."""
+    return ad.event_counts(_events(spark, d))
+
+
 def _anom(spark: SparkSession, d: str) -> DataFrame:
-    return ad.anomaly_blocks(_stats(spark, d))
+    return ad.anomaly_blocks(_counts(spark, d))
 
 
 def _asof(spark: SparkSession, d: str):
@@ -287,19 +292,19 @@ def ingested_stats(spark, d):
 
 @register("wide_messages", "stats", "SELECT batch_id, block_id, event_id, cnt FROM stats")
 def wide_messages(spark, d):
-    wide = features.pivot_counts(_stats(spark, d), E, ("batch_id", "block_id"))
+    wide = features.pivot_counts(_counts(spark, d), E, ("batch_id", "block_id"))
     sent = wide.select(F.to_json(F.struct("batch_id", "block_id", *T4)).alias("value"))
     return features.unpivot_counts(logs.decode_wide(sent), E)
 
 
 @register("block_features", "feats", "SELECT * FROM feats")
 def block_features(spark, d):
-    return features.pivot_counts(_stats(spark, d), E)
+    return features.pivot_counts(_counts(spark, d), E)
 
 
 @register("long_counts", "stats", "SELECT block_id, event_id, CAST(sum(cnt) AS BIGINT) AS cnt FROM stats GROUP BY 1, 2")
 def long_counts(spark, d):
-    return features.unpivot_counts(features.pivot_counts(_stats(spark, d), E), E)
+    return features.unpivot_counts(features.pivot_counts(_counts(spark, d), E), E)
 
 
 @register(
@@ -308,7 +313,7 @@ def long_counts(spark, d):
     f"SELECT block_id, {_pairs()} AS by_event, {_pairs(order='count')} AS by_count FROM feats",
 )
 def event_arrays(spark, d):
-    wide = features.pivot_counts(_stats(spark, d), E)
+    wide = features.pivot_counts(_counts(spark, d), E)
     return wide.select(
         "block_id",
         features.event_text(features.event_array(E)).alias("by_event"),
@@ -324,7 +329,7 @@ def event_arrays(spark, d):
     + "], lambda x: x IS NOT NULL), '\n') AS events FROM feats",
 )
 def event_lines(spark, d):
-    wide = features.pivot_counts(_stats(spark, d), E)
+    wide = features.pivot_counts(_counts(spark, d), E)
     return wide.select("block_id", features.event_lines(features.event_array(E), ad.TEMPLATES).alias("events"))
 
 
@@ -366,7 +371,7 @@ def label_encoding(spark, d):
 
 @register("first_blocks", "feats", f"SELECT block_id, {_cols(T4)} FROM feats ORDER BY block_id LIMIT 25")
 def first_blocks(spark, d):
-    wide = features.pivot_counts(_stats(spark, d), T4)
+    wide = features.pivot_counts(_counts(spark, d), T4)
     return ordering.first_rows(wide, 25, ["block_id"])
 
 
@@ -386,7 +391,7 @@ def drop_last_pct(spark, d):
 
 @register("event_distribution", "stats", "SELECT event_id, CAST(sum(cnt) AS BIGINT) AS total_count FROM stats GROUP BY 1")
 def event_distribution(spark, d):
-    return aggregates.event_distribution(_stats(spark, d))
+    return aggregates.event_distribution(_counts(spark, d))
 
 
 @register(
@@ -402,7 +407,7 @@ def event_distribution_recent(spark, d):
 
 @register("total_blocks", "stats", "SELECT count(DISTINCT block_id) AS total_blocks FROM stats")
 def total_blocks(spark, d):
-    return aggregates.total_blocks(_stats(spark, d))
+    return aggregates.total_blocks(_counts(spark, d))
 
 
 @register(
@@ -441,7 +446,7 @@ _SUMMARY = """SELECT (SELECT count(DISTINCT block_id) FROM stats) AS total_block
         FROM ({_SUMMARY.format(hours=72)})""",
 )
 def analyze_summary(spark, d):
-    return reports.analysis_summary(_stats(spark, d), _anom(spark, d), _asof(spark, d), 72 * 3600)
+    return reports.analysis_summary(_counts(spark, d), _anom(spark, d), _asof(spark, d), 72 * 3600)
 
 
 @register(
@@ -463,7 +468,7 @@ def analyze_top(spark, d):
         (SELECT *, round((1 - anomaly_count / total_blocks) * 100, 1) AS p FROM ({_SUMMARY.format(hours=24)}))""",
 )
 def health(spark, d):
-    return reports.system_health(_stats(spark, d), _anom(spark, d), _asof(spark, d), 24 * 3600)
+    return reports.system_health(_counts(spark, d), _anom(spark, d), _asof(spark, d), 24 * 3600)
 
 
 _RISK = "CASE WHEN row_count > 50 THEN 'high' WHEN row_count > 20 THEN 'medium' ELSE 'normal' END AS risk"
@@ -520,7 +525,7 @@ def batch_anomalies(spark, d):
     "top_events_per_block", "feats", _TOP_EVENTS.format(keys="block_id", part="block_id", src="feats", n=2)
 )
 def top_events_per_block(spark, d):
-    return an.top_events(features.pivot_counts(_stats(spark, d), E), E, n=2)
+    return an.top_events(features.pivot_counts(_counts(spark, d), E), E, n=2)
 
 
 _LISTED = f"""SELECT block_id, anomaly_score, {_cols(E)} FROM anom WHERE detected_at >= (SELECT t FROM moment) - INTERVAL 24 HOUR
@@ -569,7 +574,7 @@ def listed_event_totals(spark, d):
 )
 def severity_tiers(spark, d):
     score = F.col("anomaly_score")
-    return ad.scored_blocks(_stats(spark, d)).select(
+    return ad.scored_blocks(_counts(spark, d)).select(
         "batch_id",
         "block_id",
         tiers.severity(score).alias("severity"),
@@ -622,12 +627,12 @@ _TOUCHED = f"SELECT block_id, {_sums(E)}, max(last_updated) AS last_updated FROM
 
 @register("incremental_features", "stats", _TOUCHED)
 def incremental_features(spark, d):
-    return batches.incremental_features(_stats(spark, d), _mark())
+    return batches.incremental_features(_counts(spark, d), _mark())
 
 
 @register("incremental_features_large", "stats", _TOUCHED)
 def incremental_features_large(spark, d):
-    return batches.incremental_features(_stats(spark, d), _mark(), broadcast_blocks=0)
+    return batches.incremental_features(_counts(spark, d), _mark(), broadcast_blocks=0)
 
 
 @register(
@@ -638,12 +643,12 @@ def incremental_features_large(spark, d):
 )
 def incremental_anomalies(spark, d):
     scorer = lambda f: f.withColumn("anomaly_score", ad.score_expression())
-    return batch_jobs.score_incremental(_stats(spark, d), scorer, _mark(), threshold=0.1)
+    return batch_jobs.score_incremental(_counts(spark, d), scorer, _mark(), threshold=0.1)
 
 
 @register("high_water_mark", "stats", "SELECT max(last_updated) AS mark FROM stats")
 def high_water_mark(spark, d):
-    return batches.high_water_mark(_stats(spark, d))
+    return batches.high_water_mark(_counts(spark, d))
 
 
 @register("best_per_block", "best", f"SELECT block_id, batch_id, {_cols(T4)}, anomaly_score, detected_at FROM best")
@@ -723,7 +728,7 @@ def export_rows(spark, d):
 
 @register("anomaly_scores", "scored", "SELECT batch_id, block_id, anomaly_score FROM scored")
 def anomaly_scores(spark, d):
-    return ad.scored_blocks(_stats(spark, d)).select("batch_id", "block_id", "anomaly_score")
+    return ad.scored_blocks(_counts(spark, d)).select("batch_id", "block_id", "anomaly_score")
 
 
 # A small net with two hidden units over the four codes, and the same as SQL.
@@ -739,7 +744,7 @@ _NET_SQL = """round(1 / (1 + exp(-(-0.75 + 1.25 * greatest(0, 0.5 - 0.5*E5 + 1.5
 
 @register("network_scores", "feats", f"SELECT block_id, {_NET_SQL} AS score FROM feats")
 def network_scores(spark, d):
-    wide = features.pivot_counts(_stats(spark, d), T4)
+    wide = features.pivot_counts(_counts(spark, d), T4)
     score = scoring.network_score([F.col(e) for e in T4], NET)
     return wide.select("block_id", F.round(score, 6).alias("score"))
 
@@ -752,7 +757,7 @@ def network_scores(spark, d):
        greatest(count(*) FILTER (WHERE anomaly_score > 0.3) - 10, 0) AS not_listed FROM scored""",
 )
 def detection_summary(spark, d):
-    return model.detection_summary(ad.scored_blocks(_stats(spark, d)), 0.3)
+    return model.detection_summary(ad.scored_blocks(_counts(spark, d)), 0.3)
 
 
 @register(
@@ -764,7 +769,7 @@ def detection_summary(spark, d):
 )
 def detection_list(spark, d):
     order = [F.desc("anomaly_score"), F.col("block_id"), F.col("batch_id")]
-    return model.detection_list(ad.scored_blocks(_stats(spark, d)), 0.3, order=order)
+    return model.detection_list(ad.scored_blocks(_counts(spark, d)), 0.3, order=order)
 
 
 @register(
@@ -775,7 +780,7 @@ def detection_list(spark, d):
     + f" END AS template, n AS count FROM (SELECT block_id, anomaly_score, unnest({T4}) AS event_id, unnest([{_cols(T4)}]) AS n FROM anom WHERE anomaly_score > 0.8) WHERE n > 0",
 )
 def detected_events(spark, d):
-    found = training.detect_events(ad.scored_blocks(_stats(spark, d)), 0.8, dict(ad.TEMPLATES))
+    found = training.detect_events(ad.scored_blocks(_counts(spark, d)), 0.8, dict(ad.TEMPLATES))
     return found.select("block_id", "probability", F.inline("events"))
 
 
@@ -789,7 +794,7 @@ def _by_feature(select: str) -> str:
     _by_feature("SELECT '{e}' AS feature, round(avg({e}), 8) AS mean, round(stddev_pop({e}), 8) AS std FROM feats"),
 )
 def scaler_stats(spark, d):
-    stats = scoring.scaler_stats(features.pivot_counts(_stats(spark, d), E), E)
+    stats = scoring.scaler_stats(features.pivot_counts(_counts(spark, d), E), E)
     return stats.select("feature", F.round("mean", 8).alias("mean"), F.round("std", 8).alias("std"))
 
 
@@ -800,7 +805,7 @@ def scaler_stats(spark, d):
     f"(SELECT {', '.join(f'avg({e}) AS m{e}, stddev_pop({e}) AS s{e}' for e in T4)} FROM feats) s",
 )
 def scaled_features(spark, d):
-    wide = features.pivot_counts(_stats(spark, d), E)
+    wide = features.pivot_counts(_counts(spark, d), E)
     scaled = scoring.Scaler.fit(wide, E).apply(wide)
     return scaled.select("block_id", *[F.round(f"z_{e}", 6).alias(f"z_{e}") for e in [*T4, "E1"]])
 

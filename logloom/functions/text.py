@@ -27,8 +27,8 @@ def block_id(line: Column, lenient: bool = False) -> Column:
     Strict: null when there is none. Lenient: also ``blk123`` and ``blk-123``,
     and ``'unknown'`` when there is none.
     """
-    found = F.regexp_extract(line, LENIENT_BLOCK if lenient else STRICT_BLOCK, 1)
-    return F.when(found != "", found).otherwise(F.lit("unknown") if lenient else F.lit(None))
+    found = F.nullif(F.regexp_extract(line, LENIENT_BLOCK if lenient else STRICT_BLOCK, 1), F.lit(""))
+    return F.coalesce(found, F.lit("unknown")) if lenient else found
 
 
 def has_error_word(line: Column) -> Column:

@@ -22,14 +22,20 @@ def block_event_matrix(
     single aggregation, so there is one shuffle, of partial counts, and no
     explode. A block whose lines match nothing keeps its all-zero row. A block
     with a large share of the lines is folded before the shuffle.
+
+    Lines without a block are dropped as one group at the end: a filter on the
+    block would be pushed down and search every line for the block twice.
     """
     known = dict(templates)
     ids = event_order(known)
     text = F.col(line)
     flags = lines.select(
         tx.block_id(text).alias("block_id"), *[matches(text, known[e], mode).alias(e) for e in ids]
-    ).where(F.col("block_id").isNotNull())
-    return flags.groupBy("block_id").agg(*[F.count_if(e).alias(e) for e in ids])
+    )
+    counts = flags.groupBy("block_id").agg(
+        F.count("block_id").alias("_lines"), *[F.count_if(e).alias(e) for e in ids]
+    )
+    return counts.where(F.col("_lines") > 0).drop("_lines")
 
 
 def pivot_counts(

@@ -11,18 +11,16 @@ from ..functions.tiers import anomaly_type, label_target
 from ..schemas import DEFAULT_EVENTS
 
 
-def unique_labels(labels: DataFrame) -> DataFrame:
-    """One label per block; a block listed more than once is an anomaly if any row says so."""
-    return labels.groupBy("block_id").agg(F.min("label").alias("label"))
-
-
 def with_default_labels(
     features: DataFrame, labels: DataFrame, event_ids: Sequence[str]
 ) -> DataFrame:
-    """Label every block: Fail for a known anomaly, else Success (J2); failed blocks get a type."""
-    named = unique_labels(labels).withColumnRenamed("label", "_label")
-    joined = features.join(named, "block_id", "left")
-    failed = F.coalesce(F.col("_label") == "Anomaly", F.lit(False))
+    """Label every block: Fail for a known anomaly, else Success (J2); failed blocks get a type.
+
+    A block listed more than once is an anomaly if any of its rows says so.
+    """
+    known = labels.groupBy("block_id").agg(F.bool_or(F.col("label") == "Anomaly").alias("_failed"))
+    joined = features.join(known, "block_id", "left")
+    failed = F.coalesce(F.col("_failed"), F.lit(False))
     return joined.select(
         "block_id",
         F.when(failed, "Fail").otherwise("Success").alias("label"),

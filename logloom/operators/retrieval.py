@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from collections import deque
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -223,9 +225,9 @@ def keyword_search(
 ) -> DataFrame:
     """Pairs ``query_id, item_id`` where any word of the query occurs in the document.
 
-    A word may be part of a longer one and case does not matter. A question is
-    one alternation of its words, tested in one pass over the documents; too
-    many questions for that are met block by block.
+    A word may be part of a longer one and case does not matter. All questions
+    are tested in one pass over the documents by plain substring search; too
+    many for that are met block by block.
     """
     words = queries.select("query_id", F.array_distinct(F.transform(keywords(F.col("text")), F.lower)).alias("words"))
     asked = words.where(F.size("words") > 0)
@@ -238,12 +240,14 @@ def keyword_search(
             ["words"], ["text"],
         )
     kind = queries.schema["query_id"].dataType.simpleString()
-    hits = F.array_compact(
-        F.array(
-            *[F.when(F.col(text).rlike("(?i)" + "|".join(r.words)), F.lit(r.query_id)) for r in small]
-        )
-    ) if small else F.array()
-    return docs.select(F.explode(hits.cast(f"array<{kind}>")).alias("query_id"), F.col(key).alias("item_id"))
+    folded = docs.select(F.col(key).alias("item_id"), F.lower(text).alias("_text"))
+
+    def asked_for(words: list[str]) -> Column:
+        return reduce(or_, [F.col("_text").contains(w) for w in words])
+
+    hits = [F.when(asked_for(r.words), F.lit(r.query_id)) for r in small]
+    found = F.array_compact(F.array(*hits)) if hits else F.array()
+    return folded.select(F.explode(found.cast(f"array<{kind}>")).alias("query_id"), "item_id")
 
 
 def _word_cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
