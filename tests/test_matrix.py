@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from logloom.operators import features as ft
 from logloom.operators import labels as lb
@@ -112,4 +111,3 @@ def test_labels_default(spark, values):
     features = spark.createDataFrame([("a", 1)], "block_id string, E5 long")
     labels = spark.createDataFrame([("a", None)], "block_id string, label string")
     assert values(lb.with_default_labels(features, labels, ["E5"])) == [("a", "Success", None, 1)]
-    assert F is not None
