@@ -1129,7 +1129,7 @@ _ROUTE = """CASE WHEN regexp_matches({t}, '(?i)intent: *data') THEN 'data' WHEN
     WHEN {t} LIKE '%异常%' THEN 'diagnosis' WHEN {t} LIKE '%数据%' OR {t} LIKE '%训练%' OR {t} LIKE '%模型%' THEN 'data' WHEN {t} LIKE '%启动服务%' THEN 'monitor'
     WHEN {t} LIKE '%配置%' OR {t} LIKE '%清理%' OR {t} LIKE '%重启服务%' THEN 'ops' ELSE 'general' END"""
 _CONF = """CASE WHEN regexp_matches({t}, '(?i)intent: *(data|monitor)')
-    THEN coalesce(least(1.0::DOUBLE, try_cast(nullif(regexp_extract({t}, 'CONFIDENCE: *([0-9.]+)', 1), '') AS DOUBLE)), 0.7)
+    THEN CASE WHEN {t} LIKE '%CONFIDENCE: %' THEN CAST(regexp_extract({t}, 'CONFIDENCE: *([0-9.]+)', 1) AS DOUBLE) ELSE 0.7 END
     WHEN {r} = 'general' THEN 0.5 ELSE 0.6 END"""
 
 

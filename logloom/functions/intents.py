@@ -131,7 +131,8 @@ def route(text: Column) -> Column:
     """Routing intent and confidence, as ``struct<intent, confidence>``."""
     tag = F.lower(F.regexp_extract(text, r"(?i:INTENT):\s*([\p{L}\p{N}_]+)", 1))
     given = F.regexp_extract(text, r"CONFIDENCE:\s*([\d.]+)", 1).try_cast("double")
-    confidence = F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), given)), F.lit(0.7))
+    clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), given))
+    confidence = F.when(given.isNotNull(), clamped).otherwise(F.lit(0.7))
     low = F.lower(text)
 
     def tagged(intent: Column, value: Column) -> Column:
