@@ -77,8 +77,8 @@ VARIABLES = [
 
 
 def mask_variables(line: Column) -> Column:
-    """Replace addresses, dates and ids by ``<*>`` so equal lines fold together."""
-    out = line
-    for pattern in VARIABLES:
-        out = F.regexp_replace(out, pattern, "<*>")
-    return out
+    """Replace addresses, dates and ids by ``<*>`` so equal lines fold together.
+
+    One alternation, so a line is searched once.
+    """
+    return F.regexp_replace(line, "|".join(VARIABLES), "<*>")

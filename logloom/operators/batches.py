@@ -1,4 +1,4 @@
-"""Incremental and pending work, and batch deletion."""
+"""Incremental and pending work, and batch deletion."""
 
 from __future__ import annotations
 
@@ -95,11 +95,3 @@ def delete_all_batches(
         raise ValueError(f"more than {limit} batches: delete them in groups")
     ids = [r[0].split("=", 1)[1] for r in names]
     return delete_batches(spark, tables, ids, confirm)
-
-
-def clear_leaderboard(board: DataFrame, path: str, confirm: bool = False) -> None:
-    """Replace the stored board by an empty one."""
-    if not confirm:
-        raise ValueError("clearing the leaderboard needs confirm=True")
-    empty = board.sparkSession.createDataFrame([], board.schema)
-    empty.write.mode("overwrite").parquet(path)

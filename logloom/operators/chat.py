@@ -42,28 +42,29 @@ def recent_error(messages: DataFrame, n: int = 10) -> DataFrame:
 
 
 def routed(messages: DataFrame) -> DataFrame:
-    """Route of every conversation by its last user message and any open confirmation."""
-    last = messages.select("conv_id").distinct().join(last_user_message(messages), "conv_id", "left")
-    joined = last.join(pending_operations(messages), "conv_id", "left")
-    text = F.col("text")
-    confirmed = F.coalesce(intents.is_confirmation(text), F.lit(False))
-    pending = F.coalesce(F.col("pending"), F.lit(""))
-    auto = intents.route(text)
+    """Route of every conversation by its last user message and any open confirmation.
+
+    Both are found in one aggregation, folded before the shuffle.
+    """
+    role, turn, body = F.col("role"), F.col("turn"), F.col("text")
+    spoken = F.when(role.isin(USER_ROLES), turn)
+    asked = F.when(role.isin(ASSISTANT_ROLES) & intents.asks_confirmation(body), turn)
+    last = messages.groupBy("conv_id").agg(
+        F.max(spoken).alias("turn"),
+        F.max_by("text", spoken).alias("text"),
+        F.coalesce(F.max_by(intents.pending_operation(body), asked), F.lit("")).alias("pending"),
+    )
+    confirmed = F.coalesce(intents.is_confirmation(body), F.lit(False))
 
     def verdict(intent: str, confidence: float):
         return F.struct(F.lit(intent).alias("intent"), F.lit(confidence).alias("confidence"))
 
     decision = (
-        F.when(F.coalesce(text, F.lit("")) == "", verdict("general", 0.5))
-        .when(confirmed & (pending != ""), verdict("ops", 1.0))
+        F.when(F.coalesce(body, F.lit("")) == "", verdict("general", 0.5))
+        .when(confirmed & (F.col("pending") != ""), verdict("ops", 1.0))
         .when(confirmed, verdict("general", 0.8))
-        .otherwise(auto)
+        .otherwise(intents.route(body))
+    )
+    return last.withColumn("is_confirmation", confirmed).withColumn("_route", decision).select(
+        "conv_id", "turn", "text", "is_confirmation", "pending", "_route.intent", "_route.confidence"
     )
-    return joined.select(
-        "conv_id",
-        "turn",
-        "text",
-        confirmed.alias("is_confirmation"),
-        pending.alias("pending"),
-        decision.alias("decision"),
-    ).select("*", "decision.intent", "decision.confidence").drop("decision")

@@ -1,4 +1,4 @@
-"""The table of the highest-scoring blocks."""
+"""The table of the highest-scoring blocks."""
 
 from __future__ import annotations
 

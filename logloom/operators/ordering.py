@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sizing import rows_if_small
+
 
 def first_rows(df: DataFrame, n: int, order_by: Sequence[str | Column]) -> DataFrame:
     return df.orderBy(*order_by).limit(n)
@@ -81,25 +83,33 @@ def rank_in_time(
     df: DataFrame,
     time: str,
     ties: Sequence[str],
-    groups: Sequence[str] = (),
-    slot_seconds: int = 60,
+    group: str | None = None,
     name: str = "position",
+    slot_seconds: int = 60,
+    max_group_rows: int = 1_000_000,
+    max_hot: int = 10_000,
 ) -> DataFrame:
-    """Exact 1-based position by time within each group, without one task per group.
+    """Exact 1-based position by time, overall or within each group, without a huge task.
 
-    Rows are numbered inside (group, minute) and shifted by the number of rows
-    in the group's earlier minutes. Only those counts, one per minute, are
-    ordered per group.
+    Groups are counted first. The rows of a group with more than
+    ``max_group_rows`` are numbered inside each minute and shifted by the number
+    of rows in the group's earlier minutes; only those counts, one per minute,
+    are ordered per group. All other groups are numbered directly.
     """
-    slot = df.withColumn("_slot", F.floor(epoch_seconds(df, time) / slot_seconds))
-    keys = [*groups, "_slot"]
-    sizes = slot.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    before = Window.partitionBy(*groups).orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
-    inside = Window.partitionBy(*keys).orderBy(time, *ties)
-    numbered = slot.withColumn("_inside", F.row_number().over(inside))
-    return (
-        numbered.join(offsets, keys)
-        .withColumn(name, (F.col("_before") + F.col("_inside")).cast("bigint"))
-        .select(*df.columns, name)
-    )
+    grouped = df.withColumn("_group", F.col(group) if group else F.lit(0))
+    large = grouped.groupBy("_group").agg(F.count("*").alias("n")).where(F.col("n") > max_group_rows)
+    hot = rows_if_small(large.select("_group"), max_hot)
+    if not hot and hot is not None:
+        order = Window.partitionBy("_group").orderBy(time, *ties)
+        return grouped.withColumn(name, F.row_number().over(order).cast("bigint")).drop("_group")
+    busy = F.col("_group").isin([r[0] for r in hot]) if hot is not None else F.lit(True)
+    slot = F.when(busy, F.floor(epoch_seconds(df, time) / slot_seconds)).otherwise(F.lit(0))
+    slotted = grouped.withColumn("_slot", slot)
+    keys = ["_group", "_slot"]
+    sizes = slotted.where(busy).groupBy(*keys).agg(F.count("*").alias("_rows"))
+    before = Window.partitionBy("_group").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, F.sum("_rows").over(before).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(time, *ties))
+    numbered = slotted.withColumn("_inside", inside).join(offsets, keys, "left")
+    position = (F.coalesce("_before", F.lit(0)) + F.col("_inside")).cast("bigint")
+    return numbered.withColumn(name, position).select(*df.columns, name)

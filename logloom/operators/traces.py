@@ -25,7 +25,7 @@ def block_traces(
     events = lines.select(
         tx.block_id(text).alias("block_id"), time, tie, F.explode(all_matches(text, templates)).alias("event_id")
     ).where(F.col("block_id").isNotNull())
-    return rank_in_time(events, time, [tie, "event_id"], ["block_id"])
+    return rank_in_time(events, time, [tie, "event_id"], "block_id")
 
 
 def masked_templates(lines: DataFrame, line: str = "line") -> DataFrame:

@@ -1,4 +1,4 @@
-"""A small stored leaderboard, replaced per run or micro-batch."""
+"""A small stored leaderboard, replaced per run or micro-batch (O2, ST5, N3)."""
 
 from __future__ import annotations
 
@@ -75,3 +75,15 @@ def update_board(
     slot = held.get(version, (held[max(older)] + 1) % SLOTS if older else 0)
     # At most n rows, so one small file.
     board.coalesce(1).write.mode("overwrite").parquet(f"{path}/slot={slot}")
+
+
+def clear_board(spark: SparkSession, path: str, mark_path: str | None = None, confirm: bool = False) -> None:
+    """Forget the board with its details, and the mark up to which scores were taken."""
+    if not confirm:
+        raise ValueError("clearing the leaderboard needs confirm=True")
+    rows = _stored(spark, path)
+    if rows is not None:
+        spark.createDataFrame([], rows.schema).write.mode("overwrite").partitionBy("slot").parquet(path)
+    marks = _stored(spark, mark_path) if mark_path else None
+    if marks is not None:
+        spark.createDataFrame([], marks.schema).write.mode("overwrite").parquet(mark_path)

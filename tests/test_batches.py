@@ -8,7 +8,7 @@ from logloom.operators import batches as bt
 from logloom.plans import batch_jobs as bj
 from logloom.schemas import DEFAULT_EVENTS
 from logloom.session import scratch_dir
-from logloom.streaming.board import read_board, update_board
+from logloom.streaming.board import clear_board, read_board, update_board
 
 
 def scorer(df):
@@ -110,14 +110,16 @@ def test_deletes_need_confirmation_and_drop_partitions(spark):
     assert [spark.table(t).count() for t in tables] == [0, 0]
 
 
-def test_clearing_a_board(spark, tmp_path):
-    path = str(tmp_path / "b")
-    df = spark.createDataFrame([("a",)], "block_id string")
-    df.write.parquet(path)
+def test_clearing_a_board(spark, stats, tmp_path):
+    where = [str(tmp_path / n) for n in ("anomalies", "board", "mark")]
+    start = datetime(2020, 1, 1)
+    first = bj.run_incremental(stats, *where, scorer, start, threshold=0.2)
     with pytest.raises(ValueError):
-        bt.clear_leaderboard(df, path)
-    bt.clear_leaderboard(df, path, confirm=True)
-    assert spark.read.schema(df.schema).parquet(path).count() == 0
+        clear_board(spark, where[1])
+    clear_board(spark, where[1], where[2], confirm=True)
+    assert read_board(spark, where[1]) is None
+    assert bj.run_incremental(stats, *where, scorer, start, threshold=0.2) == first
+    assert read_board(spark, where[1]).count() == 10
 
 
 def test_scratch_folder_follows_the_session(spark):
