@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import keywords
-from ..session import scratch_dir
+from ..session import written_once
 from ..sizing import rows_if_small
 
 # Chunk size, overlap and separators in the order they are tried.
@@ -262,12 +262,6 @@ def _word_cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"query_id": [q for q, _ in pairs], "item_id": [i for _, i in pairs]})
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
-    """The rows of ``df``, computed once into a table."""
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def retrieve_with_fallback(
     queries: DataFrame,
     corpus: DataFrame,
@@ -281,12 +275,10 @@ def retrieve_with_fallback(
     ``queries(query_id, text, embedding)``; result ``query_id, source, rank,
     item_id, score``.
     """
-    spark = queries.sparkSession
-    # Both results are read twice; the scans behind them should run once.
-    similar = written(topk_similar(queries, corpus, k, min_score), scratch_dir(spark, "similar"))
+    similar = written_once(topk_similar(queries, corpus, k, min_score), "similar")
     answered = similar.select("query_id").distinct()
     rest = queries.select("query_id", "text").join(answered, "query_id", "left_anti")
-    found = written(keyword_search(rest, docs, key), scratch_dir(spark, "words"))
+    found = written_once(keyword_search(rest, docs, key), "words")
     none = rest.select("query_id").join(found.select("query_id").distinct(), "query_id", "left_anti")
     item = similar.schema["item_id"].dataType.simpleString()
     vector = similar.select("query_id", F.lit("vector").alias("source"), "rank", "item_id", "score")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.patterns import Template, all_matches, first_match
 from ..schemas import event_order
+from ..session import written_once
 from .ordering import rank_in_time
 
 
@@ -19,13 +20,13 @@ def block_traces(
     """Events of every block in time order: ``block_id, position, event_id, time``.
 
     One row per event instead of one array per block, so a block may have any
-    number of events.
+    number of events. The lines are parsed once, into a narrow table.
     """
     text = F.col("line")
     events = lines.select(
         tx.block_id(text).alias("block_id"), time, tie, F.explode(all_matches(text, templates)).alias("event_id")
     ).where(F.col("block_id").isNotNull())
-    return rank_in_time(events, time, [tie, "event_id"], "block_id")
+    return rank_in_time(written_once(events, "traces"), time, [tie, "event_id"], "block_id")
 
 
 def masked_templates(lines: DataFrame, line: str = "line") -> DataFrame:
@@ -53,11 +54,9 @@ def row_windows(
 ) -> DataFrame:
     """Template counts per run of ``size`` consecutive lines."""
     ids = event_order(dict(templates))
-    numbered = rank_in_time(lines.select(time, tie, "line"), time, [tie])
-    matched = numbered.select(
-        F.floor((F.col("position") - 1) / size).alias("window_no"),
-        first_match(F.col("line"), templates).alias("event_id"),
-    )
+    parsed = lines.select(time, tie, first_match(F.col("line"), templates).alias("event_id"))
+    numbered = rank_in_time(written_once(parsed, "rows"), time, [tie])
+    matched = numbered.withColumn("window_no", F.floor((F.col("position") - 1) / size))
     return matched.groupBy("window_no").agg(
         F.count("*").alias("lines"), *[F.count_if(F.col("event_id") == e).alias(e) for e in ids]
     )

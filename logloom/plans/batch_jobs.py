@@ -16,7 +16,7 @@ from ..operators.batches import incremental_features, pending_batches
 from ..operators.features import pivot_counts
 from ..operators.leaderboard import leaderboard
 from ..schemas import DEFAULT_EVENTS
-from ..session import scratch_dir
+from ..session import written_once
 from ..sizing import lookup, rows_if_small
 from ..sources.sinks import append_anomalies
 from ..streaming.board import read_board, update_board
@@ -90,9 +90,7 @@ def process_offline_batches(
     else:
         batches = pending_batches(stats, stored(spark, ledger_path, LEDGER))
     # The list is written down first: batches arriving meanwhile must stay pending.
-    fixed = scratch_dir(spark, "pending")
-    batches.write.parquet(fixed)
-    batches = spark.read.parquet(fixed)
+    batches = written_once(batches, "pending")
     append_anomalies(score_batches(stats, batches, scorer, threshold, event_ids), anomalies_path)
     batches.write.mode("append").parquet(ledger_path)
     return batches

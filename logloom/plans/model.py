@@ -23,7 +23,7 @@ from ..operators.training import (
     train_model,
 )
 from ..schemas import DEFAULT_EVENTS
-from ..session import scratch_dir
+from ..session import written_once
 
 
 def detection_summary(scored: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -87,12 +87,9 @@ def train_and_evaluate(
     The split is written to the shared scratch folder once: scaling, weighting,
     fitting and judging all read it, and a lost executor does not redo it.
     """
-    spark = training.sparkSession
     known = training.where(F.col("target").isNotNull())
-    folder = scratch_dir(spark, "split")
     split = stratified_split(known, "target", seed=seed, strata=can_stratify(known, "target"))
-    split.write.parquet(folder)
-    parts = spark.read.parquet(folder)
+    parts = written_once(split, "split")
     model = train_model(parts.where("part = 'train'").drop("part"), event_ids, seed=seed, **options)
     if path:
         save_model(model, path)
@@ -102,5 +99,5 @@ def train_and_evaluate(
         model,
         classification_report(judged),
         confusion(judged),
-        feature_importance(spark, model, event_ids),
+        feature_importance(training.sparkSession, model, event_ids),
     )

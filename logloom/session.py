@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "logloom", master: str | None = None, **conf: str) -> SparkSession:
@@ -41,3 +41,15 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         base = tempfile.gettempdir()
     return f"{base.rstrip('/')}/logloom-{purpose}-{uuid.uuid4().hex}"
+
+
+def written_once(df: DataFrame, purpose: str) -> DataFrame:
+    """The rows of ``df`` from a table in the scratch folder, so that what made them runs once.
+
+    For results that are read several times and cost much more to make than to
+    read back; a lost executor does not make them again.
+    """
+    spark = df.sparkSession
+    path = scratch_dir(spark, purpose)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
