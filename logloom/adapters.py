@@ -119,8 +119,8 @@ def block_labels(events: DataFrame) -> DataFrame:
 
 
 def score_expression() -> Column:
-    total = sum((F.col(e) * F.lit(w) for e, w in WEIGHTS.items()), F.lit(BIAS)) / F.lit(10.0)
-    return F.round(1 / (1 + F.exp(-total)), 6)
+    total = " + ".join([*(f"{e} * {w}" for e, w in WEIGHTS.items()), str(BIAS)])
+    return F.expr(f"round(1 / (1 + exp(-(({total}) / 10D))), 6)")
 
 
 def scored_blocks(stats: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import sqltext as sq
 from ..functions.tiers import severity
 from ..schemas import DEFAULT_EVENTS
 from .features import event_array, unpivot_counts
@@ -71,7 +72,7 @@ def top_events(
 
     The counts of a row sit in its columns, so no window and no shuffle is needed.
     """
-    largest = F.greatest(*[F.col(e) for e in event_ids], F.lit(0))
+    largest = F.expr(f"greatest({', '.join(map(sq.name, event_ids))}, 0)")
     keep = [c for c in df.columns if c not in event_ids]
     shaped = df.select(
         *keep,

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import sqltext as sq
 from ..functions import text as tx
 from ..functions.patterns import Template, matches
 from ..sizing import literal_lookup
@@ -49,7 +50,7 @@ def pivot_counts(
     Conditional sums in one aggregation, so it also runs on a stream.
     """
     sums = [
-        F.coalesce(F.sum(F.when(F.col("event_id") == e, F.col("cnt"))), F.lit(0)).cast("bigint").alias(e)
+        F.expr(f"coalesce(sum(CASE WHEN event_id = {sq.text(e)} THEN cnt END), 0L) AS {sq.name(e)}")
         for e in event_ids
     ]
     return stats.groupBy(*keys).agg(*sums, *extra)
@@ -73,22 +74,14 @@ def event_array(event_ids: Sequence[str] = DEFAULT_EVENTS, by_count: bool = Fals
 
     In event order, or by falling count with ties in event order.
     """
-    entries = F.array(
-        *[
-            F.struct(
-                (-F.col(e)).alias("rank") if by_count else F.lit(i).cast("bigint").alias("rank"),
-                F.lit(i).alias("position"),
-                F.lit(e).alias("event_id"),
-                F.col(e).alias("count"),
-            )
-            for i, e in enumerate(event_ids)
-        ]
-    )
-    present = F.filter(entries, lambda x: x["count"] > 0)
-    ordered = F.array_sort(present) if by_count else present
-    return F.transform(
-        ordered, lambda x: F.struct(x["event_id"].alias("event_id"), x["count"].alias("count"))
+    entries = ", ".join(
+        f"struct({f'-{sq.name(e)}' if by_count else i} AS rank, {i} AS position, {sq.text(e)} AS event_id, "
+        f"{sq.name(e)} AS count)"
+        for i, e in enumerate(event_ids)
     )
+    present = f"filter(array({entries}), x -> x.count > 0)"
+    ordered = f"array_sort({present})" if by_count else present
+    return F.expr(f"transform({ordered}, x -> struct(x.event_id AS event_id, x.count AS count))")
 
 
 def event_text(events: Column, style: str = "pair") -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import sqltext as sq
 from ..functions.tiers import anomaly_type, label_target
 from ..schemas import DEFAULT_EVENTS
 
@@ -50,11 +51,11 @@ def matrix_differences(
     a, b = mine.alias("a"), other.alias("b")
     joined = a.join(b, F.col("a.block_id") == F.col("b.block_id"))
 
-    def differs(e: str):
-        return F.coalesce(F.col(f"a.{e}") != F.col(f"b.{e}"), F.lit(True))
-
-    sums = joined.agg(F.count("*").alias("common_blocks"), *[F.count_if(differs(e)).alias(e) for e in event_ids])
-    totalled = sums.withColumn("total", sum((F.col(e) for e in event_ids), F.lit(0)))
+    differing = [
+        F.expr(f"count_if(coalesce(a.{sq.name(e)} <> b.{sq.name(e)}, true)) AS {sq.name(e)}") for e in event_ids
+    ]
+    sums = joined.agg(F.count("*").alias("common_blocks"), *differing)
+    totalled = sums.withColumn("total", F.expr(" + ".join(map(sq.name, event_ids))))
     return totalled.unpivot(["common_blocks"], [*event_ids, "total"], "event_id", "mismatches")
 
 

@@ -10,21 +10,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import sqltext as sq
 from ..schemas import DEFAULT_EVENTS
 
 
 def scaler_stats(df: DataFrame, columns: Sequence[str] = DEFAULT_EVENTS) -> DataFrame:
     """Mean and population deviation per column, one row per column, in one pass."""
     wide = df.agg(
-        *[F.avg(c).alias(f"{c}_mean") for c in columns], *[F.stddev_pop(c).alias(f"{c}_std") for c in columns]
+        *[F.expr(f"struct({sq.text(c)} AS feature, avg({sq.name(c)}) AS mean, stddev_pop({sq.name(c)}) AS std) AS {sq.name(c)}") for c in columns]
     )
-    entries = F.array(
-        *[
-            F.struct(F.lit(c).alias("feature"), F.col(f"{c}_mean").alias("mean"), F.col(f"{c}_std").alias("std"))
-            for c in columns
-        ]
-    )
-    return wide.select(F.inline(entries))
+    return wide.select(F.inline(F.array(*columns)))
 
 
 @dataclass(frozen=True)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import sqltext as sq
 from ..schemas import DEFAULT_EVENTS
 
 
@@ -37,7 +38,7 @@ def write_matrix(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 def export_rows(df: DataFrame, event_ids: Sequence[str] = DEFAULT_EVENTS) -> DataFrame:
     """Flat rows for a CSV download: event columns as whole numbers, bad values 0."""
     fix = {
-        e: F.coalesce(F.col(e).cast("string").try_cast("double").cast("bigint"), F.lit(0))
+        e: F.expr(f"coalesce(cast(try_cast(cast({sq.name(e)} AS string) AS double) AS bigint), 0L)")
         for e in event_ids
         if e in df.columns
     }

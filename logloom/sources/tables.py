@@ -8,6 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import sqltext as sq
 from ..operators.features import unpivot_counts
 from ..operators.labels import join_training
 from ..schemas import DEFAULT_EVENTS, LABELS
@@ -34,7 +35,8 @@ def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def _with_counts(df: DataFrame, event_ids: Sequence[str]) -> DataFrame:
-    counts = {e: F.col(e).try_cast("double").cast("bigint") for e in event_ids if e in df.columns}
+    present = [e for e in event_ids if e in df.columns]
+    counts = {e: F.expr(f"cast(try_cast({sq.name(e)} AS double) AS bigint)") for e in present}
     return df.withColumns(counts)
 
 
