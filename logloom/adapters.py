@@ -9,9 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.once import computed_once
 from .functions.patterns import Template
 from .operators.anomalies import above
 from .operators.features import pivot_counts
+from .operators.labels import join_training
 from .operators.scoring import linear_score
 from .schemas import DEFAULT_EVENTS
 
@@ -69,12 +71,8 @@ def log_lines(events: DataFrame) -> DataFrame:
         .otherwise(F.lit("session opened"))
     )
     prefix = _text(F.date_format("ts", "yyMMdd HHmmss"), " ", (F.col("event_id") % 1000).cast("string"))
-    return events.select(
-        F.col("event_id").alias("line_no"),
-        "ts",
-        _batch(F.col("ts")).alias("batch_id"),
-        _text(prefix, " INFO store.Node: ", message).alias("line"),
-    )
+    keep = [F.col("event_id").alias("line_no"), "ts", _batch(F.col("ts")).alias("batch_id")]
+    return computed_once(events, keep, line=_text(prefix, " INFO store.Node: ", message))
 
 
 def _code() -> Column:
@@ -137,8 +135,6 @@ def anomaly_blocks(stats: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def labelled_training(events: DataFrame) -> DataFrame:
     """``block_id, label, target, E1..`` of the labelled blocks."""
-    from .operators.labels import join_training
-
     features = pivot_counts(event_counts(events), DEFAULT_EVENTS)
     labels = block_labels(events).withColumn(
         "label", F.when(F.col("label") == "Anomaly", "Fail").otherwise("Success")
@@ -226,5 +222,3 @@ def event_meanings(spark: SparkSession) -> DataFrame:
     """A meaning per event code; an input table, since sources disagree on the meanings."""
     return spark.createDataFrame([(code, name) for name, code in EVENT_CODES.items()], "event_id string, meaning string")
 
-
-__all__ = [n for n in dir() if not n.startswith("_")]

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.once import computed_once
 from ..functions.patterns import Template, all_matches, first_match
 from ..schemas import event_order
 from ..session import written_once
@@ -23,9 +24,10 @@ def block_traces(
     number of events. The lines are parsed once, into a narrow table.
     """
     text = F.col("line")
-    events = lines.select(
-        tx.block_id(text).alias("block_id"), time, tie, F.explode(all_matches(text, templates)).alias("event_id")
-    ).where(F.col("block_id").isNotNull())
+    parsed = computed_once(lines, [time, tie], block_id=tx.block_id(text), events=all_matches(text, templates))
+    events = parsed.where(F.col("block_id").isNotNull()).select(
+        "block_id", time, tie, F.explode("events").alias("event_id")
+    )
     return rank_in_time(written_once(events, "traces"), time, [tie, "event_id"], "block_id")
 
 
@@ -39,7 +41,7 @@ def time_windows(
 ) -> DataFrame:
     """Template counts per tumbling window, one wide row per window with any match."""
     ids = event_order(dict(templates))
-    matched = lines.withColumn("event_id", first_match(F.col("line"), templates)).where(
+    matched = computed_once(lines, [time], event_id=first_match(F.col("line"), templates)).where(
         F.col("event_id").isNotNull()
     )
     return (

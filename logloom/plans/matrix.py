@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.once import computed_once
 from ..functions.patterns import Template, first_match
 from ..operators.features import block_event_matrix
 from ..operators.labels import join_training, matrix_differences, with_default_labels
@@ -50,11 +51,12 @@ def ingest_messages(messages: DataFrame, templates: Sequence[Template]) -> DataF
     The time of a row is the newest time written in its lines.
     """
     text = F.col("line")
-    parsed = messages.select(
-        "batch_id",
-        tx.block_id(text).alias("block_id"),
-        first_match(text, templates).alias("event_id"),
-        F.try_to_timestamp(F.substring(text, 1, 13), F.lit("yyMMdd HHmmss")).cast("timestamp_ntz").alias("ts"),
+    parsed = computed_once(
+        messages,
+        ["batch_id"],
+        block_id=tx.block_id(text),
+        event_id=first_match(text, templates),
+        ts=F.try_to_timestamp(F.substring(text, 1, 13), F.lit("yyMMdd HHmmss")).cast("timestamp_ntz"),
     ).where(F.col("block_id").isNotNull() & F.col("event_id").isNotNull())
     return parsed.groupBy("batch_id", "block_id", "event_id").agg(
         F.count("*").alias("cnt"), F.max("ts").alias("last_updated")

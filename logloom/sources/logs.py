@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.once import computed_once
 from ..functions.patterns import Template
 from ..functions.text import clean_line
 from ..schemas import DEFAULT_EVENTS, TEMPLATES, wide_record
@@ -18,7 +19,7 @@ MAX_TEMPLATES = 5_000
 def as_lines(raw: DataFrame, column: str = "value") -> DataFrame:
     """Stripped, non-blank lines of a text source (batch or stream)."""
     others = [c for c in raw.columns if c != column]
-    return raw.select(*others, clean_line(F.col(column)).alias("line")).where(F.length("line") > 0)
+    return computed_once(raw, others, line=clean_line(F.col(column))).where(F.length("line") > 0)
 
 
 def read_log_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -27,10 +28,9 @@ def read_log_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 def decode_batched(raw: DataFrame, column: str = "value") -> DataFrame:
     """``batch_id TAB line`` messages; only the first tab separates."""
-    parts = F.split(F.col(column).cast("string"), "\t", 2)
-    return raw.select(
-        parts.getItem(0).alias("batch_id"), clean_line(F.try_element_at(parts, F.lit(2))).alias("line")
-    ).where(F.length("line") > 0)
+    parts = computed_once(raw, [], parts=F.split(F.col(column).cast("string"), "\t", 2))
+    batch, line = F.col("parts").getItem(0), F.try_element_at("parts", F.lit(2))
+    return computed_once(parts, [], batch_id=batch, line=clean_line(line)).where(F.length("line") > 0)
 
 
 def encode_batched(batch: Column, line: Column) -> Column:

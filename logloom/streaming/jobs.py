@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..functions import text as tx
+from ..functions.once import computed_once
 from ..functions.patterns import Template, first_match
 from ..operators.anomalies import above, best_per_block
 from ..operators.classify import classify_lines
@@ -105,12 +106,9 @@ def classify_stream(
 def matched_events(lines: DataFrame, templates: Sequence[Template], time: str = "ts") -> DataFrame:
     """``block_id, event_id, cnt, <time>`` of the lines that name a block and match a template."""
     text = F.col("line")
-    return lines.select(
-        tx.block_id(text).alias("block_id"),
-        first_match(text, templates).alias("event_id"),
-        F.lit(1).cast("bigint").alias("cnt"),
-        time,
-    ).where(F.col("block_id").isNotNull() & F.col("event_id").isNotNull())
+    parsed = computed_once(lines, [time], block_id=tx.block_id(text), event_id=first_match(text, templates))
+    named = parsed.where(F.col("block_id").isNotNull() & F.col("event_id").isNotNull())
+    return named.select("block_id", "event_id", F.lit(1).cast("bigint").alias("cnt"), time)
 
 
 def running_counts(
@@ -199,7 +197,7 @@ def window_counts(
 ) -> DataFrame:
     """Template counts per time window (ST6); a window is final once the watermark passed it."""
     ids = event_order(dict(templates))
-    matched = lines.select(time, first_match(F.col("line"), templates).alias("event_id")).where(
+    matched = computed_once(lines, [time], event_id=first_match(F.col("line"), templates)).where(
         F.col("event_id").isNotNull()
     )
     window = F.window(time, length, slide) if slide else F.window(time, length)
