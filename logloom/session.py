@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,17 +29,17 @@ def build_session(app: str = "logloom", master: str | None = None, **conf: str)
 
 
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder under the cluster's shared checkpoint folder.
+    """A fresh folder under the cluster's shared checkpoint folder, removed when the session's JVM ends.
 
-    Only a local master without ``spark.checkpoint.dir`` may fall back to a
-    temporary folder: on a cluster other hosts could not read it.
+    Without ``spark.checkpoint.dir`` it lies in the warehouse, which all
+    executors share as well; a machine's temporary folder is never used.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.gettempdir()
-    return f"{base.rstrip('/')}/logloom-{purpose}-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
+    path = f"{base.rstrip('/')}/logloom-{purpose}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 def written_once(df: DataFrame, purpose: str) -> DataFrame:
