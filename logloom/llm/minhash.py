@@ -52,10 +52,10 @@ def shingle_sets(block: Block, n: int) -> list[np.ndarray]:
         if b - a >= n:
             out.append(np.unique(gram[a : b - n + 1]))
         elif b > a:
-            whole = U64(b - a)
-            for w in word[a:b]:
-                whole = whole * FACTORS[1] + w
-            out.append(mix(np.array([whole], U64)))
+            whole = word[a : a + 1]
+            for k in range(a + 1, b):
+                whole = mix(whole * FACTORS[1] + word[k : k + 1])
+            out.append(mix(whole + U64(b - a)))
         else:
             out.append(np.zeros(0, U64))
     return out
