@@ -3,15 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from logloom.llm import bpe, html, packing, secrets
 from logloom.llm.minhash import near_duplicates
 from logloom.llm.quality import repetition_coverage
+from logloom.session import scratch_dir
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _vocabulary(name: str) -> tuple[str, str]:
+    """Where the public vocabulary lies on every host, and its pre-token pattern."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name), public_tokenizers.PATTERN
+
+
 def op1_repetition_coverage(spark: SparkSession, folder: str) -> DataFrame:
     return repetition_coverage(_table(spark, folder, "documents"))
 
@@ -21,11 +31,49 @@ def op2_circulant_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"), n=3, percent=85)
 
 
+def op4_secret_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """A first scan with an empty ledger; the digests come from the findings."""
+    found = secrets.scan(_table(spark, folder, "documents"), scratch_dir(spark, "ledger"))
+    base = [rule.kind for rule in secrets.BASE_RULES]
+
+    def of(kinds):
+        return F.filter("findings", lambda f: f["kind"].isin(*kinds))
+
+    def spelled(spans):
+        return F.array_join(
+            F.transform(spans, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))),
+            ",",
+        )
+
+    return found.select(
+        "doc_id",
+        *[F.size(of([kind])).cast("long").alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(spelled(of(base)), 256).alias("base_sha256"),
+        spelled(F.col("findings")).alias("spans"),
+    )
+
+
+def op7_column_generation(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(_table(spark, folder, "documents"), *_vocabulary("byte_bpe_50k.json"))
+
+
+def op9_sentencepiece_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.encode_decode(_table(spark, folder, "documents"), *_vocabulary("byte_bpe_50k.tiktoken"), digests=True)
+
+
+def op10_consensus_paths(spark: SparkSession, folder: str) -> DataFrame:
+    return html.main_text(_table(spark, folder, "pages"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_repetition_coverage,
         op2_circulant_minhash,
+        op4_secret_ledger,
+        op7_column_generation,
+        op9_sentencepiece_bpe,
+        op10_consensus_paths,
     )
 }
 SQL: dict[str, str] = {}
