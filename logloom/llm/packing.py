@@ -19,7 +19,7 @@ from logloom.session import written_once
 #: Tokens of a sequence, and the id put after each document.
 CAPACITY, END_ID = 1024, 0
 #: The linear program stops when it is proven to lie within this share of its optimum, or after so many columns.
-GAP, MOST_COLUMNS = 0.002, 3000
+GAP, MOST_COLUMNS = 0.002, 600
 #: Pieces of one length that are ranked together in a task.
 RANKED = 256
 
@@ -86,26 +86,73 @@ def knapsack(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[fl
     return float(best[capacity]), out
 
 
+def fullest(left: dict[int, float], capacity: int) -> dict[int, int]:
+    """The longest length that is left, and the fullest filling of the rest with lengths as often as they are left."""
+    longest = max(left)
+    used, room = {longest: 1}, capacity - longest
+    # reach[c]: the last length put in to fill exactly c, and what was filled before it.
+    reach: dict[int, tuple[int, int]] = {0: (0, 0)}
+    for n in sorted((n for n in left if n <= room), reverse=True):
+        have = int(left[n]) - (n == longest)
+        for c in sorted(reach):
+            for k in range(1, min(have, (room - c) // n) + 1):
+                if c + k * n in reach:
+                    break
+                reach[c + k * n] = (n, c + (k - 1) * n)
+        if room in reach:
+            break
+    c = max(reach)
+    while c:
+        n, c = reach[c]
+        used[n] = used.get(n, 0) + 1
+    return used
+
+
+def first_basis(
+    lengths: np.ndarray, demand: np.ndarray, capacity: int
+) -> tuple[list[dict[int, int]], np.ndarray, np.ndarray]:
+    """A feasible basis, its inverse and its amounts: a pattern is used until one of its lengths is exhausted.
+
+    No later pattern holds an exhausted length, so the basis is triangular.
+    """
+    left = dict(zip(lengths.tolist(), demand.astype(float).tolist()))
+    patterns: dict[int, dict[int, int]] = {}
+    amounts = {}
+    while left:
+        pattern = fullest({n: max(1.0, x) for n, x in left.items()}, capacity)
+        times = min(left[n] / k for n, k in pattern.items())
+        gone = min(pattern, key=lambda n: left[n] / pattern[n])
+        patterns[gone], amounts[gone] = pattern, times
+        for n, k in pattern.items():
+            left[n] = max(0.0, left[n] - k * times)
+        del left[gone]
+    ordered = [patterns[n] for n in lengths.tolist()]
+    where = {n: i for i, n in enumerate(lengths.tolist())}
+    matrix = np.zeros((len(lengths),) * 2)
+    for j, pattern in enumerate(ordered):
+        for n, k in pattern.items():
+            matrix[where[n], j] = k
+    return ordered, np.linalg.inv(matrix), np.array([amounts[n] for n in lengths.tolist()])
+
+
 def column_generation(
     lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP, most: int = MOST_COLUMNS
 ) -> list[tuple[dict[int, int], float]]:
     """Patterns (length -> how many) and how often the linear program uses each.
 
-    Starts from patterns of one length each. The duals of the current basis
-    price new columns by ``knapsack``; the best one enters by the revised
-    simplex rule. Duals divided by the best price are a dual solution, hence a
-    lower bound, which ends the search together with the volume bound.
+    Starts from a basis of full patterns. The duals of the current basis price
+    new columns by ``knapsack``; the best one enters by the revised simplex
+    rule. Duals divided by the best price are a dual solution, hence a lower
+    bound, which ends the search together with the volume bound.
     """
-    m = len(lengths)
-    patterns = [{int(n): int(capacity // n)} for n in lengths]
-    inverse = np.diag([1.0 / (capacity // n) for n in lengths])
-    amount = demand * np.diag(inverse)
+    patterns, inverse, amount = first_basis(lengths, demand, capacity)
+    first = [(p, float(x)) for p, x in zip(patterns, amount) if x > 0]
     where = {int(n): i for i, n in enumerate(lengths)}
     bound = float(demand @ lengths) / capacity
     for _ in range(most):
         duals = inverse.sum(axis=0)
         price, items = knapsack(np.maximum(duals, 0), lengths, capacity)
-        bound = max(bound, float(demand @ duals) / max(price, 1.0))
+        bound = max(bound, float(demand @ np.maximum(duals, 0)) / max(price, 1.0))
         if price <= 1 + 1e-9 or amount.sum() <= bound * (1 + gap):
             break
         pattern: dict[int, int] = {}
@@ -116,46 +163,32 @@ def column_generation(
         ratio = np.where(positive, amount / np.where(positive, column, 1), np.inf)
         out = int(ratio.argmin())
         step = ratio[out]
-        amount = amount - step * column
+        amount = np.maximum(amount - step * column, 0)
         amount[out] = step
         row = inverse[out] / column[out]
         inverse -= np.outer(column, row)
         inverse[out] = row
         patterns[out] = pattern
-    assert len(patterns) == m
+    # Pivots lose digits on tiny programs; a worse or uneven end falls back to the first basis.
+    used = np.zeros(len(lengths))
+    for pattern, x in zip(patterns, amount):
+        for n, k in pattern.items():
+            used[where[n]] += k * x
+    if amount.sum() > sum(x for _, x in first) or np.abs(used - demand).max() > 1e-3 * demand.max():
+        return first
     return [(p, float(x)) for p, x in zip(patterns, amount) if x > 0]
 
 
 def fill(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> list[dict[int, int]]:
-    """Sequences for what is left after rounding: the longest piece, then the fullest filling of the rest."""
+    """Sequences for what is left after rounding, each as full as it can be."""
     left = {int(n): int(k) for n, k in zip(lengths, demand) if k}
     out = []
     while left:
-        longest = max(left)
-        used = {longest: 1}
-        room = capacity - longest
-        # reach[c]: the last length put in to fill exactly c, each length at most as often as it is left.
-        reach: dict[int, tuple[int, int]] = {0: (0, 0)}
-        for n in sorted(left, reverse=True):
-            have = left[n] - (n == longest)
-            for c in sorted(reach):
-                for k in range(1, have + 1):
-                    if c + k * n > room or c + k * n in reach:
-                        break
-                    reach[c + k * n] = (n, c + (k - 1) * n)
-            if room in reach:
-                break
-        c = max(reach)
-        while c:
-            n, c = reach[c]
-            used[n] = used.get(n, 0) + 1
-        for n, k in used.items():
+        out.append(fullest(left, capacity))
+        for n, k in out[-1].items():
             left[n] -= k
-            if left[n] < 0:
-                raise AssertionError("a length was used more often than it occurs")
             if not left[n]:
                 del left[n]
-        out.append(used)
     return out
 
 
