@@ -28,6 +28,10 @@ def build_session(app: str = "logloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+#: Spark's setting to drop a query's shuffle files when it has ended.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder, removed when the session's JVM ends.
 
@@ -50,5 +54,11 @@ def written_once(df: DataFrame, purpose: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_dir(spark, purpose)
-    df.write.parquet(path)
+    # The table replaces the shuffle files, so that stages do not add up on the executors' disks.
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
