@@ -112,7 +112,7 @@ def piece_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray, factor: n
 
 def gram_hashes(values: np.ndarray, n: int, factor: np.uint64 = FACTORS[0]) -> np.ndarray:
     """Rolling hash of every run of ``n`` values, from hashes of doubled lengths; unmixed."""
-    power, have, out = factor, 1, values
+    power, have, out = np.array([factor]), 1, values  # an array wraps without a warning
     while have * 2 <= n:
         out = out[:-have] * power + out[have:]
         power, have = power * power, have * 2

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from logloom.llm import bpe, html, packing, secrets
 from logloom.llm.minhash import near_duplicates
 from logloom.llm.quality import repetition_coverage
+from logloom.llm.substrings import remove_repeated_windows
+from logloom.llm.suffixes import remove_earlier_strings
 from logloom.session import scratch_dir
 
 
@@ -31,6 +33,10 @@ def op2_circulant_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"), n=3, percent=85)
 
 
+def op3_level_doubling(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeated_windows(_table(spark, folder, "documents"), digests=True)
+
+
 def op4_secret_ledger(spark: SparkSession, folder: str) -> DataFrame:
     """A first scan with an empty ledger; the digests come from the findings."""
     found = secrets.scan(_table(spark, folder, "documents"), scratch_dir(spark, "ledger"))
@@ -53,6 +59,10 @@ def op4_secret_ledger(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_radix_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_earlier_strings(_table(spark, folder, "documents"), digests=True)
+
+
 def op7_column_generation(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), *_vocabulary("byte_bpe_50k.json"))
 
@@ -70,7 +80,9 @@ QUERIES = {
     for f in (
         op1_repetition_coverage,
         op2_circulant_minhash,
+        op3_level_doubling,
         op4_secret_ledger,
+        op6_radix_suffixes,
         op7_column_generation,
         op9_sentencepiece_bpe,
         op10_consensus_paths,
