@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import bpe, html, packing, secrets
+from logloom.llm import bpe, html, licenses, packing, secrets
+from logloom.llm.embeddings import near_vectors
 from logloom.llm.minhash import near_duplicates
 from logloom.llm.quality import repetition_coverage
 from logloom.llm.substrings import remove_repeated_windows
@@ -59,6 +60,10 @@ def op4_secret_ledger(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_pruned_graph(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(_table(spark, folder, "embeddings"))
+
+
 def op6_radix_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     return remove_earlier_strings(_table(spark, folder, "documents"), digests=True)
 
@@ -67,6 +72,10 @@ def op7_column_generation(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(_table(spark, folder, "documents"), *_vocabulary("byte_bpe_50k.json"))
 
 
+def op8_license_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_scan(_table(spark, folder, "documents"))
+
+
 def op9_sentencepiece_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode_decode(_table(spark, folder, "documents"), *_vocabulary("byte_bpe_50k.tiktoken"), digests=True)
 
@@ -82,10 +91,13 @@ QUERIES = {
         op2_circulant_minhash,
         op3_level_doubling,
         op4_secret_ledger,
+        op5_pruned_graph,
         op6_radix_suffixes,
         op7_column_generation,
+        op8_license_windows,
         op9_sentencepiece_bpe,
         op10_consensus_paths,
     )
 }
-SQL: dict[str, str] = {}
+#: The other operators' results (rolling hashes, digests, components, packing, tokens) are tested against brute force.
+SQL = {"op8_license_windows": licenses.license_sql()}
