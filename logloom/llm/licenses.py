@@ -101,7 +101,7 @@ def cover_words(shingles: list[str], contained: float) -> set[str]:
     such a word gone, too few are left.
     """
     words: set[str] = set()
-    while sum(not words.isdisjoint(s.split()) for s in shingles) <= len(shingles) * (1 - contained):
+    while sum(not words.isdisjoint(s.split()) for s in shingles) <= len(shingles) * (1 - contained) + 1e-9:
         left = [s for s in shingles if words.isdisjoint(s.split())]
         words.add(max({w for s in left for w in s.split()}, key=lambda w: (min(len(w), 7), sum(w in s.split() for s in left), w)))
     return words
