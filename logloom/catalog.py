@@ -14,6 +14,7 @@ from .operators import ordering, retrieval, scoring, traces, training
 from .plans import batch_jobs, conversations, knowledge, matrix, model, reports
 from .schemas import DEFAULT_EVENTS
 from .session import scratch_dir
+from .sizing import lookup
 from .sources import knowledge as know
 from .sources import logs, sinks
 from .streaming import board as boards
@@ -237,10 +238,15 @@ def match_counters(spark, d):
     return classify.match_counters(classify.classify_lines(_lines(spark, d), ad.TEMPLATES))
 
 
-@register("unknown_lines", "classed", "SELECT line_no, substr(line, 1, 40) AS line, match_type FROM classed WHERE match_type <> 'template'")
+@register("unknown_lines", "classed", "SELECT line_no, line, match_type FROM classed WHERE match_type <> 'template'")
 def unknown_lines(spark, d):
     out = classify.unmatched_lines(classify.classify_lines(_lines(spark, d), ad.TEMPLATES))
-    return out.select("line_no", tx.truncate(F.col("line"), 40).alias("line"), "match_type")
+    return out.select("line_no", "line", "match_type")
+
+
+@register("truncated_documents", "", "SELECT doc_id, substr(text, 1, 200) AS head FROM documents")
+def truncated_documents(spark, d):
+    return ad.table(spark, d, "documents").select("doc_id", tx.truncate(F.col("text"), 200).alias("head"))
 
 
 @register("line_events", "matched", "SELECT line_no, event_id FROM matched WHERE event_id IS NOT NULL")
@@ -681,6 +687,52 @@ def leaderboard_synced(spark, d):
     return batch_jobs.sync_leaderboard(_anom(spark, d), _mark())
 
 
+_BEST = f"block_id, anomaly_score, {_cols(E)}, detected_at AS updated_at"
+
+
+@register(
+    "leaderboard_merged",
+    "best anom",
+    f"""SELECT * FROM (WITH stored AS (SELECT {_BEST} FROM best WHERE block_id NOT IN (SELECT block_id FROM anom WHERE detected_at > {_MARK})
+          ORDER BY anomaly_score DESC, block_id DESC LIMIT 10),
+        fresh AS (SELECT {_BEST} FROM best WHERE block_id IN (SELECT block_id FROM anom WHERE detected_at > {_MARK})
+          ORDER BY anomaly_score DESC, block_id DESC LIMIT 10)
+        SELECT *, updated_at + INTERVAL 3600 SECOND AS expires_at FROM (FROM stored UNION ALL FROM fresh)
+        ORDER BY anomaly_score DESC, block_id DESC LIMIT 10)""",
+)
+def leaderboard_merged(spark, d):
+    """New scores put onto a board that was stored before the mark and holds blocks untouched since."""
+    rows = _anom(spark, d)
+    later = rows.where(F.col("detected_at") > _mark()).select("block_id").distinct()
+    stored = leaderboard.leaderboard(rows.join(later, "block_id", "left_anti"), score_mode="max")
+    return batch_jobs.sync_leaderboard(rows, _mark(), board=stored)
+
+
+@register(
+    "drop_last_with_nulls",
+    "",
+    """SELECT event_id, part_key FROM (SELECT event_id, CASE WHEN event_id % 5 > 0 THEN event_id END AS part_key,
+       row_number() OVER (ORDER BY CASE WHEN event_id % 5 > 0 THEN event_id END NULLS FIRST) AS rn, count(*) OVER () AS n FROM events)
+       WHERE rn <= n - n * 10 // 100""",
+)
+def drop_last_with_nulls(spark, d):
+    keyed = F.when(F.col("event_id") % 5 > 0, F.col("event_id"))
+    return ordering.drop_last_percent(_events(spark, d).select("event_id", keyed.alias("part_key")), "part_key", 10)
+
+
+@register(
+    "lookup_repeated_keys",
+    "",
+    """SELECT event_id, event_type, m AS meaning FROM events LEFT JOIN (VALUES ('click', 'a press'), ('signup', 'a new user')) AS d(k, m)
+       ON event_type = k""",
+)
+def lookup_repeated_keys(spark, d):
+    """A dimension with a repeated and a null key."""
+    rows = [("click", "press twice"), ("click", "a press"), ("signup", "a new user"), (None, "nothing")]
+    dimension = spark.createDataFrame(rows, "event_type string, meaning string")
+    return lookup(_events(spark, d).select("event_id", "event_type"), dimension, "event_type", "meaning", "meaning")
+
+
 @register(
     "leaderboard_details",
     "board moment",

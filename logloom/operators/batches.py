@@ -34,8 +34,10 @@ def incremental_features(
 
     Few touched blocks: their ids are broadcast and everything else is dropped
     before the shuffle. Many: one aggregation over all blocks keeps those whose
-    newest row is after the mark, which is the same set without a join.
+    newest row is after the mark, which is the same set without a join. Rows
+    without a block are left out either way.
     """
+    stats = stats.where(F.col("block_id").isNotNull())
     touched = stats.where(F.col("last_updated") > mark).select("block_id").distinct()
     newest = [F.max("last_updated").alias("last_updated")]
     if is_small(touched, broadcast_blocks):
@@ -79,7 +81,7 @@ def delete_batches(
                 spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (batch_id = '{batch}')")
                 report.append((batch, table, True, None))
             except Exception as error:  # one table's failure is part of the report
-                report.append((batch, table, False, str(error)[:200]))
+                report.append((batch, table, False, str(error)))
     return spark.createDataFrame(report, DELETED)
 
 

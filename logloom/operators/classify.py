@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.patterns import Template, first_match, template_regex_column
+from ..functions.patterns import Template, all_matches, first_match, template_regex_column
 from ..functions.tiers import is_anomaly_event
 
 UNKNOWN_ERROR = "E_UNKNOWN_ERR"
@@ -59,6 +59,10 @@ def unmatched_lines(classified: DataFrame) -> DataFrame:
     return classified.where(F.col("match_type") != "template")
 
 
+#: Templates without an anchor word that go into one pass.
+LITERALS = 500
+
+
 def anchor_word(template: str) -> str | None:
     """The longest word of a template that any matching line must hold as a whole word.
 
@@ -77,7 +81,8 @@ def match_by_anchor(lines: DataFrame, templates: DataFrame, key: str, line: str
     Lines meet templates through a word both must hold, by an equi-join that
     adaptive execution may broadcast or split; the pattern then decides.
     ``templates`` has ``event_id, template, anchor`` (see ``anchor_word``).
-    Templates without an anchor must be few and go through ``all_matches``.
+    Templates without an anchor are matched as literals, ``LITERALS`` to a pass
+    over the lines.
     """
     words = F.array_distinct(F.regexp_extract_all(F.col(line), F.lit(r"[A-Za-z0-9_]+"), F.lit(0)))
     tokens = lines.select(key, line, F.explode(words).alias("anchor"))
@@ -85,4 +90,9 @@ def match_by_anchor(lines: DataFrame, templates: DataFrame, key: str, line: str
         "event_id", "anchor", template_regex_column(F.col("template")).alias("_pattern")
     )
     hits = tokens.join(anchored, "anchor").where(F.expr(f"`{line}` rlike _pattern"))
-    return hits.select(key, "event_id")
+    found = hits.select(key, "event_id")
+    loose = [(r.event_id, r.template) for r in templates.where(F.col("anchor").isNull()).toLocalIterator()]
+    for at in range(0, len(loose), LITERALS):
+        matched = all_matches(F.col(line), loose[at : at + LITERALS])
+        found = found.union(lines.select(key, F.explode(matched).alias("event_id")))
+    return found

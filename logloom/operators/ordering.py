@@ -56,18 +56,28 @@ def nth_key(df: DataFrame, key: str, n: int, fanout: int = 64, direct: int = 100
 
 
 def drop_last_percent(df: DataFrame, key: str, percent: int, **selection: int) -> DataFrame:
-    """All but the last ``int(rows * percent / 100)`` rows by a unique key.
+    """All but the last ``int(rows * percent / 100)`` rows by a key.
 
     The cut-off is found first, so the result is a plain filter on the input.
+    Rows without a key come before all others. A cut that would have to choose
+    among rows with one key, or among those without, is refused.
     """
-    total = df.count()
-    if total == 0:
+    sizes = df.agg(F.count("*").alias("total"), F.count_if(F.col(key).isNull()).alias("unkeyed")).first()
+    if sizes.total == 0:
         raise ValueError("empty table")
-    removed = total * percent // 100
+    removed = sizes.total * percent // 100
     if removed == 0:
         return df
-    cutoff = nth_key(df, key, total - removed, **selection) if removed < total else None
-    return df.where(F.col(key) <= F.lit(cutoff)) if cutoff is not None else df.where(F.lit(False))
+    kept = sizes.total - removed - sizes.unkeyed
+    if kept == 0 or removed == sizes.total:
+        return df.where(F.col(key).isNull() & F.lit(removed < sizes.total))
+    if kept < 0:
+        raise ValueError(f"the cut falls among {sizes.unkeyed} rows without a {key}")
+    cutoff = nth_key(df, key, kept, **selection)
+    upto = df.where(F.col(key) <= F.lit(cutoff)).count()
+    if upto != kept:
+        raise ValueError(f"the cut falls among rows that share {key} {cutoff!r}")
+    return df.where(F.col(key).isNull() | (F.col(key) <= F.lit(cutoff)))
 
 
 def epoch_seconds(df: DataFrame, time: str) -> Column:
@@ -110,6 +120,9 @@ def rank_in_time(
     before = Window.partitionBy("_group").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*keys, F.sum("_rows").over(before).alias("_before"))
     inside = F.row_number().over(Window.partitionBy(*keys).orderBy(time, *ties))
-    numbered = slotted.withColumn("_inside", inside).join(offsets, keys, "left")
+    offsets = offsets.toDF("_of_group", "_of_slot", "_before")
+    # A null group is a group like any other.
+    same = F.col("_group").eqNullSafe(F.col("_of_group")) & F.col("_slot").eqNullSafe(F.col("_of_slot"))
+    numbered = slotted.withColumn("_inside", inside).join(offsets, same, "left")
     position = (F.coalesce("_before", F.lit(0)) + F.col("_inside")).cast("bigint")
     return numbered.withColumn(name, position).select(*df.columns, name)

@@ -14,7 +14,7 @@ from ..operators.aggregates import batch_list
 from ..operators.anomalies import above, best_per_block, top_events
 from ..operators.batches import incremental_features, pending_batches
 from ..operators.features import pivot_counts
-from ..operators.leaderboard import leaderboard
+from ..operators.leaderboard import leaderboard, top_board
 from ..schemas import DEFAULT_EVENTS
 from ..session import written_once
 from ..sizing import lookup, rows_if_small
@@ -91,7 +91,7 @@ def process_offline_batches(
         batches = pending_batches(stats, stored(spark, ledger_path, LEDGER))
     # The list is written down first: batches arriving meanwhile must stay pending.
     batches = written_once(batches, "pending")
-    append_anomalies(score_batches(stats, batches, scorer, threshold, event_ids), anomalies_path)
+    append_anomalies(score_batches(stats, batches, scorer, threshold, event_ids), anomalies_path, batches)
     batches.write.mode("append").parquet(ledger_path)
     return batches
 
@@ -144,16 +144,23 @@ def sync_leaderboard(
     mark: Column | None = None,
     n: int = 10,
     event_ids: Sequence[str] = DEFAULT_EVENTS,
+    board: DataFrame | None = None,
 ) -> DataFrame:
-    """Board of best scores over the blocks with a row after the mark.
+    """Best scores of the blocks with a row after the mark, put onto the stored board.
 
-    Each block keeps the counts of the row its best score came from.
+    Each block keeps the counts of the row its best score came from. Blocks of
+    ``board`` that were not touched stay as they are and compete for its places.
     """
     rows = anomalies
     if mark is not None:
         touched = anomalies.where(F.col("detected_at") > mark).select("block_id").distinct()
         rows = anomalies.join(touched, "block_id", "left_semi")
-    return leaderboard(rows, n, "max", event_ids)
+    fresh = leaderboard(rows, n, "max", event_ids)
+    if board is None:
+        return fresh
+    columns = ["block_id", "anomaly_score", *event_ids, "updated_at"]
+    stays = board.join(rows.select("block_id").distinct(), "block_id", "left_anti").select(*columns)
+    return top_board(fresh.select(*columns).union(stays), n)
 
 
 def list_batches(stats: DataFrame, newest: int | None = 10) -> DataFrame:

@@ -131,7 +131,8 @@ def export_anomalies(
     """Flat rows for a download: the ten board rows, else the hundred worst of the table."""
     if board is not None and not board.isEmpty():
         rows = board.orderBy(F.desc("anomaly_score"), F.desc("block_id")).limit(10)
-        return export_rows(rows.select("block_id", "anomaly_score", *event_ids), event_ids)
+        dated = rows.select("block_id", "anomaly_score", F.col("updated_at").alias("detected_at"), *event_ids)
+        return export_rows(dated, event_ids)
     rows = an.top_anomalies(anomalies, LISTED).select("block_id", "anomaly_score", "detected_at", *event_ids)
     return export_rows(rows, event_ids)
 

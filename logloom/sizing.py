@@ -27,20 +27,16 @@ def lookup(
     value: str,
     target: str,
     default: str | None = None,
-    limit: int = 500,
 ) -> DataFrame:
     """Add ``target`` = the dimension's ``value`` for ``key``.
 
-    A dimension of at most ``limit`` rows becomes a literal map evaluated in the
-    projection, so a hot key costs nothing. A larger one is joined: adaptive
-    execution then broadcasts it or splits the skewed partitions by real sizes.
+    One left join at any size: adaptive execution broadcasts the dimension by its
+    measured size or splits skewed partitions. Of several values for a key the
+    smallest counts, so no row is doubled; a null key finds nothing.
     """
-    small = rows_if_small(dimension.select(key, value), limit)
-    if small is None:
-        other = dimension.select(F.col(key), F.col(value).alias(target))
-        out = df.join(other, key, "left")
-        return out.withColumn(target, F.coalesce(target, F.lit(default))) if default else out
-    return df.withColumn(target, literal_lookup(F.col(key), {r[0]: r[1] for r in small}, default))
+    other = dimension.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(value).alias(target))
+    found = F.coalesce(F.col(target), F.lit(default))
+    return df.join(other, key, "left").select(*df.columns, found.alias(target))
 
 
 def literal_lookup(key: Column, values: dict[str, str], default: str | None = None) -> Column:

@@ -11,11 +11,13 @@ from ..functions import sqltext as sq
 from ..schemas import DEFAULT_EVENTS
 
 
-def append_anomalies(df: DataFrame, path: str) -> None:
+def append_anomalies(df: DataFrame, path: str, scored: DataFrame | None = None) -> None:
     """Write scored rows by batch; running a batch again replaces that batch only.
 
     The rebalance gathers the rows of a batch into few files, and adaptive
-    execution still splits a batch that is too large for one task.
+    execution still splits a batch that is too large for one task. ``scored``
+    lists the batches the rows come from: what is stored of one that has no rows
+    any more is removed.
     """
     (
         df.hint("rebalance", "batch_id")
@@ -24,6 +26,30 @@ def append_anomalies(df: DataFrame, path: str) -> None:
         .partitionBy("batch_id")
         .parquet(path)
     )
+    if scored is not None:
+        _drop_stale(df, path, scored)
+
+
+def _drop_stale(df: DataFrame, path: str, scored: DataFrame) -> None:
+    """Remove the folders of scored batches without rows; only batches that are stored and stale reach the driver."""
+    spark = df.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(conf)
+    if not files.exists(root):
+        return
+    folders = {}
+    for status in files.listStatus(root):
+        name = status.getPath().getName()
+        if name.startswith("batch_id="):
+            value = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(name[9:])
+            folders[value] = status.getPath()
+    stored = spark.createDataFrame([(b,) for b in folders], "batch_id string")
+    stale = stored.join(scored.select(F.col("batch_id").cast("string")), "batch_id", "left_semi").join(
+        df.select(F.col("batch_id").cast("string")), "batch_id", "left_anti"
+    )
+    for row in stale.toLocalIterator():
+        files.delete(folders[row.batch_id], True)
 
 
 def write_matrix(df: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -169,16 +169,16 @@ def test_export_coerces_bad_counts(spark):
 
 def test_export_prefers_the_board(anomalies):
     board = lb.leaderboard(anomalies, 10, event_ids=IDS)
-    assert rp.export_anomalies(anomalies, board, IDS).columns == ["block_id", "anomaly_score", *IDS]
+    assert rp.export_anomalies(anomalies, board, IDS).columns == ["block_id", "anomaly_score", "detected_at", *IDS]
     table = rp.export_anomalies(anomalies, board.where("false"), IDS)
     assert "detected_at" in table.columns and table.count() == 6
 
 
-@pytest.mark.parametrize("limit", [10, 0])
-def test_lookup_inline_and_joined(spark, values, limit):
+def test_lookup_of_missing_repeated_and_null_keys(spark, values):
     df = spark.createDataFrame([("E1",), ("E9",), (None,)], "event_id string")
-    dim = spark.createDataFrame([("E1", "one")], "event_id string, text string")
-    got = values(lookup(df, dim, "event_id", "text", "t", "Unknown", limit), "event_id", "t")
+    rows = [("E1", "one"), ("E1", "two"), (None, "null")]
+    dim = spark.createDataFrame(rows, "event_id string, text string")
+    got = values(lookup(df, dim, "event_id", "text", "t", "Unknown"), "event_id", "t")
     assert got == [("E1", "one"), ("E9", "Unknown"), (None, "Unknown")]
 
 

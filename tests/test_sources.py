@@ -118,3 +118,13 @@ def test_knowledge_files_and_codes(spark, tmp_path):
     assert docs.count() == 1
     assert [tuple(r)[1:] for r in kn.error_sections(docs).collect()] == [("E1", "blk_* not found", "高")]
     assert [tuple(r)[1:] for r in kn.error_table(docs).collect()] == [("E1", "Block不存在", "高", "检查 + 删除"), ("E26", "连接拒绝", "中", "检查服务")]
+
+
+def test_rescored_batch_loses_what_it_had(spark, values, tmp_path):
+    path = str(tmp_path / "anomalies")
+    rows = [("b1", "x", 0.9), ("b2", "y", 0.8), ("b 3", "z", 0.7)]
+    frame = lambda r: spark.createDataFrame(r, "batch_id string, block_id string, anomaly_score double")
+    both = spark.createDataFrame([("b1",), ("b 3",), ("b4",)], "batch_id string")
+    sinks.append_anomalies(frame(rows), path, both)
+    sinks.append_anomalies(frame([("b1", "w", 0.6)]), path, both)
+    assert values(spark.read.parquet(path), "batch_id", "block_id") == [("b1", "w"), ("b2", "y")]
