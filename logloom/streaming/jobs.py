@@ -116,19 +116,20 @@ def running_counts(
     event_ids: Sequence[str] = DEFAULT_EVENTS,
     time: str = "ts",
     bucket: str | None = None,
-    late: str = "1 hour",
+    late: str | None = None,
 ) -> DataFrame:
     """Counts per block since the stream began (ST3), for the update mode.
 
     State is one row per block and is never dropped, as full-history features
-    need. With ``bucket`` (for example ``1 day``) the state is one row per block
-    and bucket and leaves once the watermark has passed; the full history is
-    then the sum over the stored buckets.
+    need. With ``bucket`` (for example ``1 day``) it is one row per block and
+    bucket; the full history is then the sum over the stored buckets. No row is
+    too late unless ``late`` is given: buckets that much older than the newest
+    row leave the state, and what still comes for them is dropped.
     """
     newest = [F.max(time).alias("last_updated")]
     if bucket is None:
         return pivot_counts(events, event_ids, extra=newest)
-    timed = events.withWatermark(time, late).withColumn("bucket", F.window(time, bucket))
+    timed = (events.withWatermark(time, late) if late else events).withColumn("bucket", F.window(time, bucket))
     return pivot_counts(timed, event_ids, ("block_id", "bucket"), newest)
 
 
@@ -193,16 +194,21 @@ def window_counts(
     time: str = "ts",
     length: str = "1 minute",
     slide: str | None = None,
-    late: str = "10 minutes",
+    late: str | None = None,
 ) -> DataFrame:
-    """Template counts per time window (ST6); a window is final once the watermark passed it."""
+    """Template counts per time window (ST6).
+
+    Without ``late`` every row counts, however late, and its window is updated
+    (update or complete mode). With it a window is final, and can be appended,
+    once it is that much older than the newest row; later rows are dropped.
+    """
     ids = event_order(dict(templates))
     matched = computed_once(lines, [time], event_id=first_match(F.col("line"), templates)).where(
         F.col("event_id").isNotNull()
     )
     window = F.window(time, length, slide) if slide else F.window(time, length)
     return (
-        matched.withWatermark(time, late)
+        (matched.withWatermark(time, late) if late else matched)
         .groupBy(window.alias("w"))
         .agg(*[F.count_if(F.col("event_id") == e).alias(e) for e in ids])
         .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *ids)

@@ -59,7 +59,7 @@ def test_running_counts_equal_batch_and_survive_a_restart(spark, small, pieces,
         os.remove(f"{pieces}/{n}")
 
     def run():
-        counts = jobs.running_counts(jobs.matched_events(stream(spark, small, pieces), ad.TEMPLATES), T4, bucket=bucket, late="40 days")
+        counts = jobs.running_counts(jobs.matched_events(stream(spark, small, pieces), ad.TEMPLATES), T4, bucket=bucket)
         jobs.write_updates(counts, out, checkpoint).awaitTermination()
 
     run()
@@ -87,7 +87,7 @@ def test_scored_stream_fills_table_and_board(spark, small, pieces, tmp_path, val
 def test_window_counts_equal_batch(spark, small, pieces, tmp_path, values):
     out = str(tmp_path / "out")
     lines = stream(spark, small, pieces)
-    jobs.write_updates(jobs.window_counts(lines, ad.TEMPLATES, late="60 days"), out, str(tmp_path / "cp")).awaitTermination()
+    jobs.write_updates(jobs.window_counts(lines, ad.TEMPLATES), out, str(tmp_path / "cp")).awaitTermination()
     got = spark.read.parquet(out).groupBy("window_start").agg(*[F.max(e).alias(e) for e in T4])
     batch = ad.log_lines(ad.table(spark, small, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
     assert values(got) == values(time_windows(batch, ad.TEMPLATES))
@@ -135,3 +135,17 @@ def test_state_store_setting_is_restored(spark):
     with jobs.disk_state(spark):
         assert spark.conf.get(jobs.STORE_KEY) == jobs.ROCKSDB
     assert spark.conf.get(jobs.STORE_KEY, None) == before
+
+
+def test_very_late_rows_still_count(spark, tmp_path, values):
+    """Three micro-batches, the last of them a month older than the first."""
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    template = ad.TEMPLATES[0]
+    line = template[1].replace("[*]", "blk_7")
+    for day in (30, 29, 1):
+        row = [(datetime(2024, 1, day, 12), line)]
+        spark.createDataFrame(row, "ts timestamp, line string").coalesce(1).write.mode("append").parquet(source)
+        lines = spark.readStream.schema("ts timestamp, line string").parquet(source)
+        jobs.write_updates(jobs.window_counts(lines, [template], length="1 hour"), out, checkpoint).awaitTermination()
+    got = spark.read.parquet(out).groupBy("window_start").agg(F.max(template[0]).alias("n"))
+    assert sorted((r.window_start.day, r.n) for r in got.collect()) == [(1, 1), (29, 1), (30, 1)]
