@@ -21,6 +21,8 @@ UNIVERSE_BITS = 20
 #: A pair at the threshold of 0.85 shares no band with probability (1 - 0.85**6)**32 < 3e-7;
 #: at 0.8 with six-row bands (1 - 0.8**6)**32 < 6e-5.
 BANDS, ROWS = 32, 6
+#: Sets of a family block.
+BLOCK = 64
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
@@ -133,10 +135,12 @@ def near_duplicates(
     2. Sets meet in buckets of equal band keys. Each bucket is first joined with
        its smallest id only (a star), the pairs are verified on the full sets,
        and what they link becomes components.
-    3. Buckets that still hold several components compare members across those
-       components, pair by pair, and nothing else; the joins are plain
-       equi-joins, so adaptive execution splits a hot bucket. No bucket is
-       capped and no member is dropped.
+    3. Buckets that still hold several components go on. Shingles that no other
+       such set holds bound what a set can share with any other; sets that
+       cannot reach the similarity by that bound are done (an exact test). The
+       rest is compared on full sets, across components only, family by family
+       in pairs of small blocks. The joins are plain equi-joins, so adaptive
+       execution splits a hot bucket. No bucket is capped, no member dropped.
 
     Returns doc_id, n_shingles, component_id (smallest doc_id reachable, itself
     included), kept (doc_id = component_id). A null or wordless text has an
@@ -156,31 +160,41 @@ def near_duplicates(
         F.count("*").alias("n"), F.min(F.struct("rep", "size")).alias("hub")
     ).where("n > 1").select("bucket", "hub")
     shared = written_once(members.join(heads, "bucket"), "minhash")
+    # The texts of all sets that meet another one, written once for both verifications.
+    met = shared.select(F.col("rep").alias("doc_id")).distinct().hint("shuffle_hash")
+    texts = written_once(docs.join(met, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "minhash")
     near = f"100 * least(x, y) >= {percent} * greatest(x, y) AND a != b"
     star = written_once(
         shared.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"), F.col("hub.size").alias("x"),
                       F.col("size").alias("y")).where(near).select("a", "b").distinct(),
         "minhash",
     )
-    wanted = star.select("a").union(star.select("b"))
-    links = written_once(verified(star, _texts(docs, wanted), n, percent), "minhash")
+    links = written_once(verified(star, texts, n, percent), "minhash")
     parts = components(links)
-    labelled = shared.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "bucket", "rep", "size", F.coalesce("component", "rep").alias("part")
+    labelled = written_once(
+        shared.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select(
+            "bucket", "rep", "size", F.coalesce("component", "rep").alias("part")
+        ),
+        "minhash",
     )
     # Members of one component need no pair among themselves: a bucket goes on
     # only if it has two components, and only across them.
-    labelled = written_once(labelled, "minhash")
-    open_ = labelled.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low != high")
-    rest = labelled.join(open_.select("bucket"), "bucket")
-    one = rest.select("bucket", F.col("rep").alias("a"), F.col("size").alias("x"), F.col("part").alias("p"))
-    two = rest.select("bucket", F.col("rep").alias("b"), F.col("size").alias("y"), F.col("part").alias("q"))
-    across = written_once(
-        one.join(two, "bucket").where(f"a < b AND p != q AND {near}").select("a", "b").distinct()
-        .join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"),
+    open_ = labelled.groupBy("bucket").agg(
+        F.min("part").alias("low"), F.max("part").alias("high"), F.min("size").alias("smallest")
+    ).where("low != high")
+    rest = labelled.join(open_.select("bucket", "smallest"), "bucket")
+    own = own_counts(texts.join(rest.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), n)
+    # What a set shares with others bounds every intersection: most can be ruled out alone.
+    rest = written_once(
+        rest.join(own, "rep", "left").withColumn("common", F.col("size") - F.coalesce("own", F.lit(0))).drop("own")
+        .withColumn("other", F.greatest("smallest", "common"))
+        .where(f"100 * common >= {percent} * (size + other - common)").drop("other", "smallest"),
         "minhash",
     )
-    more = verified(across, _texts(docs, across.select("a").union(across.select("b"))), n, percent)
+    # Sets that still meet, over any number of buckets, form a family.
+    low = rest.groupBy("bucket").agg(F.min("rep").alias("a"))
+    family = components(rest.join(low, "bucket").select("a", F.col("rep").alias("b")))
+    more = written_once(family_links(rest.select("rep", "part").distinct(), family, texts, n, percent), "minhash")
     whole = components(links.union(more)).withColumnRenamed("node", "rep")
     by_set = sets.join(whole, "rep", "left").select(
         "set_key", F.coalesce("component", "rep").alias("component_id")
@@ -192,7 +206,73 @@ def near_duplicates(
     )
 
 
-def _texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """One text for each of the ids, written once; ids is a union of pair ends."""
-    ids = ids.toDF("doc_id").distinct()
-    return written_once(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "minhash")
+def family_links(members: DataFrame, family: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """Links (a, b) across the parts of each family: a spanning forest of them per pair of blocks.
+
+    A family is dealt into blocks; every pair of blocks is compared in a task
+    as one product of two small matrices over the shingles they share, so that
+    pairs are counted and not listed.
+    """
+    placed = members.join(family.select(F.col("node").alias("rep"), F.col("component").alias("family")), "rep")
+    sizes = placed.groupBy("family").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    dealt = (
+        placed.join(sizes, "family").withColumn("own", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+        .join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "part", "text")
+    )
+
+    def compare(table: pa.Table) -> pa.Table:
+        sets: list[np.ndarray] = []
+        for block in blocks(iter(table.to_batches())):
+            sets += shingle_sets(block, n)
+        reps, part, own = (table.column(c).to_numpy() for c in ("rep", "part", "own"))
+        size = np.array([len(s) for s in sets], np.float32)
+        flat = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), size.astype(int))
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        column = np.cumsum(np.append(False, flat[1:] != flat[:-1]))
+        several = np.bincount(column)[column] > 1
+        column, owner = np.unique(column[several], return_inverse=True)[1], owner[several]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for at in range(0, int(column.max(initial=-1)) + 1, 4096):
+            here = (column >= at) & (column < at + 4096)
+            held = np.zeros((len(sets), 4096), np.float32)
+            held[owner[here], column[here] - at] = 1
+            both += held @ held.T
+        good = 100 * both >= percent * (size[:, None] + size - both)
+        good &= part[:, None] != part
+        i = table.column("i")[0].as_py()
+        if (own != i).any():
+            good &= (own == i)[:, None] & (own != i)
+        part, edges = part.copy(), []
+        for a, b in zip(*np.nonzero(good)):
+            if part[a] != part[b]:
+                edges.append((reps[a], reps[b]))
+                part[part == part[b]] = part[a]
+        return pa.table({k: pa.array([e[x] for e in edges], pa.int64()) for x, k in enumerate("ab")})
+
+    return dealt.groupBy("family", "i", "j").applyInArrow(compare, "a long, b long")
+
+
+def own_counts(texts: DataFrame, n: int) -> DataFrame:
+    """For each text with any, how many of its shingles occur in no other one of them: (rep, own).
+
+    Shingles are counted, those with one owner are charged to it; partial sums
+    keep a shingle of all texts from gathering anywhere.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            sets = shingle_sets(block, n)
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            owner = np.repeat(np.arange(len(sets)), sizes.to_numpy())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(sets).astype(np.int64)), block.column("doc_id").take(pa.array(owner))],
+                names=["shingle", "rep"],
+            )
+
+    owned = texts.select("doc_id", "text").mapInArrow(run, "shingle long, rep long")
+    counts = owned.groupBy("shingle").agg(F.count("*").alias("n"), F.min("rep").alias("rep"))
+    return counts.where("n = 1").groupBy("rep").agg(F.count("*").alias("own"))
