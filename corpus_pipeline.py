@@ -32,8 +32,8 @@ def _documents(docs: DataFrame) -> DataFrame:
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the repetition rules keep. A null doc_id or text is rejected."""
     docs = _documents(docs).where("doc_id IS NOT NULL")
-    kept = repetition_coverage(docs).where("kept").select("doc_id").distinct().hint("shuffle_hash")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    # The columns go through the operator, so that no text is shuffled.
+    return repetition_coverage(docs, carry=COLUMNS[1:]).where("kept").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -88,13 +88,15 @@ def repetition_coverage(
     line_limit: float = LINE_LIMIT,
     min_words: int = BASE_WORDS,
     max_repeat_share: float = BASE_SHARE,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """One row of measures and a verdict for every row of ``docs`` (doc_id, text).
 
     A map over Arrow batches without a shuffle. A null text has no words, fails
     the base rule (too short) and is not kept; so does an empty one. Repeated
     rows each get their row; an empty table gives an empty result; columns other
-    than doc_id and text are ignored.
+    than doc_id and text are ignored, unless named in ``carry``: those follow the
+    measures, so that a filter on the verdict needs no join.
 
     ``base_failed``: fewer than ``min_words`` words, or more than the given share
     of words in repeated runs of eight. ``kept``: the base rule holds, and for no
@@ -116,10 +118,14 @@ def repetition_coverage(
                 [block.column("doc_id").cast(pa.int64())]
                 + [pa.array(got[k], pa.int64()) for k in names]
                 + [pa.array(failed), pa.array(~failed & ~bad)]
-                + [pa.array(got[k], pa.int64()) for k in ("dup_line_chars", *(f"dup_{n}gram_chars" for n in LENGTHS))],
+                + [pa.array(got[k], pa.int64()) for k in ("dup_line_chars", *(f"dup_{n}gram_chars" for n in LENGTHS))]
+                + [block.column(c) for c in carry],
                 names=[
-                    "doc_id", *names, "base_failed", "kept", "dup_line_chars", *(f"dup_{n}gram_chars" for n in LENGTHS)
+                    "doc_id", *names, "base_failed", "kept", "dup_line_chars",
+                    *(f"dup_{n}gram_chars" for n in LENGTHS), *carry,
                 ],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    further = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    rows = docs.select(*dict.fromkeys(["doc_id", "text", *carry]))
+    return rows.mapInArrow(run, SCHEMA + further)
