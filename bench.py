@@ -27,6 +27,12 @@ HEADLINES = [
     "leaderboard_latest",
     "anomaly_scores",
     "network_scores",
+    "row_windows",
+    "retrieve_fallback",
+    "line_events_by_word",
+    "topk_similar_blocks",
+    "keyword_search_blocks",
+    "drop_last_pct",
     "stratified_split",
     "block_traces",
     "masked_templates",

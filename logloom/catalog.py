@@ -16,7 +16,7 @@ from .schemas import DEFAULT_EVENTS
 from .session import scratch_dir
 from .sizing import lookup
 from .sources import knowledge as know
-from .sources import logs, sinks
+from .sources import logs, sinks, tables
 from .streaming import board as boards
 from .streaming import jobs
 
@@ -194,19 +194,28 @@ def _pair_text(events: str = "events"):
 # ---------------------------------------------------------------- lines and matrix
 
 
-@register(
-    "event_matrix",
-    "matched labels_",
-    f"""SELECT m.block_id, CASE WHEN any_value(l.label) = 'Anomaly' THEN 'Fail' ELSE 'Success' END AS label,
+_MATRIX = f"""SELECT m.block_id, CASE WHEN any_value(l.label) = 'Anomaly' THEN 'Fail' ELSE 'Success' END AS label,
         CASE WHEN any_value(l.label) = 'Anomaly' THEN CASE WHEN count(*) FILTER (WHERE event_id = 'E7') > 0 THEN 7
              WHEN count(*) FILTER (WHERE event_id = 'E5') > 0 THEN 5 ELSE 0 END END AS type,
         {', '.join(f"count(*) FILTER (WHERE event_id = '{e}') AS {e}" for e in T4)}
-        FROM matched m LEFT JOIN labels_ l ON m.block_id = l.block_id WHERE m.block_id IS NOT NULL GROUP BY 1""",
-)
+        FROM matched m LEFT JOIN labels_ l ON m.block_id = l.block_id WHERE m.block_id IS NOT NULL GROUP BY 1"""
+
+
+@register("event_matrix", "matched labels_", _MATRIX)
 def event_matrix(spark, d):
     return matrix.build_matrix(_lines(spark, d), ad.TEMPLATES, ad.block_labels(_events(spark, d)))
 
 
+@register("matrix_files", "matched labels_", _MATRIX)
+def matrix_files(spark, d):
+    """The same matrix by way of files: log text in, matrix stored and read back."""
+    log, stored = scratch_dir(spark, "log"), scratch_dir(spark, "matrix")
+    _lines(spark, d).select("line").write.text(log)
+    built = matrix.build_matrix(logs.read_log_lines(spark, log), ad.TEMPLATES, ad.block_labels(_events(spark, d)))
+    sinks.write_matrix(built, stored, "csv")
+    return tables.read_matrix(spark, stored, T4).withColumn("type", F.col("type").cast("int"))
+
+
 @register("line_classification", "classed", "SELECT line_no, match_type, event_id, type, block_id FROM classed")
 def line_classification(spark, d):
     out = classify.classify_lines(_lines(spark, d), ad.TEMPLATES)
@@ -911,13 +920,12 @@ def classification_report(spark, d):
 
 @register("model_report")
 def model_report(spark, d):
-    return model.train_and_evaluate(ad.labelled_training(_events(spark, d)), hidden=(16, 8), iterations=40).report
+    return model.train_and_evaluate(ad.labelled_training(_events(spark, d))).report
 
 
 @register("model_importance")
 def model_importance(spark, d):
-    done = model.train_and_evaluate(ad.labelled_training(_events(spark, d)), hidden=(16, 8), iterations=10)
-    return done.importance
+    return model.train_and_evaluate(ad.labelled_training(_events(spark, d))).importance
 
 
 # ---------------------------------------------------------------- traces and windows

@@ -85,15 +85,10 @@ def delete_batches(
     return spark.createDataFrame(report, DELETED)
 
 
-def delete_all_batches(
-    spark: SparkSession, tables: Sequence[str], confirm: bool = False, limit: int = 100_000
-) -> DataFrame:
+def delete_all_batches(spark: SparkSession, tables: Sequence[str], confirm: bool = False) -> DataFrame:
     """Drop every batch of the first table from all of them.
 
     Reads the catalog's partition list, not the data.
     """
-    names = spark.sql(f"SHOW PARTITIONS {tables[0]}").limit(limit + 1).collect()
-    if len(names) > limit:
-        raise ValueError(f"more than {limit} batches: delete them in groups")
-    ids = [r[0].split("=", 1)[1] for r in names]
+    ids = [r[0].split("=", 1)[1] for r in spark.sql(f"SHOW PARTITIONS {tables[0]}").toLocalIterator()]
     return delete_batches(spark, tables, ids, confirm)
