@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.llm import bpe, html, licenses, packing, secrets
+from logloom.llm import bpe, html, licenses, negatives, packing, secrets, topk
 from logloom.llm.embeddings import near_vectors
 from logloom.llm.minhash import near_duplicates
 from logloom.llm.quality import repetition_coverage
+from logloom.llm.spelling import spelling_variants
 from logloom.llm.substrings import remove_repeated_windows
 from logloom.llm.suffixes import remove_earlier_strings
 from logloom.session import scratch_dir
@@ -84,6 +85,20 @@ def op10_consensus_paths(spark: SparkSession, folder: str) -> DataFrame:
     return html.main_text(_table(spark, folder, "pages"))
 
 
+def op11_pivot_distances(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_products(_table(spark, folder, "embeddings"))
+
+
+def op12_partenum_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants(_table(spark, folder, "documents"))
+
+
+def op13_threshold_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Every seventh id moves on to the next label, as its contract says."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(_table(spark, folder, "embeddings").withColumn("label", moved))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -97,7 +112,14 @@ QUERIES = {
         op8_license_windows,
         op9_sentencepiece_bpe,
         op10_consensus_paths,
+        op11_pivot_distances,
+        op12_partenum_spelling,
+        op13_threshold_negatives,
     )
 }
 #: The other operators' results (rolling hashes, digests, components, packing, tokens) are tested against brute force.
-SQL = {"op8_license_windows": licenses.license_sql()}
+SQL = {
+    "op8_license_windows": licenses.license_sql(),
+    "op11_pivot_distances": topk.top_sql(),
+    "op13_threshold_negatives": negatives.negatives_sql(),
+}
