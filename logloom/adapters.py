@@ -75,6 +75,24 @@ def log_lines(events: DataFrame) -> DataFrame:
     return computed_once(events, keep, line=_text(prefix, " INFO store.Node: ", message))
 
 
+def template_table(events: DataFrame) -> DataFrame:
+    """``position, event_id, template``: a template for every user and every number, then the general ones.
+
+    Those of a number have no whole word, and the last takes any line of some
+    length, so lines match several and templates of every kind occur.
+    """
+    user, size = F.col("user_id").cast("string"), F.floor("value").cast("bigint")
+    users = events.select((F.col("user_id") * 10 + 1).cast("bigint"), _text("U", user), _text("block blk_", user, " [*]"))
+    sizes = events.select(size * 10 + 2, _text("S", size.cast("string")), _text("size ", size.cast("string"), "[*]"))
+    halves = events.select(size * 10 + 3, _text("T", size.cast("string")), _text("size [*]", size.cast("string")))
+    general = events.sparkSession.createDataFrame(
+        [(10**9 + i, e, t) for i, (e, t) in enumerate([*TEMPLATES, ("E28", "e[*]7[*] "), ("E29", "[*]")])],
+        "position long, event_id string, template string",
+    )
+    names = general.columns
+    return users.toDF(*names).union(sizes.toDF(*names)).union(halves.toDF(*names)).distinct().union(general)
+
+
 def _code() -> Column:
     return F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v)) for k, v in EVENT_CODES.items()])
 

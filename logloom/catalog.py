@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,16 +10,17 @@ from pyspark.sql import functions as F
 
 from . import adapters as ad
 from .functions import intents, patterns, text as tx, tiers
-from .operators import aggregates, anomalies as an, batches, chat, classify, features, labels, leaderboard
-from .operators import ordering, retrieval, scoring, traces, training
+from .operators import aggregates, anomalies as an, batches, chat, chunking, classify, features, keyword_index, labels
+from .operators import leaderboard, ordering, retrieval, scoring, template_index, traces, training
 from .plans import batch_jobs, conversations, knowledge, matrix, model, reports
 from .schemas import DEFAULT_EVENTS
 from .session import scratch_dir
 from .sizing import lookup
 from .sources import knowledge as know
-from .sources import logs, sinks, tables
+from .sources import logs, numbering, sinks, tables
 from .streaming import board as boards
-from .streaming import jobs
+from .streaming import details, jobs
+from .streaming import row_windows as row_windows_
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -253,6 +255,26 @@ def unknown_lines(spark, d):
     return out.select("line_no", "line", "match_type")
 
 
+@register(
+    "split_line_files",
+    "lines",
+    """SELECT (n - 1) // 70 AS file_no, (n - 1) % 70 AS place, line_no FROM
+       (SELECT line_no, row_number() OVER (ORDER BY line_no) AS n FROM lines)""",
+)
+def split_line_files(spark, d):
+    """Lines in files by their number, cut into files of 70 lines, and read again."""
+    source, cut = scratch_dir(spark, "log"), scratch_dir(spark, "split")
+    lines = _lines(spark, d).select(F.concat_ws(" ", "line_no", "line").alias("value"), "line_no").repartitionByRange(5, "line_no")
+    lines.sortWithinPartitions("line_no").select("value").write.text(source)
+    sinks.split_files(spark, source, cut, 70)
+    read = numbering.numbered(spark.read.text(cut), "n")
+    first = read.groupBy("file_no").agg(F.min("n").alias("first"))
+    number = F.substring_index("value", " ", 1).cast("long")
+    return read.join(first, "file_no").select(
+        F.col("file_no").cast("long").alias("file_no"), (F.col("n") - F.col("first")).alias("place"), number.alias("line_no")
+    )
+
+
 @register("truncated_documents", "", "SELECT doc_id, substr(text, 1, 200) AS head FROM documents")
 def truncated_documents(spark, d):
     return ad.table(spark, d, "documents").select("doc_id", tx.truncate(F.col("text"), 200).alias("head"))
@@ -266,11 +288,76 @@ def line_events(spark, d):
 
 @register("line_events_by_word", "matched", "SELECT line_no, event_id FROM matched WHERE event_id IS NOT NULL")
 def line_events_by_word(spark, d):
-    rows = [(e, t, classify.anchor_word(t)) for e, t in ad.TEMPLATES]
-    table = spark.createDataFrame(rows, "event_id string, template string, anchor string")
+    table = spark.createDataFrame(ad.TEMPLATES, "event_id string, template string")
     return classify.match_by_anchor(_lines(spark, d), table, "line_no")
 
 
+# A template table of some thousand rows: of a user, of a number (twice), the general ones, and two that have no word.
+CTE["hits"] = """SELECT line_no, user_id * 10 + 1 AS position, 'U' || user_id AS event_id FROM matched JOIN
+    (SELECT DISTINCT user_id FROM events) ON contains(line, 'block blk_' || user_id || ' ')
+    UNION ALL SELECT line_no, n * 10 + 2, 'S' || n FROM matched JOIN numbers ON contains(line, 'size ' || n)
+    UNION ALL SELECT line_no, n * 10 + 3, 'T' || n FROM matched JOIN numbers ON line LIKE '%size %' || n || '%'
+    UNION ALL SELECT line_no, 1000000000 + CASE event_id WHEN 'E5' THEN 0 WHEN 'E7' THEN 1 WHEN 'E9' THEN 2 ELSE 3 END, event_id
+    FROM matched WHERE event_id IS NOT NULL
+    UNION ALL SELECT line_no, 1000000004, 'E28' FROM matched WHERE line LIKE '%e%7% %'
+    UNION ALL SELECT line_no, 1000000005, 'E29' FROM matched"""
+CTE["numbers"] = "SELECT DISTINCT CAST(floor(value) AS BIGINT) AS n FROM events"
+CTE["firsts"] = "SELECT line_no, arg_min(event_id, position) AS event_id FROM hits WHERE event_id <> 'E29' GROUP BY 1"
+NEEDS |= {"hits": ["matched", "numbers"], "firsts": ["hits"]}
+
+
+@register("template_table_matches", "hits", "SELECT line_no, position, event_id FROM hits")
+def template_table_matches(spark, d):
+    table = ad.template_table(_events(spark, d))
+    return template_index.indexed_matches(_lines(spark, d), table, "line_no")
+
+
+def _template_file(spark, d):
+    """The template table, without the one that takes any line, by way of a file; positions are places in it."""
+    path = scratch_dir(spark, "templates")
+    table = ad.template_table(_events(spark, d)).where("event_id <> 'E29'").orderBy("position")
+    table.select(F.col("event_id").alias("EventId"), F.col("template").alias("EventTemplate")).write.csv(
+        path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
+    return logs.load_templates(spark, path, limit=100)
+
+
+@register("template_table_first", "firsts", "SELECT line_no, event_id FROM firsts")
+def template_table_first(spark, d):
+    return template_index.first_matches(_lines(spark, d), _template_file(spark, d), "line_no")
+
+
+@register(
+    "template_table_classes",
+    "firsts",
+    """SELECT line_no, m AS match_type, CASE WHEN m = 'keyword_fallback' THEN 'E_UNKNOWN_ERR' ELSE event_id END AS event_id,
+       CASE WHEN m = 'unknown' THEN 'unknown' WHEN m = 'keyword_fallback' OR event_id IN ('E7', 'E28') THEN 'anomaly' ELSE 'normal' END AS type,
+       CASE WHEN m = 'keyword_fallback' OR event_id IN ('E7', 'E28')
+            THEN coalesce(nullif(regexp_extract(line, '(blk[-_]?-?[0-9]+)', 1), ''), 'unknown') END AS block_id
+       FROM (SELECT l.line_no, line, f.event_id, CASE WHEN f.event_id IS NOT NULL THEN 'template'
+             WHEN regexp_matches(line, '(?i)ERROR|FATAL|CRITICAL|Exception|Failed|Corrupt|timeout|unavailable|invalid') THEN 'keyword_fallback'
+             ELSE 'unknown' END AS m FROM lines l LEFT JOIN firsts f ON l.line_no = f.line_no)""",
+)
+def template_table_classes(spark, d):
+    out = classify.classify_lines(_lines(spark, d), _template_file(spark, d), key="line_no")
+    return out.select("line_no", "match_type", "event_id", "type", "block_id")
+
+
+@register(
+    "template_table_counts",
+    "hits labels_",
+    """SELECT b.block_id, CASE WHEN l.label = 'Anomaly' THEN 'Fail' ELSE 'Success' END AS label, c.event_id,
+       coalesce(c.cnt, 0) AS cnt FROM (SELECT DISTINCT block_id FROM matched WHERE block_id IS NOT NULL) b
+       LEFT JOIN (SELECT block_id, h.event_id, count(*) AS cnt FROM hits h JOIN matched m ON h.line_no = m.line_no
+       WHERE h.event_id NOT LIKE 'U%' AND h.event_id NOT IN ('E28', 'E29') GROUP BY 1, 2) c ON b.block_id = c.block_id
+       LEFT JOIN labels_ l ON b.block_id = l.block_id""",
+)
+def template_table_counts(spark, d):
+    events = _events(spark, d)
+    table = ad.template_table(events).where("event_id NOT LIKE 'U%' AND event_id NOT IN ('E28', 'E29')")
+    return matrix.build_counts(_lines(spark, d), table, ad.block_labels(events), "line_no")
+
+
 @register(
     "block_ids",
     "lines",
@@ -650,6 +737,26 @@ def incremental_features_large(spark, d):
     return batches.incremental_features(_counts(spark, d), _mark(), broadcast_blocks=0)
 
 
+def _bucketed(spark, d) -> str:
+    """The counts in a bucketed table, batch by batch."""
+    table = f"stats_{uuid.uuid4().hex}"
+    stats = _stats(spark, d)
+    early = F.col("last_updated") <= F.expr("timestamp_ntz'2024-01-15 00:00:00'")
+    for part in (stats.where(early), stats.where(~early)):
+        batches.store_bucketed(part, table, 8, scratch_dir(spark, "bucketed") if not spark.catalog.tableExists(table) else None)
+    return table
+
+
+@register("incremental_features_stored", "stats", _TOUCHED)
+def incremental_features_stored(spark, d):
+    return batches.incremental_features_stored(spark, _bucketed(spark, d), _mark())
+
+
+@register("incremental_features_stored_large", "stats", _TOUCHED)
+def incremental_features_stored_large(spark, d):
+    return batches.incremental_features_stored(spark, _bucketed(spark, d), _mark(), listed=0)
+
+
 @register(
     "incremental_anomalies",
     "stats",
@@ -1022,6 +1129,85 @@ def stream_block_counts_daily(spark, d):
     return jobs.latest_counts(spark, f"{base}/out", T4).drop("last_updated")
 
 
+def _pieces(spark, events: DataFrame, pieces: int = 4) -> str:
+    """The rows as files of a folder, dealt by hash: a stream that takes a file at a time meets them out of order."""
+    path = scratch_dir(spark, "pieces")
+    for i in range(pieces):
+        part = events.where(F.pmod(F.xxhash64("event_id"), F.lit(pieces)) == i)
+        part.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def _stream_pieces(spark, d, more: DataFrame | None = None) -> DataFrame:
+    """The log lines in four out-of-order micro-batches, and those of ``more`` in a last one."""
+    events = _events(spark, d)
+    path = _pieces(spark, events)
+    if more is not None:
+        more.coalesce(1).write.mode("append").parquet(path)
+    raw = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return ad.log_lines(raw).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@register("stream_state_counts", "stats", f"SELECT block_id, {_sums(T4)}, max(last_updated) AS last_updated FROM stats GROUP BY 1")
+def stream_state_counts(spark, d):
+    checkpoint = scratch_dir(spark, "state")
+    counts = jobs.running_counts(jobs.matched_events(_stream_pieces(spark, d), ad.TEMPLATES), T4)
+    jobs.keep_counts(counts, checkpoint).awaitTermination()
+    return jobs.state_counts(spark, checkpoint, counts, T4).withColumn("last_updated", F.col("last_updated").cast("timestamp_ntz"))
+
+
+@register("stream_state_counts_daily", "stats", f"SELECT block_id, {_sums(T4)}, max(last_updated) AS last_updated FROM stats GROUP BY 1")
+def stream_state_counts_daily(spark, d):
+    checkpoint = scratch_dir(spark, "state")
+    counts = jobs.running_counts(jobs.matched_events(_stream_pieces(spark, d), ad.TEMPLATES), T4, bucket="1 day")
+    jobs.keep_counts(counts, checkpoint).awaitTermination()
+    return jobs.state_counts(spark, checkpoint, counts, T4).withColumn("last_updated", F.col("last_updated").cast("timestamp_ntz"))
+
+
+def _later(spark, d, days: int) -> DataFrame:
+    """One event that many days after the newest: the time goes on without any row of a block."""
+    events = _events(spark, d)
+    newest = events.agg(F.max_by(F.struct(*events.columns), F.struct("ts", "event_id")).alias("e")).select("e.*")
+    return newest.withColumns({"ts": F.expr(f"ts + INTERVAL {days} DAY"), "event_id": F.col("event_id") + 1, "event_type": F.lit("signup")})
+
+
+@register(
+    "stream_row_windows",
+    "matched",
+    "SELECT (rn - 1) // 100 AS window_no, count(*) AS lines, "
+    + ", ".join(f"count(*) FILTER (WHERE event_id = '{e}') AS {e}" for e in T4)
+    + " FROM (SELECT *, row_number() OVER (ORDER BY ts, line_no) AS rn FROM matched) GROUP BY 1",
+)
+def stream_row_windows(spark, d):
+    base = scratch_dir(spark, "rows")
+    lines = _stream_pieces(spark, d, _later(spark, d, 800))
+    row_windows_.write_row_windows(
+        lines, ad.TEMPLATES, 100, f"{base}/out", f"{base}/cp", late="400 days", slot_seconds=86_400
+    ).awaitTermination()
+    return row_windows_.read_row_windows(spark, f"{base}/out").select("window_no", "lines", *T4)
+
+
+@register(
+    "stream_expired_details",
+    "board moment",
+    f"SELECT block_id, anomaly_score, {', '.join(f'CASE WHEN expires_at > (SELECT t FROM moment) - INTERVAL 60 HOUR THEN {e} END AS {e}' for e in T4)} FROM board",
+)
+def stream_expired_details(spark, d):
+    """``leaderboard_details`` by a stream: details leave the state 60 hours and a detail's time after their row."""
+    anomalies, base = _anom(spark, d), scratch_dir(spark, "details")
+    rows = anomalies.withColumn("detected_at", F.col("detected_at").cast("timestamp"))
+    for i in range(3):
+        rows.where(F.pmod(F.xxhash64("block_id"), F.lit(3)) == i).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    # A row of a block that scores lowest tells the time, as much later as rows may be late.
+    now = _events(spark, d).agg((F.max("ts").cast("timestamp") + F.expr("INTERVAL 60 DAY")).alias("detected_at"))
+    clock = now.select(F.lit("clock").alias("block_id"), F.lit(-1.0).alias("anomaly_score"), "detected_at")
+    clock = rows.where("false").unionByName(clock, allowMissingColumns=True)
+    clock.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    details.keep_board(stream, f"{base}/board", f"{base}/cp", seconds=3600 + 60 * 3600, late="60 days", event_ids=E).awaitTermination()
+    return boards.read_board(spark, f"{base}/board").select("block_id", "anomaly_score", *T4)
+
+
 _STREAM_SCORE = f"SELECT block_id, {_sums(E)}, max(last_updated) AS detected_at FROM stats GROUP BY 1"
 
 
@@ -1080,9 +1266,43 @@ def doc_load_once(spark, d):
     return retrieval.load_once(docs, seen).select("doc_id", "md5")
 
 
-@register("doc_chunks")
+def _chunk_sql() -> str:
+    """Level by level cuts, then a walk from chunk to chunk over the lengths of the pieces."""
+    parts = ["s0 AS (SELECT doc_id, CAST([] AS BIGINT[]) AS path, text AS t, -1 AS level, true AS opens, false AS whole, false AS done FROM documents)"]
+    last = len(chunking.SEPARATORS) - 1
+    for i, sign in enumerate(chunking.SEPARATORS):
+        sign = sign.replace("\n", "' || chr(10) || '")
+        parts.append(f"""s{i + 1} AS (SELECT * FROM s{i} WHERE done UNION ALL
+            SELECT doc_id, list_append(path, i), p, {i}, i = 1, length(p) >= 200, {'true' if i == last else 'length(p) < 200'} FROM
+            (SELECT doc_id, path, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, path, list_filter(list_transform(
+            string_split(t, '{sign}'), lambda x, i: CASE WHEN i = 1 THEN x ELSE '{sign}' || x END), lambda x: x <> '') AS ps FROM s{i} WHERE NOT done)))""")
+    chars = chunking.SPACE.replace("\\u1680", "\\x{1680}").replace("\\u2000-\\u200a", "\\x{2000}-\\x{200a}")
+    for code in ("2028", "2029", "202f", "205f", "3000"):
+        chars = chars.replace(f"\\u{code}", f"\\x{{{code}}}")
+    parts += [
+        f"""r AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY path) AS run FROM (SELECT *, CASE WHEN whole OR opens
+            OR level <> lag(level) OVER w OR lag(whole) OVER w THEN 1 ELSE 0 END AS fresh FROM s{last + 1} WINDOW w AS (PARTITION BY doc_id ORDER BY path)))""",
+        """pc AS (SELECT doc_id, run, t, whole, row_number() OVER w AS n, CAST(sum(length(t)) OVER w AS BIGINT) AS upto
+            FROM r WINDOW w AS (PARTITION BY doc_id, run ORDER BY path))""",
+        """ends AS (SELECT a.doc_id, a.run, a.n, max(b.n) AS b FROM pc a JOIN pc b ON a.doc_id = b.doc_id AND a.run = b.run AND b.n >= a.n
+            AND (b.n = a.n OR b.upto - a.upto + length(a.t) <= 200) GROUP BY ALL)""",
+        """nexts AS (SELECT x.doc_id, x.run, x.n AS b, min(CASE WHEN y.n <= x.n AND x.upto - y.upto + length(y.t) <= least(20, 200 - length(z.t))
+            THEN y.n ELSE x.n + 1 END) AS a FROM pc x JOIN pc z ON x.doc_id = z.doc_id AND x.run = z.run AND z.n = x.n + 1
+            JOIN pc y ON x.doc_id = y.doc_id AND x.run = y.run AND y.n <= x.n AND y.n > x.n - 20 GROUP BY ALL)""",
+        """walk AS (SELECT doc_id, run, CAST(1 AS BIGINT) AS a FROM pc GROUP BY ALL UNION ALL SELECT w.doc_id, w.run, x.a FROM walk w
+            JOIN ends e ON w.doc_id = e.doc_id AND w.run = e.run AND w.a = e.n JOIN nexts x ON w.doc_id = x.doc_id AND w.run = x.run AND x.b = e.b)""",
+        f"""cut AS (SELECT w.doc_id, w.run, w.a, CASE WHEN bool_or(whole) THEN string_agg(t, '' ORDER BY p.n)
+            ELSE regexp_replace(string_agg(t, '' ORDER BY p.n), '^[{chars}]+|[{chars}]+$', '', 'g') END AS chunk FROM walk w
+            JOIN ends e ON w.doc_id = e.doc_id AND w.run = e.run AND w.a = e.n
+            JOIN pc p ON w.doc_id = p.doc_id AND w.run = p.run AND p.n BETWEEN w.a AND e.b GROUP BY ALL)""",
+    ]
+    return f"""WITH RECURSIVE {', '.join(parts)} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY run, a) - 1 AS INTEGER)
+        AS chunk_no, chunk FROM cut WHERE chunk <> ''"""
+
+
+@register("doc_chunks", "", _chunk_sql())
 def doc_chunks(spark, d):
-    return retrieval.chunk_documents(ad.table(spark, d, "documents"))
+    return chunking.chunk_documents(ad.table(spark, d, "documents"))
 
 
 @register("topk_similar", "ranked", "SELECT query_id, rank, item_id, round(s, 6) AS score FROM ranked")
@@ -1107,13 +1327,49 @@ _WORD_HITS = f"""SELECT DISTINCT q.query_id, doc.doc_id AS item_id FROM (
 
 @register("keyword_search", "", _WORD_HITS)
 def keyword_search(spark, d):
-    return retrieval.keyword_search(ad.template_questions(spark), ad.table(spark, d, "documents"))
+    return keyword_index.keyword_search(ad.template_questions(spark), ad.table(spark, d, "documents"))
 
 
 @register("keyword_search_blocks", "", _WORD_HITS)
 def keyword_search_blocks(spark, d):
-    docs = ad.table(spark, d, "documents")
-    return retrieval.keyword_search(ad.template_questions(spark), docs, max_inline=2, cell_rows=400)
+    """By a stored index, with frequent runs dealt into many parts."""
+    docs, path = ad.table(spark, d, "documents"), scratch_dir(spark, "postings")
+    keyword_index.gram_postings(docs).write.parquet(path)
+    return keyword_index.keyword_search(ad.template_questions(spark), docs, postings=spark.read.parquet(path), part_rows=100)
+
+
+# Every benchmark passage is a question; short words of one and two characters are among its words.
+@register(
+    "keyword_search_passages",
+    "",
+    """SELECT q.query_id, doc.doc_id AS item_id FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-zA-Z0-9_]+')) AS w
+       FROM benchmark) q JOIN documents doc ON contains(lower(doc.text), q.w) WHERE length(w) > 9 GROUP BY 1, 2""",
+)
+def keyword_search_passages(spark, d):
+    words = F.filter(tx.keywords(F.col("text")), lambda w: F.length(w) > 9)
+    asked = ad.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("text"))
+    return keyword_index.keyword_search(asked, ad.table(spark, d, "documents"))
+
+
+def _diverse_sql(k: int, fetch: int) -> str:
+    """One step after the other: the best of what is left, by score less likeness to what is chosen."""
+    cos = "list_cosine_similarity(CAST({}.v AS DOUBLE[]), CAST({}.v AS DOUBLE[]))"
+    parts = [f"""c AS (SELECT query_id, item_id, s, embedding AS v FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) AS pos
+        FROM (SELECT query_id, vec_id AS item_id, embedding, list_cosine_similarity(q, CAST(embedding AS DOUBLE[])) AS s FROM queries_, embeddings)) WHERE pos <= {fetch})""",
+        "d1 AS (SELECT query_id, 1 AS rank, item_id, s, v FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY s DESC, item_id) = 1)"]
+    for i in range(2, k + 1):
+        parts.append(f"""d{i} AS (SELECT * FROM d{i - 1} UNION ALL SELECT query_id, {i}, item_id, s, v FROM (
+            SELECT c.query_id, c.item_id, any_value(c.s) AS s, any_value(c.v) AS v, 0.5 * any_value(c.s) - 0.5 * max({cos.format('c', 'd')}) AS m FROM c JOIN d{i - 1} d
+            ON c.query_id = d.query_id GROUP BY 1, 2 HAVING count(*) FILTER (WHERE c.item_id = d.item_id) = 0)
+            QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY m DESC, item_id) = 1)""")
+    return f"SELECT * FROM (WITH {', '.join(parts)} SELECT query_id, rank, item_id, round(s, 6) AS score FROM d{k})"
+
+
+@register("diverse_answers", "queries_", _diverse_sql(5, 20))
+def diverse_answers(spark, d):
+    vectors = ad.table(spark, d, "embeddings")
+    found = retrieval.similar_and_diverse(ad.label_queries(vectors), ad.vectors(vectors), k=5)
+    return found.withColumn("score", F.round("score", 6))
 
 
 @register(

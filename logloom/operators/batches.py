@@ -1,4 +1,4 @@
-"""Incremental and pending work, and batch deletion."""
+"""Incremental and pending work, and batch deletion."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..schemas import DEFAULT_EVENTS
-from ..sizing import is_small
+from ..sizing import is_small, rows_if_small
 from .features import pivot_counts
 
 
@@ -46,6 +46,38 @@ def incremental_features(
     return pivot_counts(stats, event_ids, extra=newest).where(F.col("last_updated") > mark)
 
 
+def store_bucketed(stats: DataFrame, table: str, buckets: int = 200, path: str | None = None) -> None:
+    """Append counts to a table that is bucketed and sorted by block.
+
+    Each append is shuffled once, into one file for each bucket; whatever is
+    summed by block later reads the buckets as they lie.
+    """
+    dealt = stats.repartition(buckets, "block_id")
+    writer = dealt.write.mode("append").format("parquet").bucketBy(buckets, "block_id").sortBy("block_id")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
+def incremental_features_stored(
+    spark: SparkSession,
+    table: str,
+    mark: Column,
+    event_ids: Sequence[str] = DEFAULT_EVENTS,
+    listed: int = 1_000,
+) -> DataFrame:
+    """``incremental_features`` over a table of ``store_bucketed``, without an exchange of its rows.
+
+    Each task sums whole buckets and keeps the blocks that were touched after
+    the mark. At most ``listed`` touched blocks are named in a filter, which
+    also prunes the buckets that hold none of them.
+    """
+    stats = spark.table(table).where(F.col("block_id").isNotNull())
+    touched = rows_if_small(stats.where(F.col("last_updated") > mark).select("block_id").distinct(), listed)
+    if touched is not None:
+        stats = stats.where(F.col("block_id").isin([r[0] for r in touched]))
+    wide = pivot_counts(stats, event_ids, extra=[F.max("last_updated").alias("last_updated")])
+    return wide.where(F.col("last_updated") > mark)
+
+
 def high_water_mark(df: DataFrame, time: str = "last_updated") -> DataFrame:
     return df.agg(F.max(time).alias("mark"))
 

@@ -8,25 +8,34 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..functions.patterns import Template, all_matches, first_match, template_regex_column
+from ..functions.patterns import Template, first_match
 from ..functions.tiers import is_anomaly_event
+from .template_index import first_matches, indexed_matches
 
 UNKNOWN_ERROR = "E_UNKNOWN_ERR"
 
 
 def classify_lines(
     lines: DataFrame,
-    templates: Sequence[Template],
+    templates: Sequence[Template] | DataFrame,
     keyword_fallback: bool = True,
     line: str = "line",
+    key: str | None = None,
 ) -> DataFrame:
     """Add ``match_type``, ``event_id``, ``type`` and ``block_id`` to every line.
 
-    One projection without a shuffle; it works on a stream as well. Only
-    anomalous lines name their block.
+    With a list of templates one projection without a shuffle, which works on a
+    stream as well. A table of templates (position, event_id, template) of any
+    size goes through an index; the lines then need a unique ``key``, by which
+    their matches are joined. Only anomalous lines name their block.
     """
     text = F.col(line)
-    found = lines.withColumn("event_id", first_match(text, templates))
+    if isinstance(templates, DataFrame):
+        if key is None:
+            raise ValueError("a table of templates needs a unique key of the lines")
+        found = lines.join(first_matches(lines, templates, key, line), key, "left")
+    else:
+        found = lines.withColumn("event_id", first_match(text, templates))
     word = tx.has_error_word(text) if keyword_fallback else F.lit(False)
     kind = F.when(F.col("event_id").isNotNull(), "template").when(word, "keyword_fallback").otherwise("unknown")
     typed = found.withColumn("match_type", kind)
@@ -59,10 +68,6 @@ def unmatched_lines(classified: DataFrame) -> DataFrame:
     return classified.where(F.col("match_type") != "template")
 
 
-#: Templates without an anchor word that go into one pass.
-LITERALS = 500
-
-
 def anchor_word(template: str) -> str | None:
     """The longest word of a template that any matching line must hold as a whole word.
 
@@ -76,23 +81,9 @@ def anchor_word(template: str) -> str | None:
 
 
 def match_by_anchor(lines: DataFrame, templates: DataFrame, key: str, line: str = "line") -> DataFrame:
-    """All matches against a template table too large to inline: ``key, event_id``.
+    """All matches against a table of templates (event_id, template): ``key, event_id``.
 
-    Lines meet templates through a word both must hold, by an equi-join that
-    adaptive execution may broadcast or split; the pattern then decides.
-    ``templates`` has ``event_id, template, anchor`` (see ``anchor_word``).
-    Templates without an anchor are matched as literals, ``LITERALS`` to a pass
-    over the lines.
+    By the index of ``indexed_matches``, which picks the rarest term itself.
     """
-    words = F.array_distinct(F.regexp_extract_all(F.col(line), F.lit(r"[A-Za-z0-9_]+"), F.lit(0)))
-    tokens = lines.select(key, line, F.explode(words).alias("anchor"))
-    anchored = templates.where(F.col("anchor").isNotNull()).select(
-        "event_id", "anchor", template_regex_column(F.col("template")).alias("_pattern")
-    )
-    hits = tokens.join(anchored, "anchor").where(F.expr(f"`{line}` rlike _pattern"))
-    found = hits.select(key, "event_id")
-    loose = [(r.event_id, r.template) for r in templates.where(F.col("anchor").isNull()).toLocalIterator()]
-    for at in range(0, len(loose), LITERALS):
-        matched = all_matches(F.col(line), loose[at : at + LITERALS])
-        found = found.union(lines.select(key, F.explode(matched).alias("event_id")))
-    return found
+    placed = templates.select(F.monotonically_increasing_id().alias("position"), "event_id", "template")
+    return indexed_matches(lines, placed, key, line).select(key, "event_id")

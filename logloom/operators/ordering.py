@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..sizing import rows_if_small
+from ..session import written_once
 
 
 def first_rows(df: DataFrame, n: int, order_by: Sequence[str | Column]) -> DataFrame:
@@ -80,49 +84,56 @@ def drop_last_percent(df: DataFrame, key: str, percent: int, **selection: int) -
     return df.where(F.col(key).isNull() | (F.col(key) <= F.lit(cutoff)))
 
 
-def epoch_seconds(df: DataFrame, time: str) -> Column:
-    """Whole seconds since 1970; a wall-clock time is taken as it stands, whatever the session zone."""
-    t = F.col(time)
-    if df.schema[time].dataType.typeName() == "timestamp":
-        return F.unix_seconds(t)
-    day = F.unix_date(F.to_date(t)).cast("bigint")
-    return day * 86400 + F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t)
-
-
 def rank_in_time(
-    df: DataFrame,
-    time: str,
-    ties: Sequence[str],
-    group: str | None = None,
-    name: str = "position",
-    slot_seconds: int = 60,
-    max_group_rows: int = 1_000_000,
-    max_hot: int = 10_000,
+    df: DataFrame, time: str, ties: Sequence[str], group: str | None = None, name: str = "position"
 ) -> DataFrame:
     """Exact 1-based position by time, overall or within each group, without a huge task.
 
-    Groups are counted first. The rows of a group with more than
-    ``max_group_rows`` are numbered inside each minute and shifted by the number
-    of rows in the group's earlier minutes; only those counts, one per minute,
-    are ordered per group. All other groups are numbered directly.
+    Rows are range-partitioned by (group, time, ties) at quantiles that Spark
+    samples, so that tasks are even however the rows lie in time or among the
+    groups. A sorted partition is numbered as it streams by; only the group that
+    a partition begins with can have earlier rows, and their number comes from
+    the sizes of such groups in the partitions before, one row for each. ``df``
+    is read twice (once for the sample). A null group is a group like any other.
     """
     grouped = df.withColumn("_group", F.col(group) if group else F.lit(0))
-    large = grouped.groupBy("_group").agg(F.count("*").alias("n")).where(F.col("n") > max_group_rows)
-    hot = rows_if_small(large.select("_group"), max_hot)
-    if not hot and hot is not None:
-        order = Window.partitionBy("_group").orderBy(time, *ties)
-        return grouped.withColumn(name, F.row_number().over(order).cast("bigint")).drop("_group")
-    busy = F.col("_group").isin([r[0] for r in hot]) if hot is not None else F.lit(True)
-    slot = F.when(busy, F.floor(epoch_seconds(df, time) / slot_seconds)).otherwise(F.lit(0))
-    slotted = grouped.withColumn("_slot", slot)
-    keys = ["_group", "_slot"]
-    sizes = slotted.where(busy).groupBy(*keys).agg(F.count("*").alias("_rows"))
-    before = Window.partitionBy("_group").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, F.sum("_rows").over(before).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(time, *ties))
-    offsets = offsets.toDF("_of_group", "_of_slot", "_before")
-    # A null group is a group like any other.
-    same = F.col("_group").eqNullSafe(F.col("_of_group")) & F.col("_slot").eqNullSafe(F.col("_of_slot"))
-    numbered = slotted.withColumn("_inside", inside).join(offsets, same, "left")
-    position = (F.coalesce("_before", F.lit(0)) + F.col("_inside")).cast("bigint")
-    return numbered.withColumn(name, position).select(*df.columns, name)
+    keys = ["_group", time, *ties]
+    ranged = grouped.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    schema = T.StructType(
+        [*ranged.schema.fields, *[T.StructField(n, T.LongType()) for n in ("_part", "_run", "_at")]]
+    )
+    placed = written_once(ranged.mapInArrow(_number_runs, schema), "ranked")
+    first = placed.where("_run = 0 AND _at = 0").select("_part", F.col("_group").alias("_begun"))
+    sizes = placed.join(first.select("_begun").distinct(), F.col("_group").eqNullSafe(F.col("_begun")), "left_semi")
+    sizes = sizes.groupBy("_group", "_part").agg(F.count("*").alias("_rows"))
+    before = Window.partitionBy("_group").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = sizes.withColumn("_before", F.sum("_rows").over(before)).where(F.col("_before") > 0)
+    # One row at most for each partition: a group that goes on there began before.
+    earlier = earlier.select("_part", F.lit(0).cast("bigint").alias("_run"), "_before")
+    position = (F.col("_at") + 1 + F.coalesce("_before", F.lit(0))).cast("bigint")
+    return placed.join(earlier, ["_part", "_run"], "left").select(*df.columns, position.alias(name))
+
+
+def _number_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Add the partition, the number of the group in it, and the place in the group to rows sorted by ``_group``."""
+    from pyspark import TaskContext
+
+    part, run, at, last = TaskContext.get().partitionId(), -1, 0, None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        group = batch.column(batch.schema.get_field_index("_group"))
+        changed = np.ones(n, bool)
+        if n > 1:
+            a, b = group.slice(1), group.slice(0, n - 1)
+            # Null groups are equal to each other alone.
+            other = pc.fill_null(pc.not_equal(a, b), False).to_numpy(zero_copy_only=False)
+            changed[1:] = other | (np.asarray(a.is_null()) != np.asarray(b.is_null()))
+        changed[0] = run < 0 or group[0].as_py() != last
+        runs = run + np.cumsum(changed)
+        begin = np.maximum.accumulate(np.where(changed, np.arange(n), -1))
+        places = np.where(begin < 0, at + np.arange(n), np.arange(n) - begin)
+        run, at, last = int(runs[-1]), int(places[-1]) + 1, group[n - 1].as_py()
+        columns = [*batch.columns, pa.array(np.full(n, part)), pa.array(runs), pa.array(places)]
+        yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "_part", "_run", "_at"])

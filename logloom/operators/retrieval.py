@@ -1,12 +1,9 @@
-"""Knowledge retrieval: loading once, chunking, similarity, keyword search, context."""
+"""Knowledge retrieval: loading once, similarity, diverse answers, fallback, context."""
 
 from __future__ import annotations
 
 import math
-from collections import deque
 from collections.abc import Callable, Iterator, Sequence
-from functools import reduce
-from operator import or_
 
 import numpy as np
 import pandas as pd
@@ -14,18 +11,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import keywords
 from ..session import written_once
 from ..sizing import rows_if_small
+from .keyword_index import keyword_search
 
-# Chunk size, overlap and separators in the order they are tried.
-CHUNK_SIZE = 200
-CHUNK_OVERLAP = 20
-SEPARATORS = ("\n\n", "\n", ".", "!", "?", "。", "！", "？", "{", "}")
+# Fixed value: candidates of which diverse answers are chosen.
+FETCH = 20
 
 # Queries up to this many travel to every task; more are met block by block.
 MAX_INLINE_QUERIES = 2_000
-MAX_INLINE_PATTERNS = 200
 CELL_ROWS = 50_000
 
 
@@ -40,67 +34,6 @@ def load_once(docs: DataFrame, seen: DataFrame, key: str = "doc_id", text: str =
     return docs.join(fresh, key)
 
 
-def split_text(
-    text: str,
-    size: int = CHUNK_SIZE,
-    overlap: int = CHUNK_OVERLAP,
-    separators: Sequence[str] = SEPARATORS,
-) -> list[str]:
-    """Chunks of at most ``size`` characters, cut at the coarsest separator that helps.
-
-    Pieces keep the separator they start with. A piece that is too long is cut
-    by the finer separators; when none is left it stays whole. Neighbouring
-    chunks of one run of pieces share up to ``overlap`` characters.
-    """
-    level = next((i for i, s in enumerate(separators) if s in text), len(separators) - 1)
-    separator, finer = separators[level], separators[level + 1 :]
-    head, *tail = text.split(separator)
-    chunks: list[str] = []
-    run: list[str] = []
-    for piece in filter(None, [head, *(separator + t for t in tail)]):
-        if len(piece) < size:
-            run.append(piece)
-            continue
-        chunks += _pack(run, size, overlap)
-        run = []
-        chunks += split_text(piece, size, overlap, finer) if finer else [piece]
-    return chunks + _pack(run, size, overlap)
-
-
-def _pack(pieces: list[str], size: int, overlap: int) -> list[str]:
-    """Greedy runs of pieces; each chunk starts with the tail of the one before."""
-    out: list[str] = []
-    held: deque[str] = deque()
-    length = 0
-    for piece in pieces:
-        if held and length + len(piece) > size:
-            out.append("".join(held).strip())
-            while length > overlap or (length and length + len(piece) > size):
-                length -= len(held.popleft())
-        held.append(piece)
-        length += len(piece)
-    out.append("".join(held).strip())
-    return [chunk for chunk in out if chunk]
-
-
-def chunk_documents(
-    docs: DataFrame,
-    key: str = "doc_id",
-    text: str = "text",
-    size: int = CHUNK_SIZE,
-    overlap: int = CHUNK_OVERLAP,
-    separators: Sequence[str] = SEPARATORS,
-) -> DataFrame:
-    """One row per chunk: ``key, chunk_no, chunk`` (R2). A narrow step over Arrow batches."""
-    separators = tuple(separators)
-
-    @F.pandas_udf("array<string>")
-    def chunks(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_text(t, size, overlap, separators) if t else [])
-
-    return docs.select(key, F.posexplode(chunks(F.col(text))).alias("chunk_no", "chunk"))
-
-
 def topk_similar(
     queries: DataFrame,
     corpus: DataFrame,
@@ -220,46 +153,60 @@ def _blocks(
     return left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInArrow(run, schema)
 
 
-def keyword_search(
-    queries: DataFrame, docs: DataFrame, key: str = "doc_id", text: str = "text",
-    max_inline: int = MAX_INLINE_PATTERNS, cell_rows: int = 2_000,
+def diverse(
+    candidates: DataFrame, k: int = 3, weight: float = 0.5
 ) -> DataFrame:
-    """Pairs ``query_id, item_id`` where any word of the query occurs in the document.
-
-    A word may be part of a longer one and case does not matter. All questions
-    are tested in one pass over the documents by plain substring search; too
-    many for that are met block by block.
+    """Maximal marginal relevance: ``k`` of each query's candidates that are similar to it but not to each other.
+
+    ``candidates(query_id, item_id, score, embedding)``, a bounded number
+    for each query, as ``topk_similar`` gives them. The first choice has the
+    highest score; each further one the highest ``weight * score -
+    (1 - weight) * (its highest cosine with a chosen one)``, ties by item id.
+    Cosines of all pairs of a query's candidates come from one self-join; the
+    choice is a fold over them. Returns ``query_id, rank, item_id, score``.
     """
-    words = queries.select("query_id", F.array_distinct(F.transform(keywords(F.col("text")), F.lower)).alias("words"))
-    asked = words.where(F.size("words") > 0)
-    small = rows_if_small(asked, max_inline)
-    if small is None:
-        types = (queries.schema["query_id"].dataType.simpleString(), docs.schema[key].dataType.simpleString())
-        corpus = docs.select(F.col(key).alias("item_id"), F.col(text).alias("text"))
-        return _blocks(
-            asked, corpus, _word_cell, f"query_id {types[0]}, item_id {types[1]}", max_inline, cell_rows,
-            ["words"], ["text"],
-        )
-    kind = queries.schema["query_id"].dataType.simpleString()
-    folded = docs.select(F.col(key).alias("item_id"), F.lower(text).alias("_text"))
-
-    def asked_for(words: list[str]) -> Column:
-        return reduce(or_, [F.col("_text").contains(w) for w in words])
-
-    hits = [F.when(asked_for(r.words), F.lit(r.query_id)) for r in small]
-    found = F.array_compact(F.array(*hits)) if hits else F.array()
-    return folded.select(F.explode(found.cast(f"array<{kind}>")).alias("query_id"), "item_id")
-
-
-def _word_cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """All (question, document) hits of one block pair."""
-    pairs = []
-    if len(left) and len(right):
-        texts = right["text"].fillna("").str.lower()
-        for query, words in zip(left["query_id"], left["words"]):
-            hit = texts.str.contains("|".join(words), regex=True)
-            pairs += [(query, item) for item in right["item_id"][hit]]
-    return pd.DataFrame({"query_id": [q for q, _ in pairs], "item_id": [i for _, i in pairs]})
+    vector = F.transform("embedding", lambda x: x.cast("double"))
+    rows = written_once(candidates.select("query_id", "item_id", "score", vector.alias("v")), "candidates")
+    a, b = rows.alias("a"), rows.alias("b")
+    cosine = _cosine(F.col("a.v"), F.col("b.v"))
+    near = a.join(b, F.col("a.query_id") == F.col("b.query_id")).groupBy("a.query_id", "a.item_id").agg(
+        F.first("a.score").alias("score"), F.array_sort(F.collect_list(F.struct("b.item_id", cosine.alias("cosine")))).alias("near")
+    )
+    listed = near.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("item_id", "score", "near"))).alias("all"))
+
+    def value(c: Column, chosen: Column) -> Column:
+        closest = F.array_max(F.transform(chosen, lambda x: F.filter(c["near"], lambda y: y["item_id"] == x["item_id"])[0]["cosine"]))
+        return F.when(F.size(chosen) == 0, c["score"]).otherwise(weight * c["score"] - (1 - weight) * closest)
+
+    def choose(chosen: Column, _: Column) -> Column:
+        left = F.filter("all", lambda c: ~F.exists(chosen, lambda x: x["item_id"] == c["item_id"]))
+        # Highest value first; the list is in order of the ids, so the first of equal ones has the smallest.
+        valued = F.transform(left, lambda c, i: F.struct(value(c, chosen).alias("value"), (-i).alias("i"), c["item_id"].alias("item_id"), c["score"].alias("score")))
+        best = F.array_max(valued)
+        return F.when(F.size(left) == 0, chosen).otherwise(F.concat(chosen, F.array(F.struct(best["item_id"].alias("item_id"), best["score"].alias("score")))))
+
+    item = rows.schema["item_id"].dataType.simpleString()
+    nothing = F.array().cast(f"array<struct<item_id:{item},score:double>>")
+    chosen = listed.select("query_id", F.aggregate(F.sequence(F.lit(1), F.lit(k)), nothing, choose).alias("chosen"))
+    return chosen.select("query_id", F.posexplode("chosen").alias("at", "c")).select(
+        "query_id", (F.col("at") + 1).alias("rank"), "c.item_id", "c.score"
+    )
+
+
+def _cosine(a: Column, b: Column) -> Column:
+    def dot(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
+
+    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(norms > 0, dot(a, b) / norms).otherwise(F.lit(0.0))
+
+
+def similar_and_diverse(
+    queries: DataFrame, corpus: DataFrame, k: int = 3, fetch: int = FETCH, weight: float = 0.5, min_score: float | None = None
+) -> DataFrame:
+    """The ``fetch`` most similar rows of each query, cut to ``k`` by ``diverse``."""
+    found = topk_similar(queries, corpus, fetch, min_score)
+    return diverse(found.join(corpus.select("item_id", "embedding"), "item_id"), k, weight)
 
 
 def retrieve_with_fallback(

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schemas import DEFAULT_EVENTS
+from ..session import written_once
 from ..sizing import is_small, literal_lookup
 from .features import event_array
 from .scoring import Scaler
@@ -29,27 +30,41 @@ def stratified_split(
     """Add ``part``: exactly ``ceil(share * n)`` rows of every label become the test set (M2).
 
     Rows are ordered by a hash of their key. Counts per label and hash prefix
-    tell which prefix holds the cut; only rows are ranked that share a label and
-    a prefix, about n / 65536 of them, so a label with most of the rows is not
-    one task.
+    tell which prefix holds the cut, and only the keys that share it, about
+    n / 65536 of a label, are sorted to find the cut itself. The split is then a
+    comparison with the cut of the row's label, so that no wide row moves. Only
+    rows with the very key of the cut are ranked, if not all of them fit.
     """
-    group = F.col(label) if strata else F.lit("all")
+    group = F.coalesce(F.col(label).cast("string"), F.lit("")) if strata else F.lit("all")
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
-    hashed = df.withColumn("_group", F.coalesce(group.cast("string"), F.lit(""))).withColumn("_hash", digest)
-    hashed = hashed.withColumn("_prefix", F.substring("_hash", 1, 4))
-    sizes = hashed.groupBy("_group", "_prefix").agg(F.count("*").alias("_rows"))
+    keys = df.select(group.alias("_group"), F.struct(digest.alias("hash"), F.col(key).alias("key")).alias("_place"))
+    keys = keys.withColumn("_prefix", F.substring("_place.hash", 1, 4))
+    sizes = keys.groupBy("_group", "_prefix").agg(F.count("*").alias("_rows"))
     per_label = Window.partitionBy("_group")
     before = per_label.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    plan = sizes.select(
-        "_group",
-        "_prefix",
-        F.ceil(F.sum("_rows").over(per_label) * F.lit(test_share)).alias("_wanted"),
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"),
+    wanted = F.ceil(F.sum("_rows").over(per_label) * F.lit(test_share)) - F.coalesce(F.sum("_rows").over(before), F.lit(0))
+    # One row a label: the prefix in which its test rows end, and how many of them lie there.
+    ends = written_once(
+        sizes.withColumn("_wanted", wanted).where((F.col("_wanted") > 0) & (F.col("_wanted") <= F.col("_rows"))).drop("_rows"), "cuts"
     )
-    inside = F.row_number().over(Window.partitionBy("_group", "_prefix").orderBy("_hash", key))
-    ranked = hashed.withColumn("_inside", inside).join(plan, ["_group", "_prefix"])
-    chosen = F.col("_before") + F.col("_inside") <= F.col("_wanted")
-    return ranked.withColumn("part", F.when(chosen, "test").otherwise("train")).select(*df.columns, "part")
+    inside = Window.partitionBy("_group", "_prefix").orderBy("_place")
+    ranked = keys.join(ends, ["_group", "_prefix"]).withColumn("_rank", F.row_number().over(inside))
+    same = ranked.groupBy("_group", "_wanted", "_place").agg(F.min("_rank").alias("_first"), F.max("_rank").alias("_last"))
+    cuts = same.where("_wanted BETWEEN _first AND _last").select(
+        F.col("_group").alias("_label"), F.col("_place").alias("_cut"), (F.col("_wanted") - F.col("_first") + 1).alias("_fit"),
+        (F.col("_last") > F.col("_wanted")).alias("_split"),
+    )
+    cuts = written_once(cuts, "cuts")
+    place = F.struct(digest.alias("hash"), F.col(key).alias("key"))
+    marked = df.withColumns({"_group": group, "_place": place}).join(cuts, F.col("_group") == F.col("_label"), "left")
+    chosen = F.coalesce(F.col("_place") <= F.col("_cut"), F.lit(False))
+    if cuts.where("_split").isEmpty():
+        return marked.select(*df.columns, F.when(chosen, "test").otherwise("train").alias("part"))
+    at_cut = F.coalesce(F.col("_split") & (F.col("_place") == F.col("_cut")), F.lit(False))
+    rest = marked.where(~at_cut).select(*df.columns, F.when(chosen, "test").otherwise("train").alias("part"))
+    order = Window.partitionBy("_group").orderBy(F.xxhash64(*df.columns))
+    tied = marked.where(at_cut).withColumn("_rank", F.row_number().over(order))
+    return rest.union(tied.select(*df.columns, F.when(F.col("_rank") <= F.col("_fit"), "test").otherwise("train").alias("part")))
 
 
 def class_weights(df: DataFrame, target: str = "target") -> DataFrame:

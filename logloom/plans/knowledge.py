@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.retrieval import chunk_documents, context_text, load_once, retrieve_with_fallback
+from ..operators.chunking import chunk_documents
+from ..operators.retrieval import context_text, load_once, retrieve_with_fallback
 
 
 def load_knowledge(docs: DataFrame, seen: DataFrame) -> DataFrame:

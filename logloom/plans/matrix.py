@@ -11,6 +11,7 @@ from ..functions import text as tx
 from ..functions.once import computed_once
 from ..functions.patterns import Template, first_match
 from ..operators.features import block_event_matrix
+from ..operators.template_index import event_counts
 from ..operators.labels import join_training, matrix_differences, with_default_labels
 from ..schemas import DEFAULT_EVENTS, LABELS, event_order
 
@@ -35,6 +36,13 @@ def build_matrix(
     return labelled.orderBy("block_id") if ordered else labelled
 
 
+def build_counts(lines: DataFrame, templates: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """The matrix in long form, for a table of templates of any size: ``block_id, label, event_id, cnt``."""
+    counts = event_counts(lines, templates, key)
+    named = labels.select("block_id", F.when(F.col("label") == "Anomaly", "Fail").otherwise("Success").alias("label"))
+    return counts.join(named, "block_id", "left").withColumn("label", F.coalesce("label", F.lit("Success")))
+
+
 def build_training_set(
     features: DataFrame, labels: DataFrame, event_ids: Sequence[str] = DEFAULT_EVENTS
 ) -> DataFrame:

@@ -12,7 +12,9 @@ from ..functions.patterns import Template
 from ..functions.text import clean_line
 from ..schemas import DEFAULT_EVENTS, TEMPLATES, wide_record
 from ..sizing import rows_if_small
+from .numbering import numbered
 
+#: Templates that a plan holds as literals.
 MAX_TEMPLATES = 5_000
 
 
@@ -43,14 +45,22 @@ def decode_wide(raw: DataFrame, column: str = "value", event_ids: Sequence[str]
     return raw.select(record.alias("r")).select("r.*")
 
 
-def load_templates(spark: SparkSession, path: str, limit: int = MAX_TEMPLATES) -> list[Template]:
-    """Templates in file order. A template file is small by nature; that is checked."""
-    rows = rows_if_small(
-        spark.read.csv(path, schema=TEMPLATES, header=True, quote='"', escape='"'), limit
+def read_templates(spark: SparkSession, path: str) -> DataFrame:
+    """``position, event_id, template``: any number of templates, numbered in file order."""
+    rows = spark.read.csv(path, schema=TEMPLATES, header=True, quote='"', escape='"')
+    return numbered(rows, "position").select(
+        "position", F.col("EventId").alias("event_id"), F.col("EventTemplate").alias("template")
     )
-    if rows is None:
-        raise ValueError(f"more than {limit} templates: read the file as a table and use match_by_anchor")
-    return [(r.EventId, r.EventTemplate) for r in rows]
+
+
+def load_templates(spark: SparkSession, path: str, limit: int = MAX_TEMPLATES) -> list[Template] | DataFrame:
+    """Templates in file order: a list of at most ``limit`` that goes into the plan, else the table of ``read_templates``.
+
+    ``classify_lines``, ``event_counts`` and ``build_matrix`` take either.
+    """
+    table = read_templates(spark, path)
+    rows = rows_if_small(table, limit)
+    return table if rows is None else [(r.event_id, r.template) for r in sorted(rows, key=lambda r: r.position)]
 
 
 def kafka_options(

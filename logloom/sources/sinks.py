@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import sqltext as sq
 from ..schemas import DEFAULT_EVENTS
+from .numbering import numbered
 
 
 def append_anomalies(df: DataFrame, path: str, scored: DataFrame | None = None) -> None:
@@ -99,7 +100,10 @@ def write_kafka(df: DataFrame, options: dict[str, str], column: str = "value") -
 
 
 def split_lines(df: DataFrame, path: str, lines_per_file: int = 1_000_000, column: str = "value") -> None:
-    """Text files of at most ``lines_per_file`` lines, in input order within each file."""
+    """Text files of at most ``lines_per_file`` lines, in input order within each file.
+
+    Any DataFrame; each task cuts its own lines. For exact cuts over files see ``split_files``.
+    """
     (
         df.select(column)
         .write.mode("overwrite")
@@ -108,6 +112,23 @@ def split_lines(df: DataFrame, path: str, lines_per_file: int = 1_000_000, colum
     )
 
 
+def split_files(spark: SparkSession, source: str | list[str], path: str, lines_per_file: int = 1_000_000) -> None:
+    """Files of exactly ``lines_per_file`` lines in input order (the last may be shorter), in folders ``file_no=0, 1, ...``.
+
+    The input files follow each other in order of their paths, however Spark
+    splits them for reading. One shuffle brings the lines of a file together.
+    """
+    placed = numbered(spark.read.text(source), "_line").withColumn("file_no", F.expr(f"_line DIV {int(lines_per_file)}"))
+    (
+        placed.repartition("file_no")
+        .sortWithinPartitions("file_no", "_line")
+        .select("value", "file_no")
+        .write.mode("overwrite")
+        .partitionBy("file_no")
+        .text(path)
+    )
+
+
 def write_unmatched(classified: DataFrame, path: str, mode: str = "append") -> None:
     """Lines no template explains, kept for inspection."""
     classified.where(F.col("match_type") != "template").select("line", "match_type").write.mode(mode).parquet(path)

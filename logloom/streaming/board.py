@@ -69,7 +69,12 @@ def update_board(
         rank = F.row_number().over(Window.partitionBy("block_id").orderBy(F.desc("_new")))
         both = old.unionByName(fresh.withColumn("_new", F.lit(1))).withColumn("_rank", rank)
         fresh = both.where(F.col("_rank") == 1).drop("_rank", "_new")
-    board = top_board(fresh, n).withColumn("version", F.lit(version).cast("bigint"))
+    replace_board(spark, path, top_board(fresh, n), version)
+
+
+def replace_board(spark: SparkSession, path: str, board: DataFrame, version: int) -> None:
+    """Store a board of few rows as a version of its own, in the slot after the version before it."""
+    board = board.withColumn("version", F.lit(version).cast("bigint"))
     held = _slots(_stored(spark, path))
     older = [v for v in held if v < version]
     slot = held.get(version, (held[max(older)] + 1) % SLOTS if older else 0)

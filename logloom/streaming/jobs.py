@@ -7,6 +7,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from ..functions import text as tx
@@ -160,6 +161,33 @@ def latest_counts(spark: SparkSession, path: str, event_ids: Sequence[str] = DEF
     )
 
 
+def keep_counts(counts: DataFrame, checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """Run the counts of ``running_counts`` for their state alone, which ``state_counts`` reads; nothing else is written."""
+    return start(counts.sparkSession, counts.writeStream.format("noop").outputMode("update"), checkpoint, every)
+
+
+def state_counts(
+    spark: SparkSession, checkpoint: str, counts: DataFrame, event_ids: Sequence[str] = DEFAULT_EVENTS
+) -> DataFrame:
+    """The newest counts per block, read from the state of the stream that keeps ``counts`` (ST3).
+
+    The state has one row per block (and bucket), so reading costs as much as
+    there are blocks, however long the stream has run and however many
+    micro-batches it has had. The stream may go on meanwhile. ``counts`` is the
+    DataFrame that was started, for the names of its columns.
+    """
+    with disk_state(spark):
+        state = spark.read.format("statestore").load(checkpoint)
+    # The values bear the names of the functions, several of them alike, and lie in the order of the columns.
+    keys, held = len(state.schema["key"].dataType), state.schema["value"].dataType
+    named = T.StructType([T.StructField(c, f.dataType) for c, f in zip(counts.columns[keys:], held)])
+    flat = state.select("key.*", F.col("value").cast(named).alias("value")).select(*counts.columns[:keys], "value.*")
+    sums = [F.coalesce(F.sum(e), F.lit(0)).alias(e) for e in event_ids]
+    if "bucket" in counts.columns:
+        return flat.groupBy("block_id").agg(*sums, F.max("last_updated").alias("last_updated"))
+    return flat.na.fill(0, list(event_ids))
+
+
 def score_stream(
     counts: DataFrame,
     scorer: Callable[[DataFrame], DataFrame],

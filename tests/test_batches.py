@@ -124,3 +124,27 @@ def test_clearing_a_board(spark, stats, tmp_path):
 
 def test_scratch_folder_follows_the_session(spark):
     assert scratch_dir(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stored_counts_are_summed_without_an_exchange(spark, small, values, tmp_path):
+    stats = ad.block_event_stats(ad.table(spark, small, "events"))
+    mark = F.expr("timestamp_ntz'2024-01-29 12:00:00'")
+    want = values(bt.incremental_features(stats, mark))
+    half = F.pmod(F.xxhash64("block_id", "event_id", "batch_id"), F.lit(2))
+    for part in (0, 1):
+        bt.store_bucketed(stats.where(half == part), "bucketed_stats", 4, str(tmp_path / "t") if part == 0 else None)
+    try:
+        for listed in (10_000, 0):
+            found = bt.incremental_features_stored(spark, "bucketed_stats", mark, listed=listed)
+            assert "Exchange" not in plan(found)
+            assert values(found) == want
+        newest = sorted({r[0] for r in stats.select("last_updated").collect()})
+        one = bt.incremental_features_stored(spark, "bucketed_stats", F.lit(newest[-2]))
+        assert one.count() == 1
+        assert "SelectedBucketsCount" in plan(one)
+    finally:
+        spark.sql("DROP TABLE bucketed_stats")

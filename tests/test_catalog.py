@@ -25,4 +25,4 @@ def test_query_agrees_with_its_sql(spark, small, db, name):
 def test_entry_points(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(catalog.QUERIES) - set(catalog.SQL) == {"model_report", "model_importance", "doc_chunks"}
+    assert set(catalog.QUERIES) - set(catalog.SQL) == {"model_report", "model_importance"}

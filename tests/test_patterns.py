@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -6,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from logloom.functions import patterns as p
+from logloom.operators import template_index as ti
 from logloom.operators.classify import anchor_word, classify_lines, match_by_anchor, match_counters
 
 TEMPLATES = [
@@ -119,3 +121,37 @@ def test_match_by_anchor_equals_inline_matching(spark, values):
     table = spark.createDataFrame(rows, "event_id string, template string, anchor string")
     inline = lines(spark).select("line_no", F.explode(p.all_matches(F.col("line"), templates)).alias("event_id"))
     assert values(match_by_anchor(lines(spark), table, "line_no")) == values(inline)
+
+
+def test_index_equals_inline_matching_over_many_templates(spark, values):
+    """Words, runs of three, single characters, nothing at all; parts in order; lines that match several or none."""
+    rng = random.Random(4)
+    words = ["disk", "node", "block", "read", "a.b", "x", "é", "77", "[", "*", "blk_1", "\\E", "ok?"]
+    made = lambda n, gap: gap.join(rng.choice(words) for _ in range(n))
+    texts = [(i, made(rng.randrange(1, 9), rng.choice([" ", "", "-"]))) for i in range(400)] + [(900, ""), (901, None), (902, "aaa")]
+    templates = [(f"E{i}", rng.choice(["", " "]).join(rng.choice([made(1, ""), "[*]", " " + made(1, "") + " "]) for _ in range(rng.randrange(1, 5)))) for i in range(300)]
+    templates += [("E900", "[*]"), ("E901", ""), ("E902", "[*][*]"), ("E903", "aa[*]aa"), ("E904", "never seen word [*]")]
+    df = spark.createDataFrame([(i, t, 1) for i, t in texts], "line_no long, line string, position int").repartition(3)
+    table = spark.createDataFrame([(i, e, t) for i, (e, t) in enumerate(templates)], "position long, event_id string, template string")
+    inline = df.select("line_no", F.explode(p.all_matches(F.col("line"), templates)).alias("event_id"))
+    want = values(inline)
+    assert len(want) > 1000
+    for copied in (10_000, 0):
+        assert values(ti.indexed_matches(df, table, "line_no", copied=copied).select("line_no", "event_id")) == want
+        first = df.select("line_no", p.first_match(F.col("line"), templates).alias("event_id")).where("event_id IS NOT NULL")
+        assert values(ti.first_matches(df, table, "line_no", copied=copied)) == values(first)
+    classes = ["line_no", "match_type", "event_id", "type", "block_id"]
+    few = table.where("position < 20")
+    assert values(classify_lines(df, few, key="line_no"), *classes) == values(classify_lines(df, templates[:20]), *classes)
+    assert ti.indexed_matches(df, table.where("false"), "line_no").count() == 0
+    assert ti.indexed_matches(df.where("false"), table, "line_no").count() == 0
+    with pytest.raises(ValueError):
+        classify_lines(df, table)
+
+
+def test_index_takes_the_rarest_term(spark):
+    rows = [(i, f"common rare{i} common word here") for i in range(50)]
+    df = spark.createDataFrame(rows, "line_no long, line string")
+    table = spark.createDataFrame([(1, "E1", "[*] rare7 common word [*]"), (2, "E2", "[*] gone common [*]")], "position long, event_id string, template string")
+    index = ti.build_index(df, table).collect()
+    assert [(r.position, r.term) for r in index] == [(1, "wrare7")]

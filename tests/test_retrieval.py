@@ -2,10 +2,10 @@ import random
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from logloom.operators import chunking as ch
+from logloom.operators import keyword_index as ki
 from logloom.operators import retrieval as rt
 from logloom.plans.knowledge import contexts, load_knowledge, retrieve
 
@@ -18,20 +18,24 @@ def test_load_once(spark, values):
     assert values(chunks, "doc_id", "chunk_no", "chunk") == [(1, 0, "a"), (2, 0, "b")]
 
 
-@pytest.mark.parametrize(
-    "text, want",
-    [
-        ("aaa. bbb. ccc", ["aaa. bbb", ". ccc"]),
-        ("aaaa\n\nbbbb", ["aaaa\n\nbbbb"]),
-        ("aaaaa\n\nbbbb", ["aaaaa", "bbbb"]),
-        ("", []),
-        ("   ", []),
-        ("x" * 25, ["x" * 25]),
-        ("ab.cd\nef.gh.ij.kl.mn", ["ab.cd", "ef.gh.ij", ".ij.kl.mn"]),
-    ],
-)
-def test_chunks_of_ten(text, want):
-    assert rt.split_text(text, size=10, overlap=3) == want
+def chunked(spark, texts, size, overlap, separators=ch.SEPARATORS):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(4)
+    found = rows.select("doc_id", ch.chunks(F.col("text"), size, overlap, separators).alias("c")).collect()
+    return [r.c for r in sorted(found, key=lambda r: r.doc_id)]
+
+
+def test_chunks_of_ten(spark):
+    cases = {
+        "aaa. bbb. ccc": ["aaa. bbb", ". ccc"],
+        "aaaa\n\nbbbb": ["aaaa\n\nbbbb"],
+        "aaaaa\n\nbbbb": ["aaaaa", "bbbb"],
+        "": [],
+        "   ": [],
+        "x" * 25: ["x" * 25],
+        "ab.cd\nef.gh.ij.kl.mn": ["ab.cd", "ef.gh.ij", ".ij.kl.mn"],
+        "\u3000é. \x1f": ["é."],
+    }
+    assert chunked(spark, cases, 10, 3) == list(cases.values())
 
 
 def reference_chunks(text, size, overlap, separators):
@@ -73,16 +77,17 @@ def reference_chunks(text, size, overlap, separators):
     return [c for c in out if c]
 
 
-@settings(max_examples=300, deadline=None)
-@given(st.text("ab .\n!", max_size=80), st.integers(2, 12), st.integers(0, 6))
-def test_chunks_equal_brute_force(text, size, overlap):
+@pytest.mark.parametrize("size, overlap", [(2, 0), (5, 6), (8, 3), (12, 5)])
+def test_chunks_equal_brute_force(spark, size, overlap):
     seps = ["\n\n", "\n", ".", "!"]
-    assert rt.split_text(text, size, overlap, seps) == reference_chunks(text, size, overlap, seps)
+    rng = random.Random(size)
+    texts = ["".join(rng.choice("ab .\n!") for _ in range(rng.randrange(80))) for _ in range(300)]
+    assert chunked(spark, texts, size, overlap, seps) == [reference_chunks(t, size, overlap, seps) for t in texts]
 
 
 def test_every_chunk_is_part_of_its_document(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    chunks = rt.chunk_documents(docs).join(docs.select("doc_id", "text"), "doc_id")
+    chunks = ch.chunk_documents(docs).join(docs.select("doc_id", "text"), "doc_id")
     assert chunks.where(~F.col("text").contains(F.col("chunk"))).count() == 0
     assert chunks.where("length(trim(chunk)) = 0").count() == 0
     assert chunks.select("doc_id").distinct().count() == docs.where("length(trim(text)) > 0").count()
@@ -130,20 +135,47 @@ def test_topk_with_a_hot_copy_and_ties(spark):
     assert rt.topk_similar(queries.where("false"), corpus).count() == 0
 
 
-def test_keyword_search_both_paths(spark, values):
+def test_keyword_search_by_postings(spark, values):
     rng = random.Random(2)
-    words = ["Disk", "node", "E1", "replica", "a_b"]
+    words = ["Disk", "node", "E1", "replica", "a_b", "e", "xdis", "nod e12"]
     docs = [(i, " ".join(rng.choice(["xdiskx", "NODE", "none", "e12", "é a_B", "zz"]) for _ in range(3))) for i in range(60)]
     queries = [(f"q{i}", f"{w} 怎么?") for i, w in enumerate(words)] + [("both", "disk node"), ("blank", "？")]
-    d = spark.createDataFrame([*docs, (99, None)], "doc_id long, text string")
-    q = spark.createDataFrame(queries, "query_id string, text string")
+    d = spark.createDataFrame([*docs, (99, None), (100, "")], "doc_id long, text string")
+    q = spark.createDataFrame([*queries, ("null", None)], "query_id string, text string")
     import re
 
     want = sorted(
         (k, i) for k, t in queries for i, x in docs if any(w.lower() in x.lower() for w in re.findall("[a-zA-Z0-9_]+", t))
     )
-    assert sorted(values(rt.keyword_search(q, d))) == want
-    assert sorted(values(rt.keyword_search(q, d, max_inline=2, cell_rows=7))) == want
+    assert sorted(values(ki.keyword_search(q, d))) == want
+    stored = ki.gram_postings(d).persist()
+    assert sorted(values(ki.keyword_search(q, d, postings=stored, part_rows=7))) == want
+    assert ki.keyword_search(q.where("false"), d).count() == 0 and ki.keyword_search(q, d.where("false")).count() == 0
+
+
+def test_diverse_answers_equal_a_plain_fold(spark):
+    rng = np.random.default_rng(6)
+    rows = [(q, i, [float(x) for x in rng.normal(size=5)]) for q in range(3) for i in range(12)]
+    rows += [(0, 50 + i, rows[2][2]) for i in range(3)] + [(4, 1, [0.0] * 5), (4, 2, [1.0] * 5)]
+    asked = {q: rng.normal(size=5) for q in range(5)}
+
+    def cos(a, b):
+        n = np.linalg.norm(a) * np.linalg.norm(b)
+        return float(np.dot(a, b) / n) if n else 0.0
+
+    scored = [(q, i, cos(asked[q], v), v) for q, i, v in rows]
+    found = rt.diverse(spark.createDataFrame(scored, "query_id int, item_id long, score double, embedding array<double>"), 4, 0.3)
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.item_id)
+    want = {}
+    for q in {r[0] for r in rows}:
+        left, chosen = {i: (s, v) for p, i, s, v in scored if p == q}, []
+        while left and len(chosen) < 4:
+            best = min(left, key=lambda i: (-round(0.3 * left[i][0] - 0.7 * max(cos(left[i][1], v) for _, v in chosen), 12) if chosen else -left[i][0], i))
+            chosen.append((best, left.pop(best)[1]))
+        want[q] = [i for i, _ in chosen]
+    assert got == want
 
 
 def test_retrieval_falls_back_to_words_then_to_nothing(spark):

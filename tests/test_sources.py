@@ -22,8 +22,8 @@ def test_event_order():
 def test_templates_keep_file_order_and_quotes(spark, tmp_path):
     path = write(tmp_path / "t.csv", 'EventId,EventTemplate\nE2,"a, ""b"" [*]"\nE1,c\n')
     assert logs.load_templates(spark, path) == [("E2", 'a, "b" [*]'), ("E1", "c")]
-    with pytest.raises(ValueError):
-        logs.load_templates(spark, path, limit=1)
+    table = logs.load_templates(spark, path, limit=1)
+    assert [tuple(r) for r in table.orderBy("position").collect()] == [(0, "E2", 'a, "b" [*]'), (1, "E1", "c")]
 
 
 def test_log_lines(spark, tmp_path):
@@ -103,6 +103,28 @@ def test_split_into_files(spark, tmp_path):
     assert [int(v) for x in lines for v in x] == list(range(1000))
 
 
+def test_files_of_exactly_n_lines_over_several_files_and_splits(spark, tmp_path):
+    numbers = iter(range(1000))
+    os.makedirs(tmp_path / "in")
+    for name, n in (("a.log", 333), ("b.log", 0), ("c.log", 1), ("d.log", 666)):
+        write(tmp_path / "in" / name, "".join(f"line {next(numbers):04d}\n" for _ in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "997b")
+    try:
+        assert spark.read.text(str(tmp_path / "in")).rdd.getNumPartitions() > 5
+        sinks.split_files(spark, str(tmp_path / "in"), str(tmp_path / "out"), 70)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    folders = sorted((n for n in os.listdir(tmp_path / "out") if "=" in n), key=lambda n: int(n.split("=")[1]))
+    assert len(folders) == 15
+    seen = []
+    for folder in folders:
+        (name,) = [n for n in os.listdir(tmp_path / "out" / folder) if n.endswith(".txt")]
+        seen.append(open(tmp_path / "out" / folder / name).read().splitlines())
+    assert [len(x) for x in seen] == [70] * 14 + [20]
+    assert [int(v.split()[1]) for x in seen for v in x] == list(range(1000))
+
+
 def test_unmatched_lines_are_kept(spark, tmp_path):
     df = spark.createDataFrame([("a", "template"), ("b", "unknown")], "line string, match_type string")
     for _ in range(2):

@@ -115,3 +115,18 @@ def test_train_store_load_and_detect(spark, training, tmp_path):
     assert [tuple(e) for e in row.events] == [("E1", "one", 2), ("E2", "Unknown", 9), ("E3", "Unknown", 7)]
     _, trained = tr.load_or_train(spark, str(tmp_path / "other"), lambda: training, event_ids=IDS, hidden=(2,), iterations=2)
     assert trained
+
+
+def test_split_moves_no_wide_row_and_ranks_ties(spark):
+    rows = [(i, "x" * 50, i % 3 == 0) for i in range(500)]
+    df = spark.createDataFrame(rows, "block_id long, wide string, label boolean")
+    found = tr.stratified_split(df)
+    assert "wide" not in "".join(x for x in found._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x)
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r.label, r.n) for r in found.where("part = 'test'").groupBy("label").agg(F.count("*").alias("n")).collect()} == {(True, 34), (False, 67)}
+    same = df.withColumn("block_id", F.col("block_id") % 2)
+    tied = tr.stratified_split(same)
+    assert {(r.label, r.n) for r in tied.where("part = 'test'").groupBy("label").agg(F.count("*").alias("n")).collect()} == {(True, 34), (False, 67)}
+    assert tied.drop("part").exceptAll(same).isEmpty() and tied.count() == 500
+    nulls = tr.stratified_split(df.withColumn("label", F.when(F.col("block_id") < 400, F.lit("a"))).withColumn("block_id", F.when(F.col("block_id") > 3, F.col("block_id"))))
+    assert {(r.label, r.n) for r in nulls.where("part = 'test'").groupBy("label").agg(F.count("*").alias("n")).collect()} == {("a", 80), (None, 20)}
