@@ -87,6 +87,9 @@ def difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return left.select(key).distinct().join(right.select(key).distinct(), key, "left_anti")
 
 
+#: Partitions that one statement drops.
+PARTITIONS = 500
+
 DELETED = T.StructType(
     [
         T.StructField("batch_id", T.StringType()),
@@ -100,20 +103,37 @@ DELETED = T.StructType(
 def delete_batches(
     spark: SparkSession, tables: Sequence[str], batch_ids: Sequence[str], confirm: bool = False
 ) -> DataFrame:
-    """Drop the batches' partitions from catalog tables (N1); a failure does not stop the rest."""
+    """Drop the batches' partitions from catalog tables (N1); a failure does not stop the rest.
+
+    One statement drops up to ``PARTITIONS`` batches of a table. If it fails, its
+    batches are dropped one by one, so that the report names the one at fault.
+    """
     if not confirm:
         raise ValueError("deleting batches needs confirm=True")
+    good = [b for b in batch_ids if re.fullmatch(r"[\w.-]+", b)]
+    done: dict[tuple[str, str], tuple[bool, str | None]] = {}
+
+    def drop(table: str, some: Sequence[str]) -> None:
+        listed = ", ".join(f"PARTITION (batch_id = '{b}')" for b in some)
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {listed}")
+
+    for table in tables:
+        for at in range(0, len(good), PARTITIONS):
+            some = good[at : at + PARTITIONS]
+            try:
+                drop(table, some)
+                done |= {(b, table): (True, None) for b in some}
+            except Exception:  # one batch's failure is part of the report
+                for batch in some:
+                    try:
+                        drop(table, [batch])
+                        done[batch, table] = (True, None)
+                    except Exception as error:
+                        done[batch, table] = (False, str(error))
     report = []
     for batch in batch_ids:
-        if not re.fullmatch(r"[\w.-]+", batch):
-            report.append((batch, None, False, "not a batch id"))
-            continue
-        for table in tables:
-            try:
-                spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION (batch_id = '{batch}')")
-                report.append((batch, table, True, None))
-            except Exception as error:  # one table's failure is part of the report
-                report.append((batch, table, False, str(error)))
+        named = [(batch, table, *done[batch, table]) for table in tables if (batch, table) in done]
+        report += named or [(batch, None, False, "not a batch id")]
     return spark.createDataFrame(report, DELETED)
 
 

@@ -56,31 +56,8 @@ class Network:
 
     layers: tuple[tuple[tuple[tuple[float, ...], ...], tuple[float, ...]], ...]
 
-    @property
-    def size(self) -> int:
-        return sum(len(m) * len(b) for m, b in self.layers)
-
-
-INLINE_WEIGHTS = 512
-
-
 def network_score(inputs: Sequence[Column], net: Network) -> Column:
-    """Probability of the positive class.
-
-    A small net is written out as column arithmetic and compiled with the
-    query; a larger one runs as matrix products over Arrow batches.
-    """
-    if net.size <= INLINE_WEIGHTS:
-        values = [c.cast("double") for c in inputs]
-        for depth, (matrix, bias) in enumerate(net.layers):
-            out = []
-            for j, b in enumerate(bias):
-                total = F.lit(float(b))
-                for i, value in enumerate(values):
-                    total = total + value * F.lit(float(matrix[i][j]))
-                out.append(total if depth == len(net.layers) - 1 else F.greatest(total, F.lit(0.0)))
-            values = out
-        return 1 / (1 + F.exp(-values[0]))
+    """Probability of the positive class (M10), as matrix products over Arrow batches; a null input scores null."""
     return _arrow_score(net)(F.array(*[c.cast("double") for c in inputs]))
 
 
@@ -90,7 +67,7 @@ def _arrow_score(net: Network):
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            x = np.stack(batch.to_numpy()) if len(batch) else np.zeros((0, weights[0][0].shape[0]))
+            x = np.stack(batch.to_numpy()).astype(float) if len(batch) else np.zeros((0, weights[0][0].shape[0]))
             for depth, (matrix, bias) in enumerate(weights):
                 x = x @ matrix + bias
                 if depth < len(weights) - 1:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
-from pyspark.ml import PipelineModel
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -89,29 +90,24 @@ def oversample(df: DataFrame, target: str = "target") -> DataFrame:
     return df.withColumn("_copy", F.explode(F.sequence(F.lit(1), copies))).drop("_copy")
 
 
-def train_model(
-    train: DataFrame,
-    event_ids: Sequence[str] = DEFAULT_EVENTS,
-    hidden: Sequence[int] = (64, 32),
-    seed: int = 42,
-    iterations: int = 100,
-    balance: bool = True,
-) -> PipelineModel:
-    """Scale, assemble and fit a multilayer perceptron on rows with a 0/1 ``target`` (M1, M4).
-
-    The scaler is fitted on the training rows only and becomes a stage of the
-    saved model.
-    """
+def _stages(train: DataFrame, event_ids: Sequence[str]) -> list[Transformer]:
+    """The scaler, fitted on the training rows, and the assembler, as stages of a model."""
     scaler = Scaler.fit(train, event_ids)
     scaled = ", ".join(f"{text} AS z_{c}" for c, text in scaler.expressions().items())
-    stages = [
+    return [
         SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__"),
         VectorAssembler(inputCols=[f"z_{c}" for c in event_ids], outputCol="features"),
     ]
-    rows = oversample(train) if balance else train
+
+
+def _assembled(rows: DataFrame, stages: Sequence[Transformer]) -> DataFrame:
     for stage in stages:
         rows = stage.transform(rows)
-    classifier = MultilayerPerceptronClassifier(
+    return rows.select("features", F.col("target").cast("double").alias("target"))
+
+
+def _classifier(event_ids: Sequence[str], hidden: Sequence[int], seed: int, iterations: int) -> MultilayerPerceptronClassifier:
+    return MultilayerPerceptronClassifier(
         layers=[len(event_ids), *hidden, 2],
         labelCol="target",
         featuresCol="features",
@@ -119,8 +115,76 @@ def train_model(
         maxIter=iterations,
         blockSize=512,
     )
-    fitted = classifier.fit(rows.select("features", F.col("target").cast("double")))
-    return PipelineModel([*stages, fitted])
+
+
+def train_model(
+    train: DataFrame,
+    event_ids: Sequence[str] = DEFAULT_EVENTS,
+    hidden: Sequence[int] = (64, 32),
+    seed: int = 42,
+    iterations: int = 100,
+    balance: bool = True,
+) -> PipelineModel:
+    """Scale, assemble and fit a multilayer perceptron on rows with a 0/1 ``target`` (M1, M4).
+
+    The scaler is fitted on the training rows only and becomes a stage of the
+    saved model.
+    """
+    stages = _stages(train, event_ids)
+    rows = _assembled(oversample(train) if balance else train, stages)
+    return PipelineModel([*stages, _classifier(event_ids, hidden, seed, iterations).fit(rows)])
+
+
+@dataclass(frozen=True)
+class EarlyStop:
+    """When training ends: after ``patience`` rounds of ``iterations`` without a gain of ``least`` in the held-out accuracy."""
+
+    share: float = 0.1
+    iterations: int = 10
+    rounds: int = 50
+    patience: int = 2
+    least: float = 1e-4
+
+
+def train_until_flat(
+    train: DataFrame,
+    event_ids: Sequence[str] = DEFAULT_EVENTS,
+    hidden: Sequence[int] = (64, 32),
+    seed: int = 42,
+    balance: bool = True,
+    early: EarlyStop = EarlyStop(),
+) -> tuple[PipelineModel, list[float]]:
+    """``train_model`` in rounds that go on from each other's weights, until a held-out part stops gaining (M4).
+
+    ``early.share`` of the rows of every class are held out, as the split holds
+    out test rows. Returns the model of the best round and the held-out accuracy
+    of every round; the round of the best is where training would have ended.
+    """
+    split = written_once(stratified_split(train, "target", test_share=early.share, seed=seed + 1), "held")
+    stages = _stages(train, event_ids)
+    fit, held = split.where("part = 'train'").drop("part"), split.where("part = 'test'").drop("part")
+    rows = _assembled(oversample(fit) if balance else fit, stages).persist()
+    judged = _assembled(held, stages).persist()
+    weights, best, history = None, None, []
+    try:
+        while len(history) < early.rounds:
+            classifier = _classifier(event_ids, hidden, seed, early.iterations)
+            if weights is not None:
+                classifier.setInitialWeights(weights)
+            fitted = classifier.fit(rows)
+            weights = fitted.weights
+            right = F.avg((F.col("prediction") == F.col("target")).cast("double"))
+            # A table too small to hold a row out is trained for one round.
+            accuracy = fitted.transform(judged).agg(right).first()[0]
+            history.append(accuracy if accuracy is not None else 1.0)
+            if best is None or history[-1] > best[0] + early.least:
+                best = (history[-1], len(history) - 1, fitted)
+            elif len(history) - 1 - best[1] >= early.patience or accuracy is None:
+                break
+    finally:
+        rows.unpersist()
+        judged.unpersist()
+    return PipelineModel([*stages, best[2]]), history
 
 
 def score_model(

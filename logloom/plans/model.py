@@ -13,6 +13,7 @@ from ..functions import tiers
 from ..operators.features import event_array, event_text
 from ..operators.ordering import ranked
 from ..operators.training import (
+    EarlyStop,
     can_stratify,
     classification_report,
     confusion,
@@ -21,6 +22,7 @@ from ..operators.training import (
     score_model,
     stratified_split,
     train_model,
+    train_until_flat,
 )
 from ..schemas import DEFAULT_EVENTS
 from ..session import written_once
@@ -72,6 +74,8 @@ class Training:
     report: DataFrame
     confusion: DataFrame
     importance: DataFrame
+    #: Held-out accuracy by round, when training ended early.
+    history: tuple[float, ...] = ()
 
 
 def train_and_evaluate(
@@ -80,17 +84,24 @@ def train_and_evaluate(
     event_ids: Sequence[str] = DEFAULT_EVENTS,
     seed: int = 42,
     threshold: float = 0.5,
+    early: EarlyStop | None = None,
     **options,
 ) -> Training:
     """Split, fit on the training part, judge on the test part, store the model.
 
+    With ``early`` a part of the training rows decides when training ends.
+
     The split is written to the shared scratch folder once: scaling, weighting,
     fitting and judging all read it, and a lost executor does not redo it.
     """
     known = training.where(F.col("target").isNotNull())
     split = stratified_split(known, "target", seed=seed, strata=can_stratify(known, "target"))
     parts = written_once(split, "split")
-    model = train_model(parts.where("part = 'train'").drop("part"), event_ids, seed=seed, **options)
+    rows, history = parts.where("part = 'train'").drop("part"), []
+    if early:
+        model, history = train_until_flat(rows, event_ids, seed=seed, early=early, **options)
+    else:
+        model = train_model(rows, event_ids, seed=seed, **options)
     if path:
         save_model(model, path)
     test = score_model(parts.where("part = 'test'").drop("part"), model, event_ids)
@@ -100,4 +111,5 @@ def train_and_evaluate(
         classification_report(judged),
         confusion(judged),
         feature_importance(training.sparkSession, model, event_ids),
+        tuple(history),
     )

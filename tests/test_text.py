@@ -63,3 +63,19 @@ def test_anomaly_type_priority(spark):
     df = spark.createDataFrame([(1, 1, 1, 1), (1, 1, 1, 0), (1, 1, 0, 0), (1, 0, 0, 0), (0, 0, 0, 0)], "E4 int, E5 int, E21 int, E7 int")
     got = [r.t for r in df.select(tiers.anomaly_type(df.columns).alias("t")).collect()]
     assert got == [7, 21, 5, 4, 0]
+
+
+def test_mined_templates_match_their_lines(spark, values):
+    from logloom.functions.patterns import first_match
+    from logloom.operators.mining import mine_templates
+
+    lines = [f"user u{i} logged in" for i in range(30)] + [f"disk {w}  is full" for w in ["alpha", "beta", "gamma"] * 4] + ["odd one out", "", "seen"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)] + [(99, None)], "line_no long, line string")
+    found = values(mine_templates(df, share=0.5, least=3), "position", "event_id", "template", "lines")
+    assert found == [(1, "M1", "user [*] logged in", 30), (2, "M2", "disk [*]  is full", 12)]
+    fixed = values(mine_templates(df, share=0.2, least=3), "template", "lines")
+    assert ("disk alpha  is full", 4) in fixed
+    pairs = [(e, t) for _, e, t, _ in found]
+    events = df.select(first_match(F.col("line"), pairs).alias("e")).where("e IS NOT NULL").groupBy("e").count()
+    assert values(events) == [("M1", 30), ("M2", 12)]
+    assert mine_templates(df.where("false")).count() == 0

@@ -50,9 +50,8 @@ def forward(net, x):
 
 
 @pytest.mark.parametrize("shape", [(3, 4, 2, 1), (3, 64, 32, 1)])
-def test_both_network_forms_equal_numpy(spark, training, shape):
+def test_networks_equal_numpy(spark, training, shape):
     net = net_of(shape)
-    assert (net.size <= sc.INLINE_WEIGHTS) == (shape[1] == 4)
     scored = training.select(*IDS, sc.network_score([F.col(e) for e in IDS], net).alias("s"))
     for row in scored.limit(20).collect():
         assert row.s == pytest.approx(forward(net, [row.E1, row.E2, row.E3]))
@@ -130,3 +129,22 @@ def test_split_moves_no_wide_row_and_ranks_ties(spark):
     assert tied.drop("part").exceptAll(same).isEmpty() and tied.count() == 500
     nulls = tr.stratified_split(df.withColumn("label", F.when(F.col("block_id") < 400, F.lit("a"))).withColumn("block_id", F.when(F.col("block_id") > 3, F.col("block_id"))))
     assert {(r.label, r.n) for r in nulls.where("part = 'test'").groupBy("label").agg(F.count("*").alias("n")).collect()} == {("a", 80), (None, 20)}
+
+
+def test_training_ends_when_the_held_out_part_stops_gaining(spark, training):
+    early = tr.EarlyStop(share=0.2, iterations=3, rounds=12, patience=2)
+    model, history = tr.train_until_flat(training, IDS, hidden=(6,), early=early)
+    best = max(range(len(history)), key=lambda i: (history[i], -i))
+    assert history[best] > 0.95 and len(history) <= 12
+    # No later round gains, and two rounds were waited for unless the rounds ran out.
+    assert len(history) == 12 or len(history) - 1 - best >= 2
+    scored = tr.score_model(training, model, IDS).withColumn("predicted", (F.col("anomaly_score") > 0.5).cast("int"))
+    assert scored.where("predicted = target").count() > 285
+    again, same = tr.train_until_flat(training, IDS, hidden=(6,), early=early)
+    assert same == history and (again.stages[-1].weights.toArray() == model.stages[-1].weights.toArray()).all()
+
+
+def test_a_table_without_rows_to_hold_out_is_trained_once(spark, training):
+    few = training.limit(1).union(training.where("target = 1").limit(1))
+    _, history = tr.train_until_flat(few, IDS, hidden=(2,), early=tr.EarlyStop(share=0.0))
+    assert history == [1.0] or len(history) == 2
