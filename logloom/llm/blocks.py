@@ -7,8 +7,9 @@ are documents), so that one numpy call covers all documents of a block.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +79,58 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             at = to
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int] | None:
+    """The C library's call that returns freed memory to the system, where it has one."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+def give_back() -> None:
+    """Return what numpy and Arrow have freed: a worker lives on after its task and would hold it."""
+    pa.default_memory_pool().release_unused()
+    if _trim():
+        _trim()(0)
+
+
+def tidy(run: Callable) -> Callable:
+    """A function over batches that gives memory back when its task's input has ended."""
+
+    @wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole
+
+
+def tidy_group(run: Callable) -> Callable:
+    """A function over one or two tables of a group that gives memory back after a group of some size."""
+    if run.__code__.co_argcount == 1:
+
+        @wraps(run)
+        def one(table: pa.Table) -> pa.Table:
+            out = run(table)
+            if table.nbytes >= BLOCK_BYTES // 4:
+                give_back()
+            return out
+
+        return one
+
+    @wraps(run)
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = run(left, right)
+        if left.nbytes + right.nbytes >= BLOCK_BYTES // 4:
+            give_back()
+        return out
+
+    return two
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread a hash over all 64 bits."""
     x = x ^ (x >> U64(30))

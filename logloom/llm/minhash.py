@@ -12,7 +12,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.blocks import FACTORS, U64, Block, blocks, mix, piece_hashes
+from logloom.llm.blocks import FACTORS, U64, Block, blocks, mix, piece_hashes, tidy, tidy_group
 from logloom.llm.graph import components
 from logloom.session import written_once
 
@@ -99,7 +99,7 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             )
 
     return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n_shingles long, set_key binary, bands array<long>"
+        tidy(run), "doc_id long, n_shingles long, set_key binary, bands array<long>"
     )
 
 
@@ -118,7 +118,7 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFr
                     good.append(100 * both >= percent * (len(x) + len(y) - both) and both > 0)
                 yield half.rows.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(tidy(run), "a long, b long")
 
 
 def near_duplicates(
@@ -253,7 +253,7 @@ def family_links(members: DataFrame, family: DataFrame, texts: DataFrame, n: int
                 part[part == part[b]] = part[a]
         return pa.table({k: pa.array([e[x] for e in edges], pa.int64()) for x, k in enumerate("ab")})
 
-    return dealt.groupBy("family", "i", "j").applyInArrow(compare, "a long, b long")
+    return dealt.groupBy("family", "i", "j").applyInArrow(tidy_group(compare), "a long, b long")
 
 
 def own_counts(texts: DataFrame, n: int) -> DataFrame:
@@ -273,6 +273,6 @@ def own_counts(texts: DataFrame, n: int) -> DataFrame:
                 names=["shingle", "rep"],
             )
 
-    owned = texts.select("doc_id", "text").mapInArrow(run, "shingle long, rep long")
+    owned = texts.select("doc_id", "text").mapInArrow(tidy(run), "shingle long, rep long")
     counts = owned.groupBy("shingle").agg(F.count("*").alias("n"), F.min("rep").alias("rep"))
     return counts.where("n = 1").groupBy("rep").agg(F.count("*").alias("own"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from logloom.llm.blocks import blocks
+from logloom.llm.blocks import blocks, tidy
 from logloom.llm.bpe import Pieces, byte_characters
 from logloom.session import written_once
 
@@ -66,7 +66,7 @@ def token_pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPAC
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
 
 
 def knapsack(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[float, list[int]]:
@@ -276,4 +276,4 @@ def pack(
     out = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     out += ", ids array<int>" * with_ids
     names = [x.split()[0] for x in out.split(", ")]
-    return ranked.mapInArrow(run, out)
+    return ranked.mapInArrow(tidy(run), out)

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from logloom.llm.blocks import FACTORS, U64, Block, blocks, covered, mix, piece_hashes, repeats
+from logloom.llm.blocks import FACTORS, U64, Block, blocks, covered, mix, piece_hashes, repeats, tidy
 
 #: Shortest and longest word run that is measured.
 LENGTHS = (5, 6, 7, 8, 9, 10)
@@ -128,4 +128,4 @@ def repetition_coverage(
 
     further = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
     rows = docs.select(*dict.fromkeys(["doc_id", "text", *carry]))
-    return rows.mapInArrow(run, SCHEMA + further)
+    return rows.mapInArrow(tidy(run), SCHEMA + further)

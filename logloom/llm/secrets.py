@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from logloom.llm.blocks import blocks
+from logloom.llm.blocks import blocks, tidy
 
 
 @dataclass(frozen=True)
@@ -118,7 +118,7 @@ def scan(versions: DataFrame, ledger: str, rules: Sequence[Rule] = RULES, keys:
             )
 
     # Repeated rows may bring one blob twice.
-    unseen.mapInArrow(run, LEDGER).dropDuplicates(["blob"]).write.mode("append").parquet(ledger)
+    unseen.mapInArrow(tidy(run), LEDGER).dropDuplicates(["blob"]).write.mode("append").parquet(ledger)
     current = [rule.id for rule in rules]
     known = (
         spark.read.schema(LEDGER).parquet(ledger)

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.blocks import BYTE_VALUE, U64, Block, blocks, gram_hashes, mix, piece_hashes, repeats
+from logloom.llm.blocks import BYTE_VALUE, U64, Block, blocks, gram_hashes, mix, piece_hashes, repeats, tidy, tidy_group
 from logloom.session import written_once
 
 #: Bytes of text per part and per bucket.
@@ -165,8 +165,8 @@ def anchor_survivors(docs: DataFrame, units: Units, parts: int) -> DataFrame:
         packed = _packed((ident % parts).astype(np.int32), {"ident": ident, "at": at}, "bucket")
         return pa.Table.from_batches([packed])
 
-    sent = docs.select(ID, "text").mapInArrow(send, ANCHORS)
-    return sent.groupBy("part").applyInArrow(count, "bucket int, ident binary, at binary")
+    sent = docs.select(ID, "text").mapInArrow(tidy(send), ANCHORS)
+    return sent.groupBy("part").applyInArrow(tidy_group(count), "bucket int, ident binary, at binary")
 
 
 def _by_bucket(docs: DataFrame, parts: int) -> DataFrame:
@@ -252,7 +252,7 @@ def contexts(docs: DataFrame, survivors: DataFrame, units: Units, parts: int, sa
     docs = _by_bucket(docs, parts)
     return (
         docs.select("bucket", ID, "text").groupBy("bucket")
-        .cogroup(survivors.groupBy("bucket")).applyInArrow(send, CONTEXTS)
+        .cogroup(survivors.groupBy("bucket")).applyInArrow(tidy_group(send), CONTEXTS)
     )
 
 
@@ -298,7 +298,7 @@ def spans(sent: DataFrame, judge: Judge, units: Units, parts: int) -> DataFrame:
                 "ident": owner, "start": start.astype(np.int32), "stop": stop.astype(np.int32)}, "bucket")
         ])
 
-    return sent.groupBy("part").applyInArrow(run, SPANS)
+    return sent.groupBy("part").applyInArrow(tidy_group(run), SPANS)
 
 
 def removed_units(block: Block, table: dict[str, np.ndarray], first: np.ndarray) -> np.ndarray:
@@ -333,7 +333,7 @@ def remove(
         return pa.Table.from_batches(out)
 
     docs = _by_bucket(docs, parts)
-    return docs.groupBy("bucket").cogroup(spans_.groupBy("bucket")).applyInArrow(run, schema)
+    return docs.groupBy("bucket").cogroup(spans_.groupBy("bucket")).applyInArrow(tidy_group(run), schema)
 
 
 EMPTY = pa.RecordBatch.from_pylist([], pa.schema([("doc_id", pa.int64()), ("text", pa.string()), (ID, pa.int64())]))
