@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.llm import packing, secrets
+from logloom.llm.blocks import tidy
 from logloom.llm.minhash import near_duplicates
 from logloom.llm.quality import repetition_coverage
 from logloom.llm.suffixes import remove_earlier_strings
@@ -60,7 +61,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
             )
 
     texts = left.where("n_removed < n_bytes").select("doc_id", "kept").mapInArrow(
-        whole, "doc_id long, text string, n_chars long"
+        tidy(whole), "doc_id long, text string, n_chars long"
     ).where("trim(text) != ''")
     return texts.join(docs.select("doc_id", "lang", "source"), "doc_id").select(*COLUMNS)
 
@@ -84,7 +85,7 @@ def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     # A text of which there is a span is joined once per row: spans are one row per document.
     spans = spans.dropDuplicates(["doc_id"]).hint("shuffle_hash")
     return docs.join(spans, "doc_id", "left").select(*COLUMNS, "findings").mapInArrow(
-        masked, ", ".join(f"{c} {TYPES[c]}" for c in COLUMNS)
+        tidy(masked), ", ".join(f"{c} {TYPES[c]}" for c in COLUMNS)
     )
 
 
