@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,15 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logloom.llm.blocks import tidy_group
 from logloom.llm.graph import components
+from logloom.llm.units import UNIT, meetings, met
 from logloom.session import written_once
 
 #: Vectors of the sample that the pivots are fitted on, and pivots at most.
 SAMPLE, PIVOTS = 20_000, 1024
-#: Vectors of a shard block, about.
-SHARD = 1000
-#: A vector also joins the shards whose border it is this near to (links reach 0.2 at a cosine of 0.98).
-BORDER = 0.12
+#: Vectors that have a pivot as their nearest, members that a graph is built on, and members of a search; each about.
+SHARD, GRAPH, PART = 4000, 1500, 8000
 #: Neighbours kept of so many candidates, the slack of the pruning rule, and the first beam of a search.
 DEGREE, CANDIDATES, SLACK, BEAM = 24, 64, 1.2, 32
 #: Vectors whose id this number divides are audited against brute force.
@@ -95,15 +96,18 @@ def medoid(unit: np.ndarray) -> int:
     return int((unit @ unit.mean(axis=0)).argmax())
 
 
-def range_search(query: np.ndarray, unit: np.ndarray, lists: list[np.ndarray], start: int, beam: int, least: float) -> np.ndarray:
-    """Vectors with a cosine of ``least`` or more: a greedy beam search, expanded over every hit found.
+def range_search(query: np.ndarray, unit: np.ndarray, lists: list[np.ndarray], start, beam: int, least: float) -> np.ndarray:
+    """Vectors with a cosine of ``least`` or more: a greedy beam search from one or several starts, expanded over every hit.
 
     The beam widens as hits come: any vector in range is expanded, however many.
     """
+    start = np.unique(np.atleast_1d(start))
     seen = np.zeros(len(unit), bool)
     seen[start] = True
-    first = float(unit[start] @ query)
-    todo, best, hits = [(-first, start)], [first], []
+    first = (unit[start] @ query).tolist()
+    todo, hits = [(-x, i) for x, i in zip(first, start.tolist())], []
+    heapq.heapify(todo)
+    best = sorted(x for x in first if x < least)[-beam:]
     while todo:
         minus, node = heapq.heappop(todo)
         if -minus >= least:
@@ -120,9 +124,9 @@ def range_search(query: np.ndarray, unit: np.ndarray, lists: list[np.ndarray], s
     return np.array(hits, np.int64)
 
 
-def _searched(ids, queries, members, unit, lists, least: float) -> tuple[list[np.ndarray], int]:
+def _searched(ids, queries, start, unit, lists, least: float) -> tuple[list[np.ndarray], int]:
     """Hits of every query and the beam used: the audited queries must miss nothing, else the beam doubles."""
-    start, beam = medoid(unit), BEAM
+    beam = BEAM
     audit = np.flatnonzero(ids % AUDIT == 0)
     truth = [np.flatnonzero(unit @ queries[i] >= least) for i in audit]
     while beam < len(unit):
@@ -144,28 +148,28 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
 
     1. Equal vectors of a label are folded into one that carries their number.
     2. Pivots are fitted on at most ``SAMPLE`` vectors, the smallest by hash of
-       the id. Every vector is put into the shard of its nearest pivot and into
-       those whose border is near. Shards above ``SHARD`` are dealt into blocks.
-    3. Each block gets a robust-pruned graph; the lists of a vector's blocks are
-       united. Greedy searches start at a block's medoid and expand over all
-       hits; only vectors at home in the shard are searched for, so every link
-       end is counted once.
-    4. Every 20th id is audited by brute force within its block pair; a miss
-       doubles the beam for all, at last to an exact scan. Hits are cosines
-       above the threshold, hence verified.
-
-    A task holds one block of vectors and one of queries. It returns counts and
+       the id. Every vector is put into the shard of its nearest pivot, its home,
+       and into those whose border is as near as a link is long: by the triangle
+       inequality every link end of a vector lies in its home shard.
+    3. Graphs are robust-pruned and built on pieces of a shard, of about twice
+       ``GRAPH`` members; where there are several, each member is put into two.
+       The lists that a vector has from all its pieces and shards are united,
+       and a search follows whichever lead to members of its own shard. It
+       starts at the medoids of the shard's pieces and expands over all hits;
+       only vectors at home in the shard are searched for, so every link end is
+       counted once. A shard above ``PART`` members is searched in parts.
+    4. Every 20th id is audited by brute force within its part; a miss doubles
+       the beam for all, at last to an exact scan. Hits are cosines above the
+       threshold, hence verified. ``audit`` measures the recall over all rows.
+
+    A task holds one part of a shard and its queries. It returns counts and
     a spanning forest of its links, never the pairs.
 
     Returns vec_id, n_links, component_id, kept (vec_id = component_id).
-    Repeated rows each get their row and count as different vectors.
+    Repeated rows each get their row and count as different vectors. Labels may
+    be of any type that has a text form, by which they are compared.
     """
-    good = F.expr(
-        "label IS NOT NULL AND vec_id IS NOT NULL AND size(embedding) > 0 AND NOT exists(embedding, x -> x IS NULL OR isnan(x) "
-        "OR abs(x) = double('infinity')) AND exists(embedding, x -> x != 0)"
-    )
-    rows = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
-    rows = rows.withColumn("good", F.coalesce(good, F.lit(False)))
+    rows = _labelled(vectors)
     named = rows.select(
         "vec_id", "label", "embedding", "good", F.xxhash64("label", "embedding").alias("k1"),
         F.xxhash64(F.lit(7), "embedding", "label").alias("k2"),
@@ -196,17 +200,63 @@ def near_vectors(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     )
 
 
+def _labelled(vectors: DataFrame) -> DataFrame:
+    """vec_id, label (as text), embedding, and whether the row can link at all."""
+    good = F.expr(
+        "label IS NOT NULL AND vec_id IS NOT NULL AND size(embedding) > 0 AND NOT exists(embedding, x -> x IS NULL OR isnan(x) "
+        "OR abs(x) = double('infinity')) AND exists(embedding, x -> x != 0)"
+    )
+    rows = vectors.select("vec_id", F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    return rows.withColumn("good", F.coalesce(good, F.lit(False)))
+
+
+def audit(vectors: DataFrame, found: DataFrame, least: float = 0.98, every: int = AUDIT) -> DataFrame:
+    """One row: the links of every ``every``-th id by brute force over all rows, how many ``found`` has, and the recall.
+
+    ``found`` is the result of ``near_vectors``. Queries stream past bounded units of members.
+    """
+    rows = _labelled(vectors).where("good").select(
+        F.monotonically_increasing_id().alias("rid"), "vec_id", F.xxhash64("label").alias("code"),
+        F.size("embedding").alias("dimension"), "embedding",
+    )
+    rows = written_once(rows, "audit")
+    sizes = rows.groupBy("code", "dimension").agg(F.ceil(F.count("*") / F.lit(UNIT)).cast("int").alias("salts"))
+    rows = rows.join(sizes, ["code", "dimension"])
+    members = rows.withColumn("salt", F.pmod(F.xxhash64("rid"), "salts").cast("int")).drop("salts")
+    asked = rows.where(F.col("vec_id") % every == 0).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def unit(table: pa.Table):
+            dimension = table.column("dimension")[0].as_py()
+            return dimension, table.column("rid").to_numpy(), _vectors(table.column("embedding").combine_chunks(), dimension)
+
+        for (dimension, rids, own), part in meetings(batches, ["code", "dimension", "salt"], unit):
+            get = dict(zip(part.schema.names, part.columns))
+            near = _vectors(get["embedding"], dimension) @ own.T >= least
+            near &= get["rid"].to_numpy()[:, None] != rids
+            yield pa.RecordBatch.from_arrays([get["vec_id"], pa.array(near.sum(axis=1))], names=["vec_id", "n"])
+
+    true = met(members, asked, ["code", "dimension", "salt"]).mapInArrow(count, "vec_id long, n long")
+    true = true.groupBy("vec_id").agg(F.sum("n").alias("n"))
+    had = found.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.sum("n_links").alias("had"))
+    both = true.join(had, "vec_id").agg(F.sum("n").alias("links"), F.sum("had").alias("found_links"))
+    return both.withColumn("recall", F.when(F.col("links") > 0, F.col("found_links") / F.col("links")).otherwise(F.lit(1.0)))
+
+
 def _links(folded: DataFrame, least: float) -> DataFrame:
-    """(rep, n, null): how many vectors link to rep in one block; (rep, null, edge): an edge of the forest."""
+    """(rep, n, null): how many vectors link to rep in one part; (rep, null, edge): an edge of the forest."""
     lengths = folded.groupBy("label", "dimension").count().groupBy("dimension").agg(F.max("count").alias("n")).collect()
+    # One sample for all lengths; a length that it misses has one pivot, whichever.
+    drawn: dict[int, list] = {}
+    picked = folded.select("dimension", "embedding", F.xxhash64("rep").alias("h"), "rep").orderBy("h", "rep").limit(SAMPLE)
+    for r in picked.select("dimension", "embedding").collect():
+        drawn.setdefault(r["dimension"], []).append(r["embedding"])
     pivots = {}
     for dimension, largest in ((r["dimension"], r["n"]) for r in lengths):
-        count = min(PIVOTS, -(-largest // SHARD))
-        drawn = (
-            folded.where(F.col("dimension") == dimension).select("embedding", F.xxhash64("rep").alias("h"), "rep")
-            .orderBy("h", "rep").limit(SAMPLE if count > 1 else 1).select("embedding").toArrow()
-        )
-        pivots[dimension] = fit_pivots(_vectors(drawn.column(0).combine_chunks(), dimension), count)
+        sample = pa.array(drawn.get(dimension, [[1.0] * dimension]), pa.list_(pa.float64()))
+        pivots[dimension] = fit_pivots(_vectors(sample, dimension), min(PIVOTS, -(-largest // SHARD)))
+    # The length of a link, and a little more than rounding may add to it.
+    border = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-6
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -218,16 +268,23 @@ def _links(folded: DataFrame, least: float) -> DataFrame:
                 home = cosine.argmax(axis=1)
                 best = cosine[np.arange(len(unit)), home]
                 apart = np.sqrt(np.maximum(2 - 2 * centres @ centres.T, 1e-12))[home]
-                row, pivot = np.nonzero((best[:, None] - cosine) / apart <= BORDER)
+                row, pivot = np.nonzero((best[:, None] - cosine) / apart <= border)
                 out = part.select(["label", "dimension", "rep", "copies", "embedding"]).take(pa.array(row))
                 yield out.append_column("pivot", pa.array(pivot, pa.int32())).append_column("home", pa.array(home[row] == pivot))
 
-    put = "label int, dimension int, rep long, copies long, embedding array<double>, pivot int, home boolean"
-    kept = folded.select(F.col("label").cast("int"), "dimension", "rep", "copies", "embedding").mapInArrow(assign, put)
+    put = "label string, dimension int, rep long, copies long, embedding array<double>, pivot int, home boolean"
+    kept = folded.select("label", "dimension", "rep", "copies", "embedding").mapInArrow(assign, put)
     kept = written_once(kept, "vectors")
     shard = ["label", "dimension", "pivot"]
-    sizes = kept.groupBy(*shard).agg(F.ceil(F.count("*") / F.lit(2 * SHARD)).cast("int").alias("blocks"))
-    members = kept.join(sizes, shard).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    sizes = kept.groupBy(*shard).agg(
+        F.ceil(F.count("*") / F.lit(PART)).cast("int").alias("blocks"), F.ceil(F.count("*") / F.lit(GRAPH)).cast("int").alias("graphs")
+    )
+    members = kept.join(sizes, shard).withColumns({
+        "block": F.pmod(F.xxhash64("rep"), "blocks").cast("int"), "graph": F.pmod(F.xxhash64(F.lit(1), "rep"), "graphs").cast("int"),
+    })
+    # Two pieces each, so that the united lists lead from any piece to the others.
+    further = F.pmod(F.col("graph") + 1 + F.pmod(F.xxhash64(F.lit(2), "rep"), F.greatest(F.col("graphs") - 1, F.lit(1))), "graphs")
+    members = members.withColumn("also", further.cast("int")).drop("graphs")
     members = written_once(members, "vectors")
 
     def build(table: pa.Table) -> pa.Table:
@@ -237,7 +294,7 @@ def _links(folded: DataFrame, least: float) -> DataFrame:
         return pa.table({"rep": ids, "near": pa.array([ids[x] for x in lists], pa.list_(pa.int64()))})
 
     adjacency = (
-        members.groupBy(*shard, "block").applyInArrow(build, "rep long, near array<long>")
+        members.withColumn("graph", F.explode(F.array_distinct(F.array("graph", "also")))).groupBy(*shard, "graph").applyInArrow(tidy_group(build), "rep long, near array<long>")
         .groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     )
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
@@ -260,7 +317,9 @@ def _links(folded: DataFrame, least: float) -> DataFrame:
             inside, place = ids[order][spot] == flat, order[spot]
             for a, b in zip(edges[:-1], edges[1:]):
                 lists.append(place[a:b][inside[a:b]])
-            hits, _ = _searched(asks, queries, ids, unit, lists, least)
+            graph = left.column("graph").to_numpy()
+            pieces = [np.flatnonzero(graph == g) for g in np.unique(graph)]
+            hits, _ = _searched(asks, queries, np.array([p[medoid(unit[p])] for p in pieces]), unit, lists, least)
             names = np.unique(np.concatenate([ids, asks]))
             at, part = np.searchsorted(names, ids), np.arange(len(names))
             for ask, found in zip(asks, hits):
@@ -280,4 +339,4 @@ def _links(folded: DataFrame, least: float) -> DataFrame:
         return pa.table({k: pa.array(v, pa.int64()) for k, v in out.items()})
 
     keys = [*shard, "block", "other"]
-    return base.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(search, "rep long, n long, edge long")
+    return base.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(tidy_group(search), "rep long, n long, edge long")

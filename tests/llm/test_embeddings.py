@@ -45,3 +45,32 @@ def test_graph_search_reaches_everything():
     start = medoid(unit)
     missed = sum(len(np.setdiff1d(np.flatnonzero(unit @ q >= 0.98), range_search(q, unit, lists, start, 32, 0.98))) for q in unit)
     assert missed <= 8
+
+
+def test_several_shards_and_graphs_lose_no_link(spark, group, monkeypatch):
+    """Few dimensions: links reach over every border between pivots."""
+    from logloom.llm import embeddings
+
+    for name, value in (("SHARD", 250), ("GRAPH", 150), ("PART", 400)):
+        monkeypatch.setattr(embeddings, name, value)
+    random = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in random.normal(size=4)], "ab"[i % 2]) for i in range(2400)]
+    table = spark.createDataFrame([(0, i, v, label, 1, 1) for i, v, label in rows], SCHEMA.replace("label int", "label string"))
+    unit = np.array([v for _, v, _ in rows], np.float32).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    same = np.array([r[2] for r in rows])
+    near = (unit @ unit.T >= 0.98) & (same[:, None] == same) & ~np.eye(len(rows), dtype=bool)
+    assert near.sum() > 4_000
+    whole = group(range(len(rows)), zip(*np.nonzero(near)))
+    found = near_vectors(table).persist()
+    got = {r["vec_id"]: r for r in found.collect()}
+    wrong = [i for i in range(len(rows)) if got[i]["n_links"] != near[i].sum() or got[i]["component_id"] != whole[i]]
+    assert not wrong
+    checked = embeddings.audit(table, found).first()
+    assert checked["links"] == near[::20].sum() and checked["recall"] == 1.0
+
+
+def test_labels_beyond_an_integer(spark):
+    rows = [(1, [1.0, 0.0], 2**40), (2, [1.0, 0.001], 2**40), (3, [1.0, 0.0], 2**40 + 1)]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long"))
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got.collect()) == [(1, 1, 1), (2, 1, 1), (3, 0, 3)]
