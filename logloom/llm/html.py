@@ -11,7 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.blocks import blocks
+from logloom.llm.blocks import blocks, tidy
+from logloom.session import written_once
+from logloom.sizing import is_small
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>"
@@ -44,15 +46,27 @@ OUTSIDE_WORDS = frozenset(
 )
 #: With one of these, a header is the article's own.
 TITLE_WORDS = frozenset("article entry post story".split())
+#: Hosts whose winners, 20 paths each at most, are copied to every task; pages of a host that meet its winners in one task.
+HOSTS, PAGES = 10_000, 20_000
 #: A path wins if at least this share of its host's pages votes for it, so a host has 20 winners at most.
 WIN = 0.05
 
 
 class Node:
-    __slots__ = ("tag", "path", "out", "parent", "score")
+    """An open element and what it knows of those around it, so that no tag walks the stack."""
 
-    def __init__(self, tag: str, path: str, out: bool, parent: Node | None):
-        self.tag, self.path, self.out, self.parent, self.score = tag, path, out, parent, 0.0
+    __slots__ = ("label", "path", "out", "parent", "score", "inside", "holder", "container", "cuts", "under")
+
+    def __init__(self, tag: str, label: str, path: int, out: bool, parent: Node | None):
+        self.label, self.path, self.out, self.parent, self.score = label, path, out, parent, 0.0
+        own_block, own_container = tag in BLOCK, tag in CONTAINER and not out
+        self.inside = parent is not None and parent.inside or tag in ("article", "main")
+        #: The nearest element, itself included, that text blocks end with.
+        self.holder = self if parent is None or own_block or out else parent.holder
+        self.container = self if own_container else parent and parent.container
+        #: The lowest open element of each kind, since the last container, that a next block may close.
+        self.cuts: dict[str, int] = {} if parent is None or own_container or tag in CONTAINER or out else parent.cuts
+        self.under = False
 
 
 def _marks(attributes: str) -> tuple[str, set[str], bool]:
@@ -61,7 +75,7 @@ def _marks(attributes: str) -> tuple[str, set[str], bool]:
     for key, *values in ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values).lower()
         if key == "class":
-            name = ".".join(sorted({re.sub(r"\d+", "#", x) for x in value.split()}))
+            name = ".".join(sorted({re.sub(r"[\d/]+", "#", x) for x in value.split()}))
         if key in ("class", "id", "role"):
             words.update(WORD.findall(value))
         hidden |= key == "style" and "display:none" in value.replace(" ", "") or (key, value) == ("aria-hidden", "true")
@@ -69,122 +83,150 @@ def _marks(attributes: str) -> tuple[str, set[str], bool]:
     return name, words, hidden
 
 
-def parse(page: str) -> tuple[list[tuple[Node, str]], list[Node]]:
-    """Text blocks with the element they lie in, in page order, and all containers.
+class Page:
+    """Text blocks with the element they lie in, in page order, all containers, all elements, and the paths by number.
 
     Tolerates what browsers do: missing end tags, stray end tags, text cut off
-    anywhere. An open paragraph ends at the next block element.
+    anywhere. An open paragraph ends at the next block element. Time and memory
+    follow the length of the page, however deep it is nested.
     """
-    top = Node("", "", False, None)
-    stack, found, held, containers = [top], [], [], []
 
-    def close_block(node: Node) -> None:
-        if held:
-            text = " ".join(references.unescape("".join(held)).split())
-            held.clear()
+    def __init__(self, page: str):
+        top = Node("", "", 0, False, None)
+        self.nodes, self.found, self.containers = [top], [], []
+        self.paths: dict[tuple[int, str], int] = {}
+        self._stack, self._tags, self._open, self._held = [top], [""], {}, []
+        self._read(page)
+
+    def _close_block(self) -> None:
+        if self._held:
+            text = " ".join(references.unescape("".join(self._held)).split())
+            self._held.clear()
             if text:
-                found.append((node, text))
-
-    def holder() -> Node:
-        return next((n for n in reversed(stack) if n.tag in BLOCK or n.out), top)
-
-    at = 0
-    while at < len(page):
-        m = TOKEN.search(page, at)
-        upto = m.start() if m else len(page)
-        if upto > at and not stack[-1].out:
-            held.append(page[at:upto])
-        if not m:
-            break
-        at = m.end()
-        tag = (m[2] or m[5] or "").lower()
-        if not tag:
-            continue
-        end, attributes = m[1] or m[4], m[3] or m[6] or ""
-        if end:
-            at_tag = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
-            if at_tag:
-                if any(n.tag in BLOCK or n.out for n in stack[at_tag:]):
-                    close_block(holder())
-                del stack[at_tag:]
-            continue
-        if tag == "br" or tag == "wbr":
-            held.append(" " if tag == "br" else "")
-            continue
-        if tag in RAW:
-            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
-            continue
+                self.found.append((self._stack[-1].holder, text))
+
+    def _drop(self, at: int) -> None:
+        for tag in self._tags[at:]:
+            self._open[tag] -= 1
+        del self._stack[at:], self._tags[at:]
+
+    def _read(self, page: str) -> None:
+        at, stack, tags, open_ = 0, self._stack, self._tags, self._open
+        while at < len(page):
+            m = TOKEN.search(page, at)
+            upto = m.start() if m else len(page)
+            if upto > at and not stack[-1].out:
+                self._held.append(page[at:upto])
+            if not m:
+                break
+            at = m.end()
+            tag = (m[2] or m[5] or "").lower()
+            if not tag:
+                continue
+            if m[1] or m[4]:
+                if open_.get(tag):
+                    low = len(tags) - 1
+                    while tags[low] != tag:
+                        low -= 1
+                    if any(t in BLOCK or n.out for t, n in zip(tags[low:], stack[low:])):
+                        self._close_block()
+                    self._drop(low)
+                continue
+            if tag == "br" or tag == "wbr":
+                self._held.append(" " if tag == "br" else "")
+                continue
+            if tag in RAW:
+                close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+                at = close.end() if close else len(page)
+                continue
+            self._begin(tag, m[3] or m[6] or "")
+        if not stack[-1].out:
+            self._close_block()
+
+    def _begin(self, tag: str, attributes: str) -> None:
+        stack, tags, open_ = self._stack, self._tags, self._open
         if tag in BLOCK:
-            close_block(holder())
-            low = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in CONTAINER or stack[i].out), 0)
-            for i in range(len(stack) - 1, low, -1):
-                if stack[i].tag == "p" or tag in ("li", "dd", "dt", "td", "th", "tr") and stack[i].tag == tag:
-                    del stack[i:]
-            if tag == stack[-1].tag == "li" or tag in ("td", "th") and stack[-1].tag in ("td", "th"):
-                stack.pop()
+            self._close_block()
+            cuts = stack[-1].cuts
+            low = min((cuts[t] for t in ("p", tag) if t in cuts and (t == "p" or t in ("dt", "th", "tr"))), default=None)
+            if low is not None:
+                self._drop(low)
+            if tag == tags[-1] == "li" or tag in ("td", "th") and tags[-1] in ("td", "th"):
+                self._drop(len(tags) - 1)
         if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
-            continue
+            return
         parent = stack[-1]
         name, words, hidden = _marks(attributes) if attributes else ("", frozenset(), False)
-        inside = any(n.tag in ("article", "main") for n in stack)
         marked = tag in OUTSIDE or hidden
         marked |= tag not in ("html", "body", "article", "main") and not words.isdisjoint(OUTSIDE_WORDS)
         # A header inside the article holds its title.
-        marked |= (tag == "header" or "header" in words and words.isdisjoint(TITLE_WORDS)) and not inside
-        if tag == "body" and any(n.tag == "body" for n in stack) or tag == "html" and len(stack) > 1:
-            continue
-        path = f"{parent.path}/{tag}" + (f".{name}" if name else "") if tag in BLOCK else parent.path
-        node = Node(tag, path, parent.out or marked, parent)
-        if node.out and not parent.out:
-            if tag in BLOCK or tag in OUTSIDE:
-                close_block(holder())
+        marked |= (tag == "header" or "header" in words and words.isdisjoint(TITLE_WORDS)) and not parent.inside
+        if tag == "body" and open_.get("body") or tag == "html" and len(stack) > 1:
+            return
+        label = tag + (f".{name}" if name else "") if tag in BLOCK else ""
+        path = self.paths.setdefault((parent.path, label), len(self.paths) + 1) if label else parent.path
+        out = parent.out or marked
+        if out and not parent.out and (tag in BLOCK or tag in OUTSIDE):
+            self._close_block()
+        node = Node(tag, label, path, out, parent)
+        if tag in ("p", "dt", "th", "tr") and tag not in node.cuts:
+            node.cuts = {**node.cuts, tag: len(stack)}
         stack.append(node)
-        if tag in CONTAINER and not node.out:
-            containers.append(node)
-    if not stack[-1].out:
-        close_block(holder())
-    return found, containers
-
+        tags.append(tag)
+        open_[tag] = open_.get(tag, 0) + 1
+        self.nodes.append(node)
+        if tag in CONTAINER and not out:
+            self.containers.append(node)
 
-def votes(page: str) -> tuple[str, float] | None:
-    """The path of the best container of a page and its weight, or None without text.
+    def best(self) -> tuple[str, float] | None:
+        """The path of the best container and its weight, or None without text.
 
-    A block gives its characters to the container it lies in and, from there
-    up, half to each next one, so that the innermost element holding most of
-    the prose wins over its wrappers and over a single paragraph.
-    """
-    found, containers = parse(page)
-    for node, text in found:
-        share, up = float(len(text)), node
-        while up is not None:
-            if up.tag in CONTAINER and not up.out:
+        A block gives its characters to the container it lies in and, from there
+        up, half to each next one, so that the innermost element holding most of
+        the prose wins over its wrappers and over a single paragraph. What is
+        less than a double can add is not passed on.
+        """
+        for node, text in self.found:
+            share, up, least = float(len(text)), node.container, len(text) * 2.0**-70
+            while up is not None and share > least:
                 up.score += share
                 share /= 2
+                up = up.parent and up.parent.container
+        best = max(self.containers, key=lambda n: n.score, default=None)
+        if best is None or not best.score:
+            return None
+        labels, up = [], best
+        while up is not None:
+            if up.label:
+                labels.append(up.label)
             up = up.parent
-    best = max(containers, key=lambda n: n.score, default=None)
-    if best is None or not best.score:
-        return None
-    return best.path, math.log2(1 + best.score)
+        return "".join(f"/{x}" for x in reversed(labels)), math.log2(1 + best.score)
+
+    def texts(self, path: str) -> list[str]:
+        """The blocks under elements of a path."""
+        number = 0
+        for label in path.split("/")[1:]:
+            number = self.paths.get((number, label))
+            if number is None:
+                return []
+        for node in self.nodes:
+            node.under = node.path == number or node.parent is not None and node.parent.under
+        return [text for node, text in self.found if node.under]
+
+
+def votes(page: str) -> tuple[str, float] | None:
+    """The path that a page votes for and the weight of its vote."""
+    return Page(page).best()
 
 
 def extract(page: str, winners: list[str] | None) -> str:
     """The blocks under the first winning path that the page has text for; without one under its own best path."""
-    found, _ = parse(page)
-    under = []
-    for node, text in found:
-        paths, up = set(), node
-        while up is not None:
-            paths.add(up.path)
-            up = up.parent
-        under.append((paths, text))
+    read = Page(page)
     for path in winners or ():
-        if texts := [t for paths, t in under if path in paths]:
+        if texts := read.texts(path):
             return "\n\n".join(texts)
-    own = votes(page)
-    if own:
-        return "\n\n".join(t for paths, t in under if own[0] in paths)
-    return "\n\n".join(t for _, t in under)
+    own = read.best()
+    return "\n\n".join(read.texts(own[0]) if own else [text for _, text in read.found])
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -195,9 +237,10 @@ def main_text(pages: DataFrame) -> DataFrame:
     2. Votes are summed per host and path (partial sums first, so a host with a
        third of all pages is no hot spot); paths with enough of their host's
        votes win, 20 per host at most.
-    3. Every page is extracted again from the winning path it has. The join by
-       host is a plain equi-join: adaptive execution broadcasts the winners
-       where their measured size allows and splits a hot host otherwise.
+    3. Every page is extracted again from the winning path it has. The votes
+       are written once. Winners of up to ``HOSTS`` hosts are copied to the
+       tasks, so that no page moves; those of more meet the pages by host, a
+       host's pages dealt over as many salts as their number asks for.
 
     Null or empty html gives an empty text. Pages without a host (null or odd
     url) vote together under the empty host. Repeated rows keep their rows.
@@ -214,16 +257,18 @@ def main_text(pages: DataFrame) -> DataFrame:
                 pa.schema([("host", pa.string()), ("path", pa.string()), ("weight", pa.float64())]),
             )
 
-    cast = (
-        rows.select("host", "html").mapInArrow(vote, "host string, path string, weight double")
-        .groupBy("host", "path").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 3).alias("weight"))
+    cast = written_once(
+        rows.select("host", "html").mapInArrow(tidy(vote), "host string, path string, weight double")
+        .groupBy("host", "path").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 3).alias("weight")),
+        "votes",
     )
     total = cast.groupBy("host").agg(F.sum("n").alias("all"))
     winners = (
-        cast.join(total, "host").where(F.col("n") >= WIN * F.col("all")).groupBy("host")
+        cast.join(total, "host").where(F.col("n") >= WIN * F.col("all")).groupBy("host", "all")
         .agg(F.sort_array(F.collect_list(F.struct(-F.col("n"), -F.col("weight"), "path"))).alias("w"))
-        .select("host", F.col("w.path").alias("winners"))
+        .select("host", F.col("w.path").alias("winners"), "all")
     )
+    winners = written_once(winners, "winners")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "html"):
@@ -239,7 +284,17 @@ def main_text(pages: DataFrame) -> DataFrame:
                 names=["page_id", "url", "text", "n_chars"],
             )
 
+    if is_small(winners, HOSTS):
+        met = rows.join(F.broadcast(winners.drop("all")), "host", "left")
+    else:
+        # Hosts of more than PAGES pages are few; their winners are repeated for every salt.
+        salts = F.ceil(F.col("all") / F.lit(PAGES)).cast("int")
+        large = winners.where(salts > 1).select("host", salts.alias("salts"))
+        place = F.pmod(F.xxhash64("page_id", "url"), F.coalesce("salts", F.lit(1))).cast("int")
+        dealt = rows.join(large, "host", "left").withColumn("salt", place)
+        spread = winners.select("host", "winners", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
+        met = dealt.join(spread, ["host", "salt"], "left")
     return (
-        rows.join(winners, "host", "left").select("page_id", "url", "html", "winners")
-        .mapInArrow(take, "page_id long, url string, text string, n_chars long")
+        met.select("page_id", "url", "html", "winners")
+        .mapInArrow(tidy(take), "page_id long, url string, text string, n_chars long")
     )

@@ -40,3 +40,45 @@ def test_hosts_agree(spark):
     assert texts[60] == "free text" and [texts[i] for i in (61, 62, 63)] == [""] * 3
     assert all(r["n_chars"] == len(r["text"]) for r in got)
     assert main_text(table.where("false")).count() == 0
+
+
+def test_time_follows_the_length_of_deep_and_unclosed_markup():
+    import time
+
+    begin = time.perf_counter()
+    assert extract("<div>" * 60_000 + "deep", None) == "deep"
+    assert extract("<b>" * 60_000 + "one<p>two", None) == "one\n\ntwo"
+    assert extract("<div><p>a" * 20_000, None) == "\n\n".join("a" * 20_000)
+    assert extract("<article>" + "<b><p>x</i>" * 20_000, None) == "\n\n".join("x" * 20_000)
+    assert time.perf_counter() - begin < 20
+
+
+def test_hosts_beyond_the_copied_ones_are_dealt_over_salts(spark, small, values, monkeypatch):
+    from logloom.llm import html
+
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    want = values(main_text(pages))
+    monkeypatch.setattr(html, "HOSTS", 0)
+    monkeypatch.setattr(html, "PAGES", 3)
+    assert values(main_text(pages)) == want
+
+
+def test_pages_against_a_plain_vote(spark, small):
+    """The same votes, counted in plain Python over the whole table."""
+    import re
+    from collections import Counter, defaultdict
+
+    rows = [tuple(r) for r in spark.read.parquet(f"{small}/pages.parquet").select("page_id", "url", "html").collect()]
+    host = lambda u: (re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", u or "") or ["", ""])[1].lower()
+    count, weight, total = defaultdict(Counter), Counter(), Counter()
+    for _, url, page in rows:
+        if vote := votes(page or ""):
+            count[host(url)][vote[0]] += 1
+            weight[host(url), vote[0]] += vote[1]
+            total[host(url)] += 1
+    winners = {
+        h: [p for p, n in sorted(c.items(), key=lambda x: (-x[1], -round(weight[h, x[0]], 3), x[0])) if n >= 0.05 * total[h]]
+        for h, c in count.items()
+    }
+    got = {r["page_id"]: r["text"] for r in main_text(spark.read.parquet(f"{small}/pages.parquet")).collect()}
+    assert got == {i: extract(page or "", winners.get(host(url))) for i, url, page in rows}
