@@ -53,7 +53,7 @@ RULES = BASE_RULES + (
     Rule("url_login", 1, r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,256}:[^\s/@]{1,256}@", needles=("://",)),
 )
 
-LEDGER = "blob string, rules array<string>, findings array<struct<start:int,rank:int,kind:string,end:int>>"
+LEDGER = "blob string, rules array<string>, findings array<struct<start:int,rule:string,end:int>>"
 
 
 def find(text: str, rules: Sequence[tuple[int, Rule, re.Pattern]]) -> list[tuple[int, int, str, int]]:
@@ -75,14 +75,16 @@ def scan(versions: DataFrame, ledger: str, rules: Sequence[Rule] = RULES, keys:
     """Findings of every version (``keys``, text), scanning only what the ledger has not seen.
 
     A version is addressed by the SHA-256 of its content. The ledger, a Parquet
-    folder that this call appends to, has a row per blob and call: the rules
-    scanned and what they found. Pairs of blob and rule version found there are
-    not scanned again; of versions with equal content one is scanned. What
-    comes back is read from the ledger and joined to all versions of a blob, so
-    thousands of copies cost one scan and a plain equi-join.
+    folder that this call appends to, has a row per blob and call: the rule
+    versions scanned and what each of them found. Pairs of blob and rule version
+    found there are not scanned again; of versions with equal content one is
+    scanned. What comes back are the ledger's findings of exactly the given rule
+    versions, in the order of the given rules, joined to all versions of a blob,
+    so thousands of copies cost one scan and a plain equi-join. Of the ledger
+    only the rows of the blobs at hand are aggregated.
 
     Returns the keys, ``blob`` and ``findings`` (sorted by start, then by the
-    rules' order). A null text counts as an empty one; null keys and repeated
+    rules' order). Texts are scanned whole, however long. A null text counts as an empty one; null keys and repeated
     rows keep their rows; an empty table appends nothing and returns no rows.
     """
     spark = versions.sparkSession
@@ -92,7 +94,7 @@ def scan(versions: DataFrame, ledger: str, rules: Sequence[Rule] = RULES, keys:
     todo = keyed.groupBy("blob").agg(F.min(F.struct(*keys)).alias("first")).withColumn("rules", every)
     before = read_ledger(spark, ledger)
     if before is not None:
-        seen = before.groupBy("blob").agg(F.flatten(F.collect_set("rules")).alias("seen"))
+        seen = before.join(todo.select("blob"), "blob", "left_semi").groupBy("blob").agg(F.flatten(F.collect_set("rules")).alias("seen"))
         todo = (
             todo.join(seen, "blob", "left")
             .withColumn("rules", F.array_except("rules", F.coalesce("seen", F.array().cast("array<string>"))))
@@ -108,10 +110,10 @@ def scan(versions: DataFrame, ledger: str, rules: Sequence[Rule] = RULES, keys:
         for block in blocks(batches):
             texts, wanted = block.column("text").to_pylist(), block.column("rules").to_pylist()
             found = [
-                [dict(zip(("start", "rank", "kind", "end"), x)) for x in find(t, [r for r in ranked if r[1].id in w])]
+                [{"start": a, "rule": rules[rank].id, "end": b} for a, rank, _, b in find(t, [r for r in ranked if r[1].id in w])]
                 for t, w in zip(texts, map(set, wanted))
             ]
-            kind = pa.struct([("start", pa.int32()), ("rank", pa.int32()), ("kind", pa.string()), ("end", pa.int32())])
+            kind = pa.struct([("start", pa.int32()), ("rule", pa.string()), ("end", pa.int32())])
             yield pa.RecordBatch.from_arrays(
                 [block.column("blob"), pa.array(wanted, pa.list_(pa.string())), pa.array(found, pa.list_(kind))],
                 names=["blob", "rules", "findings"],
@@ -119,16 +121,24 @@ def scan(versions: DataFrame, ledger: str, rules: Sequence[Rule] = RULES, keys:
 
     # Repeated rows may bring one blob twice.
     unseen.mapInArrow(tidy(run), LEDGER).dropDuplicates(["blob"]).write.mode("append").parquet(ledger)
-    current = [rule.id for rule in rules]
+    ids, kinds = F.array(*[F.lit(rule.id) for rule in rules]), F.array(*[F.lit(rule.kind) for rule in rules])
+    rank = lambda f: F.array_position(ids, f["rule"])
+    spans = F.transform(
+        F.filter("findings", lambda f: F.array_contains(ids, f["rule"])),
+        lambda f: F.struct(
+            f["start"].alias("start"), (rank(f) - 1).cast("int").alias("rank"),
+            F.element_at(kinds, rank(f).cast("int")).alias("kind"), f["end"].alias("end"),
+        ),
+    )
     known = (
-        spark.read.schema(LEDGER).parquet(ledger)
-        .where(F.arrays_overlap("rules", F.array(*map(F.lit, current))))
-        .groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("findings"))).alias("findings"))
+        spark.read.schema(LEDGER).parquet(ledger).where(F.arrays_overlap("rules", ids))
+        .join(keyed.select("blob").distinct(), "blob", "left_semi") if before is not None
+        else spark.read.schema(LEDGER).parquet(ledger)
     )
-    kinds = F.array(*[F.lit(rule.kind) for rule in rules])
-    return keyed.select(*keys, "blob").join(known, "blob").select(
-        *keys, "blob", F.filter("findings", lambda f: F.array_contains(kinds, f["kind"])).alias("findings")
+    known = known.select("blob", spans.alias("findings")).groupBy("blob").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("findings")))).alias("findings")
     )
+    return keyed.select(*keys, "blob").join(known, "blob").select(*keys, "blob", "findings")
 
 
 def read_ledger(spark, ledger: str) -> DataFrame | None:

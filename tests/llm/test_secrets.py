@@ -61,3 +61,17 @@ def test_ledger_scans_only_what_is_new(spark, nothing):
 
 def test_mask_joins_overlaps():
     assert secrets.mask("0123456789", [(2, 5), (4, 7), (8, 9)], "#") == "01#7#9"
+
+
+def test_findings_are_those_of_the_current_rule_versions(spark):
+    ledger = scratch_dir(spark, "ledger")
+    texts = spark.createDataFrame([(1, "k1 k22 k1 o"), (2, "k22"), (3, "k1 k22 k1 o")], "doc_id long, text string")
+    old = (secrets.Rule("k", 1, r"k\d+"), secrets.Rule("o", 1, "o"))
+    new = (secrets.Rule("o", 1, "o"), secrets.Rule("k", 2, r"k\d\d"))
+    secrets.scan(texts, ledger, old).collect()
+    for rules in (new, old, (secrets.Rule("k", 2, r"k\d\d"),)):
+        after = sorted(map(str, secrets.scan(texts, ledger, rules).collect()))
+        fresh = sorted(map(str, secrets.scan(texts, scratch_dir(spark, "ledger"), rules).collect()))
+        assert after == fresh
+    few = secrets.scan(texts.where("doc_id = 2"), ledger, old).collect()
+    assert [[f["kind"] for f in r["findings"]] for r in few] == [["k"]]
