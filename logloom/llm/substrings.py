@@ -106,10 +106,10 @@ def remove_repeated_windows(docs: DataFrame, digests: bool = False) -> DataFrame
 
     Returns doc_id, n_words, n_removed and the kept words joined by one space
     (``digests``: their SHA-256). A null text has no words. Repeated rows repeat
-    each other. Rows that share a doc_id share its spans.
+    each other. Rows that share a doc_id, or have none, are documents of their own.
     """
     kept = "kept_sha256 string" if digests else "kept_text string"
     return find_and_remove(
         docs, Units(True, WINDOW, ANCHOR), judge, True, _digest if digests else _finish,
-        f"doc_id long, n_words long, n_removed long, {kept}", "substrings",
+        f"doc_id long, n_words long, n_removed long, {kept}", "substrings", rows=True,
     )

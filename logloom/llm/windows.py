@@ -21,7 +21,7 @@ at any size. A part or bucket travels as a few rows of packed numbers.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -114,10 +114,17 @@ def _column(table: pa.Table | pa.RecordBatch, name: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_py() for x in table.column(name)), kind)
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with an id that is never null: null ids are named by their text, above all others."""
+def identified(docs: DataFrame, rows: bool = False, carry: Sequence[str] = ()) -> DataFrame:
+    """docs (doc_id, text) with an id that is never null: null ids are named by their text, above all others.
+
+    ``rows``: every row is a document of its own. Where ids are null or shared,
+    the rows are numbered and written once, so that numbers stay as they are.
+    """
+    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *carry)
+    if rows and not docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+        return written_once(docs.withColumn(ID, F.monotonically_increasing_id()), "rows")
     far = F.lit(2**63 - 1) - F.abs(F.xxhash64("text") % F.lit(2**60))
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn(ID, F.coalesce("doc_id", far))
+    return docs.withColumn(ID, F.coalesce("doc_id", far))
 
 
 def parts_for(docs: DataFrame) -> int:
@@ -315,6 +322,7 @@ def removed_units(block: Block, table: dict[str, np.ndarray], first: np.ndarray)
 def remove(
     docs: DataFrame, spans_: DataFrame, units: Units, parts: int,
     finish: Callable[[Block, np.ndarray, np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch], schema: str,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """``finish`` (block, begin, end, first unit per document, removed units) over all documents."""
 
@@ -326,25 +334,31 @@ def remove(
             begin, end, _, first = units.of(block)
             here = np.isin(table["ident"], block.column(ID).to_numpy(zero_copy_only=False))
             gone = removed_units(block, {k: v[here] for k, v in table.items()}, first)
-            out.append(finish(block, begin, end, first, gone))
+            made = finish(block, begin, end, first, gone)
+            out.append(pa.RecordBatch.from_arrays([*made.columns, *map(block.column, carry)], names=[*made.schema.names, *carry]))
         if not out:
-            none = np.zeros(0, np.int64)
-            out.append(finish(Block(EMPTY), none, none, np.zeros(1, np.int64), none.astype(bool)))
+            none, empty = np.zeros(0, np.int64), Block(pa.RecordBatch.from_pylist([], left.schema))
+            made = finish(empty, none, none, np.zeros(1, np.int64), none.astype(bool))
+            out.append(pa.RecordBatch.from_arrays([*made.columns, *map(empty.column, carry)], names=[*made.schema.names, *carry]))
         return pa.Table.from_batches(out)
 
     docs = _by_bucket(docs, parts)
     return docs.groupBy("bucket").cogroup(spans_.groupBy("bucket")).applyInArrow(tidy_group(run), schema)
 
 
-EMPTY = pa.RecordBatch.from_pylist([], pa.schema([("doc_id", pa.int64()), ("text", pa.string()), (ID, pa.int64())]))
-
-
 def find_and_remove(
-    docs: DataFrame, units: Units, judge: Judge, same_too: bool, finish, schema: str, purpose: str
+    docs: DataFrame, units: Units, judge: Judge, same_too: bool, finish, schema: str, purpose: str,
+    rows: bool = False, carry: Sequence[str] = (),
 ) -> DataFrame:
-    """All four stages; what passes from one to the next is written to the shared scratch folder."""
-    docs = identified(docs)
+    """All four stages; what passes from one to the next is written to the shared scratch folder.
+
+    ``rows``: rows that share an id are different documents. Columns in
+    ``carry`` come back beside those of ``finish``.
+    """
+    docs = identified(docs, rows, carry)
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in carry}
+    schema += "".join(f", {c} {k}" for c, k in kinds.items())
     parts = parts_for(docs)
     survivors = written_once(anchor_survivors(docs, units, parts), purpose)
     found = written_once(spans(contexts(docs, survivors, units, parts, same_too), judge, units, parts), purpose)
-    return remove(docs, found, units, parts, finish, schema)
+    return remove(docs, found, units, parts, finish, schema, carry)

@@ -48,3 +48,13 @@ def test_byte_strings_against_brute_force(docs, rows, nothing):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
     assert sum(x[2] for x in want) > 1000
     assert remove_earlier_strings(nothing, digests=True).count() == 0
+
+
+def test_rows_that_share_an_id_are_documents_of_their_own(spark):
+    long = " ".join(f"w{i}" for i in range(40))
+    other = " ".join(f"x{i}" for i in range(40))
+    rows = spark.createDataFrame([(1, long), (1, other), (2, long), (None, other + " y"), (None, "z " + long)], "doc_id long, text string")
+    got = sorted(((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in remove_repeated_windows(rows).collect()))
+    assert got == [(0, 41, 40), (0, 41, 40), (1, 40, 40), (1, 40, 40), (2, 40, 40)]
+    alone = rows.where("doc_id = 1").union(rows.where("doc_id = 2"))
+    assert sorted((r["doc_id"], r["n_removed"]) for r in remove_repeated_windows(alone).collect()) == [(1, 0), (1, 40), (2, 40)]
