@@ -23,6 +23,8 @@ UNIVERSE_BITS = 20
 BANDS, ROWS = 32, 6
 #: Sets of a family block.
 BLOCK = 64
+#: Names of rows without an id begin here.
+UNNAMED = 2**63 - 1 - 2**60
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
@@ -81,7 +83,7 @@ def _band_keys(sign: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, size of the shingle set, a digest of the set, and one key per band (null for an empty set)."""
+    """doc_id, ident, size of the shingle set, a digest of the set, and one key per band (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
@@ -91,15 +93,16 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     block.column("doc_id").cast(pa.int64()),
+                    block.column("ident"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(digest, pa.binary()),
                     pa.array(keys, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n_shingles", "set_key", "bands"],
+                names=["doc_id", "ident", "n_shingles", "set_key", "bands"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        tidy(run), "doc_id long, n_shingles long, set_key binary, bands array<long>"
+    return docs.select("doc_id", "ident", "text").mapInArrow(
+        tidy(run), "doc_id long, ident long, n_shingles long, set_key binary, bands array<long>"
     )
 
 
@@ -146,13 +149,16 @@ def near_duplicates(
     included), kept (doc_id = component_id). A null or wordless text has an
     empty set and is linked with nothing. Rows that share a doc_id count as one
     document and each get their row. A null doc_id never represents a
-    component; it takes the one of its equal or linked documents, or null.
+    component that holds a document with an id; it takes the smallest id of the
+    documents that it reaches, or null without any. Ids lie below ``UNNAMED``.
     """
-    docs = docs.select("doc_id", "text")
+    # Rows without an id go by their text, above all ids.
+    unnamed = F.lit(2**63 - 1) - F.abs(F.xxhash64("text") % F.lit(2**60))
+    docs = docs.select("doc_id", "text").withColumn("ident", F.coalesce("doc_id", unnamed))
     rows_of = written_once(signatures(docs, n, bands, rows), "minhash")
     sets = (
-        rows_of.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key")
-        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
+        rows_of.where("n_shingles > 0").groupBy("set_key")
+        .agg(F.min("ident").alias("rep"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
     )
     sets = written_once(sets, "minhash")
     members = sets.select("rep", "size", F.explode("bands").alias("bucket"))
@@ -162,7 +168,8 @@ def near_duplicates(
     shared = written_once(members.join(heads, "bucket"), "minhash")
     # The texts of all sets that meet another one, written once for both verifications.
     met = shared.select(F.col("rep").alias("doc_id")).distinct().hint("shuffle_hash")
-    texts = written_once(docs.join(met, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "minhash")
+    named = docs.select(F.col("ident").alias("doc_id"), "text")
+    texts = written_once(named.join(met, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "minhash")
     near = f"100 * least(x, y) >= {percent} * greatest(x, y) AND a != b"
     star = written_once(
         shared.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b"), F.col("hub.size").alias("x"),
@@ -201,7 +208,7 @@ def near_duplicates(
     )
     return (
         rows_of.select("doc_id", "n_shingles", "set_key").join(by_set, "set_key", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        .select("doc_id", "n_shingles", F.coalesce(F.when(F.col("component_id") < UNNAMED, F.col("component_id")), "doc_id").alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
 

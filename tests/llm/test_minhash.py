@@ -73,3 +73,10 @@ def test_components_of_chains(spark, group):
     got = components(spark.createDataFrame(links, "a long, b long")).collect()
     assert {r["node"]: r["component"] for r in got} == group(nodes, [x for x in links if x[0] != x[1]])
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rows_without_an_id_take_the_id_they_reach(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, text), (None, text + " more"), (None, text), (None, "quite another text " * 3), (None, "quite another text " * 3)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["n_shingles"], r["component_id"] or 0, r["kept"]) for r in got) == [(3, 0, True), (3, 0, True), (56, 7, False), (56, 7, True), (57, 7, False)]
