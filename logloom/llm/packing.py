@@ -18,10 +18,10 @@ from logloom.session import written_once
 
 #: Tokens of a sequence, and the id put after each document.
 CAPACITY, END_ID = 1024, 0
-#: The linear program stops when it is proven to lie within this share of its optimum, or after so many columns.
-GAP, MOST_COLUMNS = 0.002, 600
-#: Pieces of one length that are ranked together in a task.
-RANKED = 256
+#: Lengths are planned in classes of so many tokens, rounded up, which bounds the program to 128 rows.
+GRAIN = 8
+#: Pieces of one class that are ranked together in a task, and groups that are numbered together.
+RANKED, GROUPS = 256, 4096
 
 
 @lru_cache(maxsize=2)
@@ -69,8 +69,11 @@ def token_pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPAC
     return docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
 
 
-def knapsack(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[float, list[int]]:
-    """The most valuable multiset of lengths that fits, by dynamic programming over the capacity."""
+def knapsack(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """The value of the best multiset of lengths within every capacity, and the last length put in.
+
+    Dynamic programming over the capacity; values are not negative.
+    """
     worth = np.zeros(capacity + 1)
     worth[lengths] = values
     best, take = np.zeros(capacity + 1), np.zeros(capacity + 1, int)
@@ -78,12 +81,18 @@ def knapsack(values: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[fl
         options = worth[1 : c + 1] + best[c - 1 :: -1][:c]
         k = int(options.argmax())
         best[c], take[c] = options[k], k + 1
-    out, c = [], capacity
-    while c > 0 and best[c] > 1e-12:
-        if worth[take[c]] > 0:
-            out.append(int(take[c]))
-        c -= int(take[c])
-    return float(best[capacity]), out
+    return best, take
+
+
+def filling(take: np.ndarray, listed: set[int], capacity: int) -> dict[int, int]:
+    """The multiset that ``knapsack`` found for a capacity."""
+    out: dict[int, int] = {}
+    while capacity > 0:
+        n = int(take[capacity])
+        if n in listed:
+            out[n] = out.get(n, 0) + 1
+        capacity -= n
+    return out
 
 
 def fullest(left: dict[int, float], capacity: int) -> dict[int, int]:
@@ -108,75 +117,75 @@ def fullest(left: dict[int, float], capacity: int) -> dict[int, int]:
     return used
 
 
-def first_basis(
-    lengths: np.ndarray, demand: np.ndarray, capacity: int
-) -> tuple[list[dict[int, int]], np.ndarray, np.ndarray]:
-    """A feasible basis, its inverse and its amounts: a pattern is used until one of its lengths is exhausted.
+class Program:
+    """The covering program: patterns, as few as possible, that hold at least the demand of every length.
 
-    No later pattern holds an exhausted length, so the basis is triangular.
+    Revised simplex. It begins with one pattern for each length, as many of it
+    as fit. A column is a pattern of cost 1 or, where a dual is negative, the
+    surplus of a length at no cost; so duals end up not negative. Demands are
+    raised by distinct parts of a ten-millionth, which no two bases share, so
+    that no pivot is of length 0 and none repeats.
     """
-    left = dict(zip(lengths.tolist(), demand.astype(float).tolist()))
-    patterns: dict[int, dict[int, int]] = {}
-    amounts = {}
-    while left:
-        pattern = fullest({n: max(1.0, x) for n, x in left.items()}, capacity)
-        times = min(left[n] / k for n, k in pattern.items())
-        gone = min(pattern, key=lambda n: left[n] / pattern[n])
-        patterns[gone], amounts[gone] = pattern, times
-        for n, k in pattern.items():
-            left[n] = max(0.0, left[n] - k * times)
-        del left[gone]
-    ordered = [patterns[n] for n in lengths.tolist()]
-    where = {n: i for i, n in enumerate(lengths.tolist())}
-    matrix = np.zeros((len(lengths),) * 2)
-    for j, pattern in enumerate(ordered):
-        for n, k in pattern.items():
-            matrix[where[n], j] = k
-    return ordered, np.linalg.inv(matrix), np.array([amounts[n] for n in lengths.tolist()])
-
-
-def column_generation(
-    lengths: np.ndarray, demand: np.ndarray, capacity: int, gap: float = GAP, most: int = MOST_COLUMNS
-) -> list[tuple[dict[int, int], float]]:
-    """Patterns (length -> how many) and how often the linear program uses each.
-
-    Starts from a basis of full patterns. The duals of the current basis price
-    new columns by ``knapsack``; the best one enters by the revised simplex
-    rule. Duals divided by the best price are a dual solution, hence a lower
-    bound, which ends the search together with the volume bound.
-    """
-    patterns, inverse, amount = first_basis(lengths, demand, capacity)
-    first = [(p, float(x)) for p, x in zip(patterns, amount) if x > 0]
-    where = {int(n): i for i, n in enumerate(lengths)}
-    bound = float(demand @ lengths) / capacity
-    for _ in range(most):
-        duals = inverse.sum(axis=0)
-        price, items = knapsack(np.maximum(duals, 0), lengths, capacity)
-        bound = max(bound, float(demand @ np.maximum(duals, 0)) / max(price, 1.0))
-        if price <= 1 + 1e-9 or amount.sum() <= bound * (1 + gap):
-            break
-        pattern: dict[int, int] = {}
-        for n in items:
-            pattern[n] = pattern.get(n, 0) + 1
-        column = sum(inverse[:, where[n]] * k for n, k in pattern.items())
-        positive = column > 1e-9
-        ratio = np.where(positive, amount / np.where(positive, column, 1), np.inf)
+
+    def __init__(self, lengths: np.ndarray, demand: np.ndarray, capacity: int):
+        self.where = {int(n): i for i, n in enumerate(lengths)}
+        fits = capacity // lengths
+        self.patterns: list[dict[int, int] | None] = [{int(n): int(k)} for n, k in zip(lengths, fits)]
+        self.cost, self.inverse = np.ones(len(lengths)), np.diag(1.0 / fits)
+        self.amount = demand * (1 + 1e-7 * np.random.default_rng(3).random(len(lengths))) / fits
+        self.generated = 0
+        self._price()
+
+    def _price(self) -> None:
+        self.duals = self.cost @ self.inverse
+
+    def _enter(self, column: np.ndarray, cost: float, pattern: dict[int, int] | None) -> None:
+        rises = column > 1e-9
+        ratio = np.where(rises, self.amount / np.where(rises, column, 1), np.inf)
         out = int(ratio.argmin())
         step = ratio[out]
-        amount = np.maximum(amount - step * column, 0)
-        amount[out] = step
-        row = inverse[out] / column[out]
-        inverse -= np.outer(column, row)
-        inverse[out] = row
-        patterns[out] = pattern
-    # Pivots lose digits on tiny programs; a worse or uneven end falls back to the first basis.
-    used = np.zeros(len(lengths))
-    for pattern, x in zip(patterns, amount):
-        for n, k in pattern.items():
-            used[where[n]] += k * x
-    if amount.sum() > sum(x for _, x in first) or np.abs(used - demand).max() > 1e-3 * demand.max():
-        return first
-    return [(p, float(x)) for p, x in zip(patterns, amount) if x > 0]
+        self.amount = np.maximum(self.amount - step * column, 0)
+        self.amount[out] = step
+        row = self.inverse[out] / column[out]
+        self.inverse -= np.outer(column, row)
+        self.inverse[out] = row
+        self.cost[out], self.patterns[out] = cost, pattern
+        self._price()
+
+    def drop_surplus(self) -> None:
+        while (low := int(self.duals.argmin())) >= 0 and self.duals[low] < -1e-9:
+            self._enter(-self.inverse[:, low], 0.0, None)
+
+    def add(self, pattern: dict[int, int]) -> None:
+        """Take a pattern in if it is worth more than it costs by the duals as they are now."""
+        at, many = [self.where[n] for n in pattern], np.array(list(pattern.values()))
+        if self.duals.min() > -1e-9 and float(self.duals[at] @ many) > 1 + 1e-9:
+            self.generated += 1
+            self._enter(self.inverse[:, at] @ many, 1.0, pattern)
+
+
+def column_generation(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[list[tuple[dict[int, int], float]], Program]:
+    """Patterns (length -> how many) and how often the solved program uses each.
+
+    Every round prices all patterns by the duals with one ``knapsack`` and takes
+    in those that are worth more than 1, the best one that holds each length. No
+    pattern worth more than 1 is left at the end, which proves the optimum.
+    """
+    program, listed = Program(lengths, demand, capacity), {int(n) for n in lengths}
+    while True:
+        program.drop_surplus()
+        best, take = knapsack(np.maximum(program.duals, 0), lengths, capacity)
+        if best[capacity] <= 1 + 1e-9:
+            break
+        worth = program.duals + best[capacity - lengths]
+        for j in np.argsort(-worth):
+            if worth[j] <= 1 + 1e-9:
+                break
+            pattern = filling(take, listed, capacity - int(lengths[j]))
+            pattern[int(lengths[j])] = pattern.get(int(lengths[j]), 0) + 1
+            program.add(pattern)
+    amounts = program.inverse @ demand
+    return [(p, float(x)) for p, x in zip(program.patterns, amounts) if p and x > 1e-9], program
 
 
 def fill(lengths: np.ndarray, demand: np.ndarray, capacity: int) -> list[dict[int, int]]:
@@ -196,12 +205,12 @@ def plan(lengths: np.ndarray, demand: np.ndarray, capacity: int = CAPACITY) -> l
     """Whole-number pattern counts that use every piece exactly once.
 
     The program's amounts are rounded down and cut to what is left of each
-    length; the rest, at most one sequence per pattern and so bounded by the
+    length; the rest, about one sequence per pattern and so bounded by the
     number of lengths, is filled piece by piece.
     """
     left = dict(zip(lengths.tolist(), demand.tolist()))
     out = []
-    for pattern, amount in column_generation(lengths, demand.astype(float), capacity):
+    for pattern, amount in column_generation(lengths, demand.astype(float), capacity)[0]:
         times = min([int(amount + 1e-9), *(left[n] // k for n, k in pattern.items())])
         if times > 0:
             out.append((pattern, times))
@@ -212,17 +221,17 @@ def plan(lengths: np.ndarray, demand: np.ndarray, capacity: int = CAPACITY) -> l
 
 
 def slots(patterns: list[tuple[dict[int, int], int]]) -> dict[str, np.ndarray]:
-    """Runs of ranks per length: rank ``first`` + copy * per + j lies in sequence ``sequence`` + copy at offset + j * length."""
+    """Runs of ranks per class: rank ``first`` + copy * per + j is the piece ``slot`` + j of sequence ``sequence`` + copy."""
     rows, taken, sequence = [], {}, 0
     for pattern, times in patterns:
-        offset = 0
+        slot = 0
         for n, k in sorted(pattern.items(), reverse=True):
-            rows.append((n, taken.get(n, 0), k, sequence, offset))
+            rows.append((n, taken.get(n, 0), k, sequence, slot))
             taken[n] = taken.get(n, 0) + k * times
-            offset += n * k
+            slot += k
         sequence += times
     rows.sort()
-    return dict(zip(("length", "first", "per", "sequence", "offset"), np.array(rows, np.int64).reshape(-1, 5).T))
+    return dict(zip(("class", "first", "per", "sequence", "slot"), np.array(rows, np.int64).reshape(-1, 5).T))
 
 
 def pack(
@@ -232,48 +241,59 @@ def pack(
 
     1. A pass tokenises and cuts only what is longer than a sequence. The pieces
        are written once.
-    2. The driver gets a histogram of piece lengths, ``capacity`` rows at most,
-       and solves the cutting-stock program over it.
-    3. Pieces of one length are ranked: each length is dealt into groups of
-       about ``RANKED`` pieces by hash, groups are numbered by running counts,
-       so no length, however common, meets in one task.
-    4. A piece's length and rank name its pattern, copy and slot. The slot table
-       is bounded by the number of lengths and patterns, not by the data.
+    2. The driver gets a histogram of piece lengths in classes of ``GRAIN``
+       tokens, 128 rows at most for a capacity of 1024, and solves the
+       cutting-stock program over it. A piece takes the room of its class, which
+       pads a sequence by less than ``GRAIN`` tokens a piece.
+    3. Pieces of one class are ranked: each class is dealt into groups of about
+       ``RANKED`` pieces by hash, groups are numbered by running counts on two
+       levels, so no class, however common, meets in one task.
+    4. A piece's class and rank name its sequence and slot. The slot table is
+       bounded by the number of classes and patterns, not by the data. Offsets
+       are the lengths of the earlier slots of the sequence, added up.
 
     Within a sequence offsets are gapless from 0. A null text counts as empty and
     is one piece with the end id alone; repeated rows and null ids are packed
     like any other; no documents give no rows.
     """
+    grain = GRAIN if capacity % GRAIN == 0 else 1
     pieces = written_once(token_pieces(docs, path, pattern, capacity, with_ids), "pieces")
-    counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
-    lengths = np.array(sorted(counts), np.int64)
-    table = slots(plan(lengths, np.array([counts[n] for n in lengths.tolist()]), capacity) if counts else [])
-    groups = F.array(*[F.lit(-(-counts.get(n, 0) // RANKED) or 1) for n in range(1, capacity + 1)])
+    pieces = pieces.withColumn("class", F.ceil(F.col("length") / grain).cast("int"))
+    counts = {r["class"]: r["count"] for r in pieces.groupBy("class").count().collect()}
+    classes = np.array(sorted(counts), np.int64)
+    table = slots(plan(classes, np.array([counts[n] for n in classes.tolist()]), capacity // grain) if counts else [])
+    groups = F.array(*[F.lit(-(-counts.get(n, 0) // RANKED) or 1) for n in range(1, capacity // grain + 1)])
     order = [F.xxhash64("doc_id", "start", "ids_crc32"), F.col("doc_id"), F.col("start")]
-    dealt = pieces.withColumn("part", F.pmod(order[0], F.element_at(groups, F.col("length").cast("int"))))
-    sizes = dealt.groupBy("length", "part").count()
-    before = sizes.select(
-        "length", "part",
-        (F.sum("count").over(Window.partitionBy("length").orderBy("part")) - F.col("count")).alias("before"),
+    dealt = pieces.withColumn("part", F.pmod(order[0], F.element_at(groups, F.col("class"))))
+    sizes = dealt.groupBy("class", "part").count().withColumn("upper", F.expr(f"part DIV {GROUPS}"))
+    uppers = sizes.groupBy("class", "upper").agg(F.sum("count").alias("all"))
+    earlier = F.sum("all").over(Window.partitionBy("class").orderBy("upper")) - F.col("all")
+    inside = F.sum("count").over(Window.partitionBy("class", "upper").orderBy("part")) - F.col("count")
+    before = sizes.withColumn("inside", inside).join(uppers.withColumn("earlier", earlier), ["class", "upper"]).select(
+        "class", "part", (F.col("inside") + F.col("earlier")).alias("before")
     )
-    place = Window.partitionBy("length", "part").orderBy(*order)
+    place = Window.partitionBy("class", "part").orderBy(*order)
     ranked = (
-        dealt.withColumn("place", F.row_number().over(place) - 1).join(before, ["length", "part"])
+        dealt.withColumn("place", F.row_number().over(place) - 1).join(before, ["class", "part"])
         .withColumn("rank", F.col("place") + F.col("before")).drop("part", "place", "before")
     )
-    key = table["length"] << 40 | table["first"] if counts else np.zeros(0, np.int64)
+    key = table["class"] << 40 | table["first"] if counts else np.zeros(0, np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             get = dict(zip(batch.schema.names, batch.columns))
-            length, rank = (get[c].to_numpy(zero_copy_only=False) for c in ("length", "rank"))
-            slot = np.searchsorted(key, length << 40 | rank, "right") - 1
+            kind, rank = (get[c].to_numpy(zero_copy_only=False) for c in ("class", "rank"))
+            slot = np.searchsorted(key, kind.astype(np.int64) << 40 | rank, "right") - 1
             copy, inside = np.divmod(rank - table["first"][slot], table["per"][slot])
             get["sequence_id"] = pa.array(table["sequence"][slot] + copy)
-            get["offset"] = pa.array(table["offset"][slot] + inside * length)
+            get["slot"] = pa.array(table["slot"][slot] + inside)
             yield pa.RecordBatch.from_arrays([get[c] for c in names], names=names)
 
-    out = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    out = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, slot long"
     out += ", ids array<int>" * with_ids
     names = [x.split()[0] for x in out.split(", ")]
-    return ranked.mapInArrow(tidy(run), out)
+    # A sequence has ``capacity`` pieces at most.
+    filled = Window.partitionBy("sequence_id").orderBy("slot")
+    offset = (F.sum("length").over(filled) - F.col("length")).alias("offset")
+    last = ["ids"] * with_ids
+    return ranked.mapInArrow(tidy(run), out).select(*names[:6], offset, *last)
