@@ -75,6 +75,22 @@ class Size:
 
 
 SIZES = (Size("short", 16, 24, 8, 8192), Size("long", 256, 320, 64, 128))
+#: Shingles of all templates up to which their tables are copied to every task.
+COPIED = 200_000
+
+
+def size_for(shingles: int) -> Size:
+    """The class of a template with so many shingles; beyond the last one each is four times as large as the one before.
+
+    The 205 or more shared shingles of a contained text of 257 make one of the
+    128 bands collide with more than 1 - (1 - 205 / 1331)**128 > 1 - 1e-9.
+    """
+    for size in SIZES:
+        if shingles <= size.most:
+            return size
+    while shingles > size.most:
+        size = Size(f"long{4 * size.most}", 4 * size.most, 4 * size.window, 4 * size.stride, size.bands)
+    return size
 
 
 def _normal(text: str) -> str:
@@ -88,7 +104,7 @@ def template_shingles(templates: Mapping[str, str]) -> dict[str, list[str]]:
     out = {}
     for name, text in templates.items():
         words = "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in text.lower()).split()
-        if not SHINGLE <= len(words) <= SIZES[-1].most + SHINGLE - 1:
+        if len(words) < SHINGLE:
             raise ValueError(f"template {name} has {len(words)} words")
         out[name] = list(dict.fromkeys(" ".join(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)))
     return out
@@ -112,24 +128,28 @@ def license_scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, cont
 
     1. Only texts with one of the templates' cover words can match; others are
        filtered in the scan. Texts become arrays of shingle hashes, once.
-    2. Windows around cover words are taken in two sizes. Each window's shingles
+    2. Windows around cover words are taken in the sizes of the templates, two
+       for notices and openings, larger ones for whole texts. Each window's shingles
        are dealt into classes by hash; the least of each class is a band.
-    3. Bands equal to a template's give candidates (the template table is small
-       and fixed, so it may be broadcast), one per document and template.
+    3. Bands equal to a template's give candidates, one per document and
+       template. The template tables are copied to the tasks if they have at
+       most ``COPIED`` shingles, else they are joined like any other.
     4. A candidate is verified over all its windows of that size: ``n_found`` is
        the greatest number of the template's distinct shingles in one window,
        and containment is its share of ``n_shingles``.
 
     Everything is done per document in the DataFrame engine; the shuffles are by
     document and window, so no template or phrase, however common, gathers in a
-    task. Null and empty texts hold nothing; rows that repeat doc_id and text
+    task. Null and empty texts hold nothing; a very long
+    text is one array of its words and one of its shingles, several times its
+    size, in a task; rows that repeat doc_id and text
     give one result; a null doc_id is kept as null. No documents, or none with a
     license, give an empty result.
     """
     spark = docs.sparkSession
     shingles = template_shingles(templates)
     covers = {name: cover_words(s, contained) for name, s in shingles.items()}
-    size_of = {name: next(z for z in SIZES if len(s) <= z.most) for name, s in shingles.items()}
+    size_of = {name: size_for(len(s)) for name, s in shingles.items()}
     table = _template_table(spark, shingles, size_of)
     words = sorted(set().union(*covers.values()))
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(
@@ -143,17 +163,14 @@ def license_scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, cont
             "i -> concat_ws(' ', words[i], words[i + 1], words[i + 2], words[i + 3], words[i + 4]))"
         ),
     )
-    spots = {
-        z.name: "|".join(sorted(set().union(set(), *(covers[n] for n in covers if size_of[n] is z)))) for z in SIZES
-    }
+    spots = {z: "|".join(sorted(set().union(*(covers[n] for n in covers if size_of[n] == z)))) for z in set(size_of.values())}
+    copied = F.broadcast if sum(map(len, shingles.values())) <= COPIED else lambda df: df
     found = []
-    for z in SIZES:
-        if not spots[z.name]:
-            continue
+    for z in sorted(spots, key=lambda z: z.most):
         # Windows that hold a shingle with a cover word.
         starts = (
             f"array_distinct(flatten(transform(filter(sequence(0, size(shingles) - 1), "
-            f"i -> shingles[i] rlike '(^| )({spots[z.name]})( |$)'), "
+            f"i -> shingles[i] rlike '(^| )({spots[z]})( |$)'), "
             f"i -> sequence(greatest(0, i div {z.stride} - {z.window // z.stride - 1}), i div {z.stride}))))"
         )
         found.append(arrays.select(
@@ -173,14 +190,14 @@ def license_scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, cont
         .groupBy("doc_id", "text_key", "size", "w", F.expr("pmod(h, bands)").alias("band")).agg(F.min("h").alias("h"))
     )
     sign = table.groupBy("license_id", "size", F.expr("pmod(h, bands)").alias("band")).agg(F.min("h").alias("h"))
-    candidates = bands.join(F.broadcast(sign), ["size", "band", "h"]).select(
+    candidates = bands.join(copied(sign), ["size", "band", "h"]).select(
         F.col("doc_id").alias("id"), F.col("text_key").alias("key"), F.col("size").alias("class"), "license_id"
     ).distinct()
     whole = table.groupBy("license_id").agg(F.collect_set("h").alias("all"))
     same = F.expr("doc_id <=> id AND text_key = key AND size = class")
     return (
         windows.join(candidates, same)
-        .join(F.broadcast(whole), "license_id")
+        .join(copied(whole), "license_id")
         .groupBy("doc_id", "text_key", "license_id")
         .agg(F.first(F.size("all")).alias("n_shingles"), F.max(F.size(F.array_intersect("window", "all"))).alias("n_found"))
         .where(F.col("n_found") >= F.lit(contained) * F.col("n_shingles"))
@@ -200,7 +217,7 @@ def _template_table(spark: SparkSession, shingles: Mapping[str, list[str]], size
 def license_sql(templates: Mapping[str, str] = TEMPLATES, contained: float = CONTAINED) -> str:
     """The same result by comparing every shingle of every text with every template, in SQL."""
     shingles = template_shingles(templates)
-    size_of = {name: next(z for z in SIZES if len(s) <= z.most) for name, s in shingles.items()}
+    size_of = {name: size_for(len(s)) for name, s in shingles.items()}
     values = ", ".join(
         f"('{name}', '{s}', {size_of[name].window // size_of[name].stride}, {size_of[name].stride}, {len(many)})"
         for name, many in shingles.items() for s in many

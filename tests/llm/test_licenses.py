@@ -1,5 +1,7 @@
 import duckdb
+import pandas as pd
 
+from logloom.llm import licenses
 from logloom.llm.licenses import TEMPLATES, cover_words, license_scan, license_sql, template_shingles
 
 
@@ -32,3 +34,28 @@ def test_cover_words_are_lossless():
         words = cover_words(shingles, 0.8)
         without = [s for s in shingles if words.isdisjoint(s.split())]
         assert len(without) < 0.8 * len(shingles)
+
+
+def test_templates_of_any_length(spark):
+    """A text of 1300 words, whole, with changes, in part, and beside a short notice; a table too large to copy."""
+    import random
+
+    rng = random.Random(1)
+    words = [f"term{rng.randrange(4000)}" for _ in range(1300)]
+    changed = [w if i % 40 else "other" for i, w in enumerate(words)]
+    filler = [f"fill{i % 97}" for i in range(3000)]
+    texts = [
+        (1, " ".join(filler + words + filler)), (2, " ".join(filler[:700] + changed)), (3, " ".join(words[:600] + filler)),
+        (4, " ".join(filler) + " Released under the MIT License."), (5, None), (6, ""),
+    ]
+    templates = {"whole-text": " ".join(words), "mit-notice": licenses.TEMPLATES["mit-notice"]}
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    db = duckdb.connect()
+    db.register("documents", pd.DataFrame(texts, columns=["doc_id", "text"]))
+    want = sorted(db.execute(licenses.license_sql(templates)).fetchall())
+    assert [r[:2] for r in want] == [(1, "whole-text"), (2, "whole-text"), (4, "mit-notice")]
+    for most in (licenses.COPIED, 0):
+        licenses.COPIED, before = most, licenses.COPIED
+        got = sorted(tuple(r) for r in licenses.license_scan(docs, templates).collect())
+        licenses.COPIED = before
+        assert got == want
