@@ -7,7 +7,7 @@ import os
 import sys
 import time
 
-from logloom import catalog
+from logloom import catalog, catalog_jobs  # noqa: F401  (registers its queries)
 from logloom.session import build_session
 
 HEADLINES = [
@@ -43,6 +43,12 @@ HEADLINES = [
     "conversation_tags",
     "stream_block_counts",
     "model_report",
+    "template_table_first",
+    "incremental_features_stored",
+    "stream_state_counts",
+    "diverse_answers",
+    "mined_templates",
+    "early_stopped_model",
 ]
 
 

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from . import adapters as ad
 from .catalog import QUERIES, SQL, E, T4, _anom, _cols, _counts, _done, _DONE, _events, _lines, _stats, _sums, register
 from .functions import patterns
-from .operators import batches, features, mining, scoring, training
-from .plans import batch_jobs, model
+from .operators import anomalies as an
+from .operators import batches, features, labels, leaderboard, mining, ordering, scoring, training
+from .plans import batch_jobs, model, reports
 from .session import scratch_dir
 from .sources import knowledge, tables
 from .streaming import board as boards
@@ -110,6 +111,83 @@ def mined_line_events(spark, d):
     return lines.select("line_no", patterns.first_match(F.col("line"), found).alias("event_id"))
 
 
+# ---------------------------------------------------------------- blocks with many kinds of events
+
+
+_MANY = f"""SELECT block_id, {', '.join(f"CAST(count(*) FILTER (WHERE event_id % 29 = {i}) AS BIGINT) AS E{i + 1}" for i in range(29))},
+    max(ts) AS detected_at, round((any_value(user_id) % 97) / 97.0, 6) AS anomaly_score FROM ev GROUP BY 1"""
+_KINDS = f"SELECT block_id, unnest({E}) AS event_id, unnest([{_cols(E)}]) AS cnt, unnest(range(29)) AS i FROM ({_MANY})"
+
+
+@register(
+    "top_five_of_many",
+    "ev",
+    f"""SELECT block_id, event_rank, event_id, cnt, CAST(floor(cnt * 10 / mx) AS INTEGER) AS bar FROM (
+        SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY cnt DESC, i) AS event_rank, max(cnt) OVER (PARTITION BY block_id) AS mx
+        FROM ({_KINDS}) WHERE cnt > 0) WHERE event_rank <= 5""",
+)
+def top_five_of_many(spark, d):
+    rows = ad.many_anomalies(_events(spark, d)).select("block_id", *E)
+    return an.top_events(rows, E, n=5)
+
+
+@register(
+    "dashboard_many",
+    "ev",
+    f"""SELECT m.block_id, anomaly_score AS probability, CASE WHEN anomaly_score > 0.8 THEN 'high' WHEN anomaly_score > 0.5 THEN 'medium' ELSE 'low' END AS severity,
+        (SELECT string_agg(event_id || ':' || cnt, ' ' ORDER BY i) FROM (SELECT *, row_number() OVER (ORDER BY i) AS n FROM ({_KINDS}) k
+         WHERE k.block_id = m.block_id AND cnt > 0) WHERE n <= 6) AS events,
+        CAST(greatest((SELECT count(*) FROM ({_KINDS}) k WHERE k.block_id = m.block_id AND cnt > 0) - 6, 0) AS INTEGER) AS more, 'table' AS source
+        FROM (SELECT * FROM ({_MANY}) ORDER BY anomaly_score DESC, block_id, detected_at DESC LIMIT 10) m""",
+)
+def dashboard_many(spark, d):
+    events = _events(spark, d)
+    report = reports.dashboard(ad.many_counts(events), ad.many_anomalies(events), hours=None)
+    return report.rows.withColumn("events", features.event_text(F.col("events")))
+
+
+@register(
+    "anomaly_types_many",
+    "ev labels_",
+    f"""SELECT m.block_id, CASE WHEN l.label = 'Anomaly' THEN 'Fail' ELSE 'Success' END AS label,
+        CASE WHEN l.label = 'Anomaly' THEN CASE WHEN E7 > 0 THEN 7 WHEN E21 > 0 THEN 21 WHEN E5 > 0 THEN 5 WHEN E4 > 0 THEN 4 ELSE 0 END END AS type
+        FROM ({_MANY}) m LEFT JOIN labels_ l ON m.block_id = l.block_id""",
+)
+def anomaly_types_many(spark, d):
+    events = _events(spark, d)
+    typed = labels.with_default_labels(ad.many_anomalies(events), ad.block_labels(events), E)
+    return typed.select("block_id", "label", "type")
+
+
+@register(
+    "export_board_rows",
+    "board",
+    f"SELECT block_id, anomaly_score, updated_at AS detected_at, {_cols(E)} FROM board ORDER BY anomaly_score DESC, block_id DESC LIMIT 10",
+)
+def export_board_rows(spark, d):
+    anomalies = _anom(spark, d)
+    return reports.export_anomalies(anomalies, leaderboard.leaderboard(anomalies))
+
+
+@register("realtime_none", "stats", "SELECT 'none' AS source, 0 AS anomaly_count, count(DISTINCT event_id) AS kinds FROM stats")
+def realtime_none(spark, d):
+    """No board and no anomaly: the answer says so, beside the distribution of all events."""
+    report = reports.realtime_anomalies(_stats(spark, d), _anom(spark, d).where("false"), None)
+    kinds = report.distribution.agg(F.count("*").alias("kinds"))
+    return report.summary.select("source", "anomaly_count", kinds.scalar().alias("kinds"))
+
+
+@register(
+    "drop_last_tied",
+    "",
+    """SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (ORDER BY user_id, event_id) AS rn,
+       count(*) OVER () AS n FROM events) WHERE rn <= n - n * 10 // 100""",
+)
+def drop_last_tied(spark, d):
+    rows = _events(spark, d).select("event_id", "user_id", "event_type")
+    return ordering.drop_last_percent(rows, "user_id", 10, ties=["event_id"])
+
+
 # ---------------------------------------------------------------- stored jobs
 
 

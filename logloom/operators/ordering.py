@@ -59,12 +59,14 @@ def nth_key(df: DataFrame, key: str, n: int, fanout: int = 64, direct: int = 100
             return high
 
 
-def drop_last_percent(df: DataFrame, key: str, percent: int, **selection: int) -> DataFrame:
+def drop_last_percent(df: DataFrame, key: str, percent: int, ties: Sequence[str] = (), **selection: int) -> DataFrame:
     """All but the last ``int(rows * percent / 100)`` rows by a key.
 
     The cut-off is found first, so the result is a plain filter on the input.
-    Rows without a key come before all others. A cut that would have to choose
-    among rows with one key, or among those without, is refused.
+    Rows without a key come before all others. Where the cut falls among rows
+    with one key, or among those without, these are put in order by ``ties`` and
+    the first of them stay; no other row is moved. Without ``ties`` such a cut
+    is refused, for it would choose at random.
     """
     sizes = df.agg(F.count("*").alias("total"), F.count_if(F.col(key).isNull()).alias("unkeyed")).first()
     if sizes.total == 0:
@@ -76,12 +78,23 @@ def drop_last_percent(df: DataFrame, key: str, percent: int, **selection: int) -
     if kept == 0 or removed == sizes.total:
         return df.where(F.col(key).isNull() & F.lit(removed < sizes.total))
     if kept < 0:
-        raise ValueError(f"the cut falls among {sizes.unkeyed} rows without a {key}")
+        among, where = f"{sizes.unkeyed} rows without a {key}", F.col(key).isNull()
+        return _first_of(df, F.lit(False), where, sizes.unkeyed + kept, ties, among)
     cutoff = nth_key(df, key, kept, **selection)
-    upto = df.where(F.col(key) <= F.lit(cutoff)).count()
-    if upto != kept:
-        raise ValueError(f"the cut falls among rows that share {key} {cutoff!r}")
-    return df.where(F.col(key).isNull() | (F.col(key) <= F.lit(cutoff)))
+    at_cut = F.col(key) == F.lit(cutoff)
+    before = F.coalesce(F.col(key) < F.lit(cutoff), F.lit(True))
+    counts = df.agg(F.count_if(at_cut).alias("at"), F.count_if(F.col(key) < F.lit(cutoff)).alias("below")).first()
+    if counts.below + counts.at == kept:
+        return df.where(before | at_cut)
+    return _first_of(df, before, at_cut, kept - counts.below, ties, f"rows that share {key} {cutoff!r}")
+
+
+def _first_of(df: DataFrame, whole: Column, some: Column, n: int, ties: Sequence[str], among: str) -> DataFrame:
+    """The rows of ``whole`` and, by ``ties``, the first ``n`` of those of ``some``."""
+    if not ties:
+        raise ValueError(f"the cut falls among {among}")
+    placed = rank_in_time(df.where(some), ties[0], ties[1:], name="_place")
+    return df.where(whole).unionByName(placed.where(F.col("_place") <= n).drop("_place"))
 
 
 def rank_in_time(

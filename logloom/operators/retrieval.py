@@ -45,13 +45,16 @@ def topk_similar(
     """The ``k`` most similar corpus rows per query by cosine, exact.
 
     ``queries(query_id, embedding)``, ``corpus(item_id, embedding)``; result
-    ``query_id, rank, item_id, score``, ties by item id. Every task keeps the
+    ``query_id, rank, item_id, score``, ties by item id. A vector that is null,
+    empty or holds a null or non-finite component takes no part; vectors of
+    different length do not meet; one of length zero scores 0. Every task keeps the
     best ``k`` per query of its own rows, so the shuffle carries k rows per
     query and task, never all pairs. Up to ``max_inline`` queries are sent along
     with the tasks; above that both sides are cut into blocks of bounded size
     and every pair of blocks is one task.
     """
     spark = queries.sparkSession
+    queries, corpus = queries.where(_usable()), corpus.where(_usable())
     types = (queries.schema["query_id"].dataType.simpleString(), corpus.schema["item_id"].dataType.simpleString())
     schema = f"query_id {types[0]}, item_id {types[1]}, score double"
     small = rows_if_small(queries.select("query_id", "embedding"), max_inline)
@@ -60,12 +63,12 @@ def topk_similar(
             best = spark.createDataFrame([], schema)
         else:
             ids = [r.query_id for r in small]
-            matrix = _unit(np.array([r.embedding for r in small], dtype=float))
+            vectors = [np.array(r.embedding, dtype=float) for r in small]
 
             def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 kept = None
                 for batch in batches:
-                    found = _best(ids, matrix, batch, k)
+                    found = _best(ids, vectors, batch, k)
                     kept = found if kept is None else _cut(pd.concat([kept, found]), k)
                 if kept is not None:
                     yield kept
@@ -76,7 +79,7 @@ def topk_similar(
         def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if left.empty or right.empty:
                 return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
-            return _best(list(left["query_id"]), _unit(np.stack(left["embedding"])), right, k)
+            return _best(list(left["query_id"]), list(left["embedding"]), right, k)
 
         best = _blocks(queries, corpus, cell, schema, max_inline, cell_rows, ["embedding"], ["embedding"])
     if min_score is not None:
@@ -92,20 +95,37 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, norms, out=np.zeros_like(rows), where=norms > 0)
 
 
-def _best(ids: list, matrix: np.ndarray, batch: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The best ``k`` rows of one batch for every query."""
-    items = batch["item_id"].to_numpy()
-    scores = _unit(np.stack(batch["embedding"].to_numpy())) @ matrix.T
-    take = min(k, len(items))
-    parts = []
-    for q, query in enumerate(ids):
-        column = scores[:, q]
+def _best(ids: list, vectors: list[np.ndarray], batch: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The best ``k`` rows of one batch for every query of their vector length; unusable rows have no score."""
+    parts = [pd.DataFrame({"query_id": pd.Series([], dtype=object), "item_id": [], "score": []})]
+    lengths = np.array([-1 if v is None else len(v) for v in batch["embedding"]])
+    for length in {len(v) for v in vectors}:
+        asked = [i for i, v in enumerate(vectors) if len(v) == length]
+        held = batch[lengths == length]
+        if not len(held):
+            continue
+        rows = np.array(list(held["embedding"]), dtype=float).reshape(len(held), length)
+        usable = np.isfinite(rows).all(axis=1)
+        items, rows = held["item_id"].to_numpy()[usable], rows[usable]
+        take = min(k, len(items))
+        if not take:
+            continue
+        scores = _unit(rows) @ _unit(np.array([vectors[i] for i in asked])).T
         # Everything at least as good as the k-th score, so that ties are cut by id below.
-        bound = np.partition(column, len(column) - take)[len(column) - take]
-        rows = np.flatnonzero(column >= bound)
-        rows = rows[np.lexsort((items[rows], -column[rows]))][:take]
-        parts.append(pd.DataFrame({"query_id": query, "item_id": items[rows], "score": column[rows]}))
-    return pd.concat(parts, ignore_index=True)
+        bounds = np.partition(scores, len(items) - take, axis=0)[len(items) - take]
+        for q, i in enumerate(asked):
+            column = scores[:, q]
+            found = np.flatnonzero(column >= bounds[q])
+            found = found[np.lexsort((items[found], -column[found]))][:take]
+            parts.append(pd.DataFrame({"query_id": ids[i], "item_id": items[found], "score": column[found]}))
+    full = [p for p in parts if len(p)]
+    return pd.concat(full, ignore_index=True) if full else parts[0]
+
+
+def _usable(embedding: str = "embedding") -> Column:
+    """True where a vector has a component and none that is null or not finite."""
+    bad = F.exists(embedding, lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
+    return F.coalesce((F.size(embedding) > 0) & ~bad, F.lit(False))
 
 
 def _cut(found: pd.DataFrame, k: int) -> pd.DataFrame:

@@ -36,9 +36,14 @@ def scratch_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder, removed when the session's JVM ends.
 
     Without ``spark.checkpoint.dir`` it lies in the warehouse, which all
-    executors share as well; a machine's temporary folder is never used.
+    executors share as well, unless that is a folder of one machine: then a
+    cluster has to name one. A machine's temporary folder is never used.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch"
+        if base.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = f"{base.rstrip('/')}/logloom-{purpose}-{uuid.uuid4().hex}"
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)

@@ -135,6 +135,20 @@ def test_topk_with_a_hot_copy_and_ties(spark):
     assert rt.topk_similar(queries.where("false"), corpus).count() == 0
 
 
+@pytest.mark.parametrize("inline", [100, 1])
+def test_unusable_vectors_take_no_part(spark, inline):
+    nan = float("nan")
+    corpus = spark.createDataFrame(
+        [(1, [1.0, 0.0]), (2, None), (3, [1.0, None]), (4, [nan, 1.0]), (5, [1.0]), (6, []), (7, [0.5, 0.5]), (8, [2.0, 0.0, 0.0])],
+        "item_id long, embedding array<double>",
+    )
+    queries = spark.createDataFrame(
+        [("a", [3.0, 0.0]), ("b", None), ("c", [0.0, 1.0, 0.0]), ("d", [None, 1.0]), ("e", [5.0]), ("f", [1.0] * 9)], "query_id string, embedding array<double>"
+    )
+    got = {(r.query_id, r.rank, r.item_id) for r in rt.topk_similar(queries, corpus, 3, max_inline=inline).collect()}
+    assert got == {("a", 1, 1), ("a", 2, 7), ("c", 1, 8), ("e", 1, 5)}
+
+
 def test_keyword_search_by_postings(spark, values):
     rng = random.Random(2)
     words = ["Disk", "node", "E1", "replica", "a_b", "e", "xdis", "nod e12"]
