@@ -31,17 +31,27 @@ def _documents(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the repetition rules keep. A null doc_id or text is rejected."""
-    docs = _documents(docs).where("doc_id IS NOT NULL")
+    """Documents that the repetition rules keep, with or without a doc_id. A null text has no words and is rejected."""
+    docs = _documents(docs)
     # The columns go through the operator, so that no text is shuffled.
     return repetition_coverage(docs, carry=COLUMNS[1:]).where("kept").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates; of rows that share an id one stays."""
+    """The document with the smallest id of each group of near-duplicates; one without an id only where none has one.
+
+    Where ids are null or shared, rows go by numbers instead, so that every row
+    is a document of its own; of equally small ids one row stays.
+    """
     docs = _documents(docs)
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct().hint("shuffle_hash")
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    if docs.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").isEmpty():
+        kept = near_duplicates(docs).where("kept").select("doc_id").hint("shuffle_hash")
+        return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    rows = written_once(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    kept = rows.select("row", "doc_id").join(found, "row").groupBy("component_id").agg(F.min(order)["row"].alias("row"))
+    return rows.join(kept.select("row").hint("shuffle_hash"), "row", "left_semi").select(*COLUMNS)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,27 +59,25 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     A removed run may cut a character in two; the rest of such a character goes too.
     """
-    docs = _documents(docs)
-    left = remove_earlier_strings(docs)
+    left = remove_earlier_strings(_documents(docs), carry=["lang", "source"])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [x.decode("utf-8", "ignore") for x in batch.column("kept").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                names=["doc_id", "text", "n_chars"],
+                [batch.column(0), pa.array(texts, pa.string()), *batch.columns[2:], pa.array([len(t) for t in texts], pa.int64())],
+                names=COLUMNS,
             )
 
-    texts = left.where("n_removed < n_bytes").select("doc_id", "kept").mapInArrow(
-        tidy(whole), "doc_id long, text string, n_chars long"
+    return left.where("n_removed < n_bytes").select("doc_id", "kept", "lang", "source").mapInArrow(
+        tidy(whole), ", ".join(f"{c} {TYPES[c]}" for c in COLUMNS)
     ).where("trim(text) != ''")
-    return texts.join(docs.select("doc_id", "lang", "source"), "doc_id").select(*COLUMNS)
 
 
 def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with each secret span replaced by a sign."""
     docs = _documents(docs)
-    spans = secrets.scan(docs, scratch_dir(spark, "ledger")).where(F.size("findings") > 0).select("doc_id", "findings")
+    spans = secrets.scan(docs, scratch_dir(spark, "ledger")).where(F.size("findings") > 0).select("blob", "findings")
 
     def masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,9 +90,10 @@ def secret_masking(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
             get["n_chars"] = pa.array([None if t is None else len(t) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([get[c] for c in COLUMNS], names=COLUMNS)
 
-    # A text of which there is a span is joined once per row: spans are one row per document.
-    spans = spans.dropDuplicates(["doc_id"]).hint("shuffle_hash")
-    return docs.join(spans, "doc_id", "left").select(*COLUMNS, "findings").mapInArrow(
+    # One row per content: rows that share an id may differ.
+    spans = spans.dropDuplicates(["blob"]).hint("shuffle_hash")
+    named = docs.withColumn("blob", F.sha2(F.coalesce("text", F.lit("")), 256))
+    return named.join(spans, "blob", "left").select(*COLUMNS, "findings").mapInArrow(
         tidy(masked), ", ".join(f"{c} {TYPES[c]}" for c in COLUMNS)
     )
 
