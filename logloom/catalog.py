@@ -1305,6 +1305,19 @@ def doc_chunks(spark, d):
     return chunking.chunk_documents(ad.table(spark, d, "documents"))
 
 
+@register(
+    "knowledge_chunks",
+    "",
+    f"""SELECT c.doc_id, c.chunk_no, c.chunk, o.md5 FROM ({_chunk_sql()}) c JOIN (SELECT min(doc_id) AS doc_id, md5(text) AS md5 FROM documents
+       WHERE md5(text) NOT IN (SELECT md5(text) FROM documents WHERE source = 'src0') GROUP BY 2) o ON c.doc_id = o.doc_id""",
+)
+def knowledge_chunks(spark, d):
+    """The chunks of documents whose content is new."""
+    docs = ad.table(spark, d, "documents")
+    seen = docs.where("source = 'src0'").select(F.md5("text").alias("md5"))
+    return knowledge.load_knowledge(docs, seen).select("doc_id", "chunk_no", "chunk", "md5")
+
+
 @register("topk_similar", "ranked", "SELECT query_id, rank, item_id, round(s, 6) AS score FROM ranked")
 def topk_similar(spark, d):
     vectors = ad.table(spark, d, "embeddings")
