@@ -8,6 +8,7 @@ are documents), so that one numpy call covers all documents of a block.
 from __future__ import annotations
 
 import ctypes
+import time
 from collections.abc import Callable, Iterator
 from functools import lru_cache, wraps
 
@@ -108,15 +109,26 @@ def tidy(run: Callable) -> Callable:
     return whole
 
 
+#: Seconds between two returns of memory within a task; each one costs the pages that are touched again.
+PAUSE = 1.0
+_returned = 0.0
+
+
+def _now_and_then() -> None:
+    global _returned
+    if time.monotonic() - _returned >= PAUSE:
+        give_back()
+        _returned = time.monotonic()
+
+
 def tidy_group(run: Callable) -> Callable:
-    """A function over one or two tables of a group that gives memory back after a group of some size."""
+    """A function over one or two tables of a group that gives memory back now and then."""
     if run.__code__.co_argcount == 1:
 
         @wraps(run)
         def one(table: pa.Table) -> pa.Table:
             out = run(table)
-            if table.nbytes >= BLOCK_BYTES // 4:
-                give_back()
+            _now_and_then()
             return out
 
         return one
@@ -124,8 +136,7 @@ def tidy_group(run: Callable) -> Callable:
     @wraps(run)
     def two(left: pa.Table, right: pa.Table) -> pa.Table:
         out = run(left, right)
-        if left.nbytes + right.nbytes >= BLOCK_BYTES // 4:
-            give_back()
+        _now_and_then()
         return out
 
     return two
