@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from logloom.llm.blocks import tidy_group
 from logloom.llm.graph import components
-from logloom.llm.units import UNIT, meetings, met
+from logloom.llm.units import meetings, met, units_for
 from logloom.session import written_once
 
 #: Vectors of the sample that the pivots are fitted on, and pivots at most.
@@ -220,7 +220,8 @@ def audit(vectors: DataFrame, found: DataFrame, least: float = 0.98, every: int
         F.size("embedding").alias("dimension"), "embedding",
     )
     rows = written_once(rows, "audit")
-    sizes = rows.groupBy("code", "dimension").agg(F.ceil(F.count("*") / F.lit(UNIT)).cast("int").alias("salts"))
+    sizes = rows.groupBy("code", "dimension").agg(F.count("*").alias("n"))
+    sizes = sizes.select("code", "dimension", units_for(F.col("n"), F.col("dimension")).alias("salts"))
     rows = rows.join(sizes, ["code", "dimension"])
     members = rows.withColumn("salt", F.pmod(F.xxhash64("rid"), "salts").cast("int")).drop("salts")
     asked = rows.where(F.col("vec_id") % every == 0).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.llm.units import UNIT, as_long, best_first, matrix, meetings, met, products, quantised, ranks
+from logloom.llm.units import UNIT, as_long, best_first, matrix, meetings, met, products, quantised, ranks, units_for
 from logloom.session import written_once
 
 #: Entries of each list in the first round of sorted access; every round doubles the depth.
@@ -103,8 +103,8 @@ def hard_negatives(
     meet; a repeated row is an anchor and a candidate of its own. Scores beyond
     a long count as the long's end. An empty table gives an empty result.
 
-    Candidates lie in units of about ``UNIT`` rows with a sorted list for each
-    dimension: by label for the positives (a hot label has many units), over all
+    Candidates lie in units of about ``UNIT`` rows (fewer of long vectors) with
+    a sorted list for each dimension: by label for the positives (a hot label has many units), over all
     labels for the negatives. Anchors stream past the units; each unit is
     searched by the threshold algorithm, and the best of all units remain.
 
@@ -117,8 +117,8 @@ def hard_negatives(
     rows = written_once(
         rows.join(code, "label").join(names, ["label", "dimension"]).select(
             "rid", "vec_id", "code", "dimension", "y",
-            F.pmod(F.xxhash64("rid"), F.ceil(F.col("n") / F.lit(UNIT))).cast("int").alias("salt"),
-            F.ceil(F.col("n") / F.lit(UNIT)).cast("int").alias("salts"),
+            F.pmod(F.xxhash64("rid"), units_for(F.col("n"), F.col("dimension"), UNIT)).cast("int").alias("salt"),
+            units_for(F.col("n"), F.col("dimension"), UNIT).alias("salts"),
         ).withColumnRenamed("code", "label"),
         "vectors",
     )
@@ -152,7 +152,8 @@ def hard_negatives(
         anchors.join(chosen, anchors["rid"] == chosen["anchor"]).select(*columns, "positives"), "anchors"
     )
     # All candidates of a length, in units of any label.
-    sizes = names.groupBy("dimension").agg(F.ceil(F.sum("n") / F.lit(UNIT)).cast("int").alias("units"))
+    sizes = names.groupBy("dimension").agg(F.sum("n").alias("n"))
+    sizes = sizes.select("dimension", units_for(F.col("n"), F.col("dimension"), UNIT).alias("units"))
     pool = rows.select(*columns).join(sizes, "dimension").withColumn("unit", F.pmod(F.xxhash64("rid", F.lit(1)), "units").cast("int")).drop("units")
     sent = asked.join(sizes, "dimension").withColumn("unit", F.explode(F.sequence(F.lit(0), F.col("units") - 1))).drop("units")
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from logloom.llm.units import UNIT, as_long, best_first, matrix, meetings, met, products, quantised, ranks
+from logloom.llm.units import UNIT, as_long, best_first, matrix, meetings, met, products, quantised, ranks, units_for
 from logloom.session import written_once
 
 #: Vectors that the pivots are fitted on, and pivots at most (of one vector length).
@@ -121,8 +121,8 @@ def top_products(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
 
     1. Index: pivots are fitted on ``SAMPLE`` rows, the smallest by hash of the
        id. Every row is keyed by its nearest pivot and the distance to it, and
-       lies in one unit of about ``UNIT`` rows of its pivot's cell; a hot cell
-       has many units. The summary of cells has at most ``PIVOTS`` rows a length.
+       lies in one unit of about ``UNIT`` rows (fewer of long vectors) of its
+       pivot's cell; a hot cell has many units. The summary of cells has at most ``PIVOTS`` rows a length.
     2. A query first searches its own cell, then every cell whose bound
        reaches its k-th score. In a unit rings of sorted distance are expanded
        from the most promising one until the triangle inequality rules out the rest.
@@ -134,9 +134,9 @@ def top_products(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     cells = index.groupBy("dimension", "cell").agg(
         F.count("*").alias("n"), F.min("far").alias("low"), F.max("far").alias("high"), F.max("norm").alias("norm")
     )
-    salts = F.ceil(F.col("n") / F.lit(UNIT)).cast("int").alias("salts")
+    cells = cells.withColumn("salts", units_for(F.col("n"), F.col("dimension"), UNIT))
     units = ["dimension", "cell", "salt"]
-    members = index.join(cells.select("dimension", "cell", salts), ["dimension", "cell"]).withColumn(
+    members = index.join(cells.select("dimension", "cell", "salts"), ["dimension", "cell"]).withColumn(
         "salt", F.pmod(F.xxhash64("rid"), "salts").cast("int")
     ).select(*units, "rid", "vec_id", "far", "y")
     members = written_once(members, "members")
@@ -166,7 +166,7 @@ def top_products(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
                         least = part.column(5).to_numpy(zero_copy_only=False)
                         home = ~home & (bound((y**2).sum(axis=1)[:, None], norm, apart) >= least[:, None])
                     for i, j in zip(*np.nonzero(home)):
-                        for salt in range(-(-cell[j]["n"] // UNIT)):
+                        for salt in range(cell[j]["salts"]):
                             out["row"].append(rows[i])
                             out["cell"].append(int(names[j]))
                             out["salt"].append(salt)

@@ -11,16 +11,22 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Members of a unit, about, and queries that meet them at once.
-UNIT, QUERIES = 8192, 256
+#: Members of a unit, about, components of all its members at most, and queries that meet them at once.
+UNIT, COMPONENTS, QUERIES = 8192, 1 << 20, 256
 #: Sums of products below this are exact in double precision.
 EXACT = float(1 << 53)
 LONG = np.iinfo(np.int64)
 
 
+def units_for(count: Column, dimension: Column, most: int = UNIT) -> Column:
+    """The number of units for so many vectors: long vectors lie in smaller units, so that memory stays bounded."""
+    fits = F.greatest(F.lit(1), F.least(F.lit(most), F.floor(F.lit(COMPONENTS) / F.greatest(F.lit(1), dimension))))
+    return F.ceil(count / fits).cast("int")
+
+
 def quantised(vectors: DataFrame, *columns: str) -> DataFrame:
     """``rid, <columns>, dimension, y`` of usable vectors: y holds floor(256 x) of each component x as a double.
 

@@ -88,6 +88,7 @@ def test_several_units_agree_with_the_sql(spark, small, values, monkeypatch):
     monkeypatch.setattr(topk, "RING", 16)
     monkeypatch.setattr(negatives, "UNIT", 60)
     monkeypatch.setattr(negatives, "DEPTH", 4)
+    monkeypatch.setattr(units, "COMPONENTS", 50 * 64)
     db = duckdb.connect()
     db.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{small}/embeddings.parquet'")
     rows = spark.read.parquet(f"{small}/embeddings.parquet").repartition(3)
