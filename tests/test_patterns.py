@@ -155,3 +155,30 @@ def test_index_takes_the_rarest_term(spark):
     table = spark.createDataFrame([(1, "E1", "[*] rare7 common word [*]"), (2, "E2", "[*] gone common [*]")], "position long, event_id string, template string")
     index = ti.build_index(df, table).collect()
     assert [(r.position, r.term) for r in index] == [(1, "wrare7")]
+
+
+def test_a_part_of_the_index_is_copied_and_rare_terms_alone_are_moved(spark, values):
+    """Lines and templates of many users; any number of copied rows, lines that come twice or have no key."""
+    users = range(60)
+    rows = [(i, f"common word {i % 7} user_{i % 60} said {i % 11} times") for i in range(200)] + [(5, "common word user_5 said"), (None, "a user_7 said ")]
+    df = spark.createDataFrame(rows, "line_no long, line string")
+    templates = [(f"U{u}", f"[*] user_{u} said[*]") for u in users] + [("C", "common[*]word[*]said[*]1[*]times"), ("D", "common[*]a[*]i[*]d[*]t[*]m[*]s"), ("S", "times[*]common")]
+    table = spark.createDataFrame([(i, e, t) for i, (e, t) in enumerate(templates)], "position long, event_id string, template string")
+    want = values(df.select("line_no", F.explode(p.all_matches(F.col("line"), templates)).alias("event_id")))
+    for copied in (0, 3, 30, 1000):
+        found = ti.indexed_matches(df, table, "line_no", copied=copied)
+        assert values(found.select("line_no", "event_id")) == want
+    index, counts = ti._ranked_index(df, table, "line", 3)
+    known = df.select("line_no", F.col("line").alias("_line"))
+    front, rest = ti._met(known, index, counts, "w", ["line_no"], 3)
+    assert front.select("position").distinct().count() == 3
+    # Of the terms of a line no frequent one without a template goes to the rest of the index.
+    assert "BroadcastHashJoin" in rest._jdf.queryExecution().executedPlan().toString() and "LeftAnti" in rest._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counts_of_a_table_match_the_lines_once(spark, values):
+    df = spark.createDataFrame([(1, "blk_1 a x "), (2, "blk_1 a y "), (3, "blk_2 none"), (4, "a x ")], "line_no long, line string")
+    table = spark.createDataFrame([(1, "X", " a x[*]"), (2, "A", " a [*]")], "position long, event_id string, template string")
+    out = ti.event_counts(df, table, "line_no")
+    assert values(out, "block_id", "event_id", "cnt") == [("blk_1", "A", 2), ("blk_1", "X", 1), ("blk_2", None, 0)]
+    assert "regexp_extract_all" not in out._jdf.queryExecution().optimizedPlan().toString()
