@@ -167,6 +167,22 @@ def test_keyword_search_by_postings(spark, values):
     assert ki.keyword_search(q.where("false"), d).count() == 0 and ki.keyword_search(q, d.where("false")).count() == 0
 
 
+def test_keyword_search_looks_at_each_word_of_the_texts_once(spark, values):
+    """However many texts hold a word, it has one set of runs; keys come twice or are null."""
+    d = spark.createDataFrame([(i % 200, "Disk-full disk ſ \u212aelvin") for i in range(400)] + [(None, "node"), (7, "xNODEs")], "doc_id long, text string")
+    q = spark.createDataFrame([(1, "node"), (2, "KELVIN 磁"), (None, "full")], "query_id int, text string")
+    want = sorted([(1, 7), *[(2, i) for i in range(200)], *[(None, i) for i in range(200)]], key=repr)
+    assert values(ki.keyword_search(q, d)) == want
+    assert values(ki.keyword_search(q, d, postings=ki.gram_postings(d))) == want
+    written = []
+    before, ki.written_once = ki.written_once, lambda df, purpose: written.append((purpose, df)) or before(df, purpose)
+    try:
+        ki.keyword_search(q, d)
+    finally:
+        ki.written_once = before
+    assert dict(written)["postings"].count() < 20  # and not some for each of 400 texts
+
+
 def test_diverse_answers_equal_a_plain_fold(spark):
     rng = np.random.default_rng(6)
     rows = [(q, i, [float(x) for x in rng.normal(size=5)]) for q in range(3) for i in range(12)]
