@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,36 +17,44 @@ from ..schemas import event_order
 from .jobs import start
 
 _ROW = "ts timestamp, tie long, event_id string"
+_BLOCK = pa.schema([("ts", pa.timestamp("us")), ("tie", pa.int64()), ("event_id", pa.string())])
+#: Rows in one value of the state.
+BLOCK_ROWS = 2_000
 #: Stored totals; a repeated micro-batch finds that of the one before it.
 TOTALS = 8
 
 
 class HoldRows(StatefulProcessor):
-    """Keeps the rows of a time slot until the watermark has passed its end, then hands them out once."""
+    """Keeps the rows of a time slot until the watermark has passed its end, then hands them out once.
+
+    Rows go to the state and come back in Arrow blocks, not one by one, and no
+    more than a block of them is held here.
+    """
 
     def __init__(self, slot_ms: int) -> None:
         self.slot_ms = slot_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", _ROW)
+        self.blocks = handle.getListState("blocks", "block binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        known = self.rows.exists()
+        known = self.blocks.exists()
         for part in rows:
-            self.rows.appendList(list(part[["ts", "tie", "event_id"]].astype(object).where(part.notna(), None).itertuples(index=False, name=None)))
+            table = pa.Table.from_pandas(part[_BLOCK.names], _BLOCK, preserve_index=False).replace_schema_metadata()
+            blocks = [(b.serialize().to_pybytes(),) for b in table.to_batches(BLOCK_ROWS)]
+            if blocks:
+                self.blocks.appendList(blocks)
         if not known:
             # Every line of the slot is older than this moment.
             self.handle.registerTimer((key[0] + 1) * self.slot_ms)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = list(self.rows.get())
-        self.rows.clear()
-        yield pd.DataFrame({
-            "ts": pd.to_datetime([r[0] for r in held]), "tie": pd.array([r[1] for r in held], "Int64"),
-            "event_id": pd.array([r[2] for r in held], object),
-        })
+        for (block,) in self.blocks.get():
+            held = pa.ipc.read_record_batch(pa.py_buffer(block), _BLOCK)
+            yield held.to_pandas(types_mapper={pa.int64(): pd.Int64Dtype()}.get)
+        self.blocks.clear()
 
     def close(self) -> None:
         pass
@@ -101,8 +110,15 @@ def write_row_windows(
     ids = event_order(dict(templates))
 
     def store(batch: DataFrame, number: int) -> None:
-        if batch.isEmpty():
-            return
+        # Kept, since every action would go through the state again.
+        batch = batch.persist()
+        try:
+            if not batch.isEmpty():
+                number_lines(batch, number)
+        finally:
+            batch.unpersist()
+
+    def number_lines(batch: DataFrame, number: int) -> None:
         before = _lines_before(spark, path, number)
         placed = rank_in_time(batch, "ts", ["tie"])
         shares = placed.withColumn("window_no", F.expr(f"({before} + position - 1) DIV {size}")).groupBy("window_no").agg(

@@ -1,11 +1,13 @@
 import os
 import time
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from logloom import adapters as ad
+from logloom import catalog
 from logloom.operators.features import pivot_counts
 from logloom.operators.leaderboard import leaderboard
 from logloom.operators.traces import row_windows
@@ -55,6 +57,61 @@ def test_row_windows_over_out_of_order_batches_and_a_restart(spark, small, piece
     assert rw._lines_before(spark, out, 10**6) == total + 1
 
 
+def test_row_windows_go_through_the_state_once_in_blocks(spark, small, pieces, tmp_path, values, monkeypatch):
+    out, checkpoint, seen = (str(tmp_path / n) for n in ("out", "cp", "seen"))
+
+    class Noted(rw.HoldRows):
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            with open(seen, "a") as file:
+                file.write(f"{key}\n")
+            yield from super().handleExpiredTimer(key, timerValues, expiredTimerInfo)
+
+    monkeypatch.setattr(rw, "HoldRows", Noted)
+    run = lambda: rw.write_row_windows(
+        stream(spark, small, pieces), ad.TEMPLATES, 30, out, checkpoint, late="400 days", slot_seconds=864_000
+    ).awaitTermination()
+    run()
+    events = ad.table(spark, small, "events")
+    held = spark.read.format("statestore").option("stateVarName", "blocks").load(checkpoint)
+    # Ten-day slots, eight salts and six micro-batches.
+    assert held.count() <= 4 * 8 * 6 < events.count()
+    later = events.limit(1).withColumns({"ts": F.expr("ts + INTERVAL 800 DAY"), "event_id": F.lit(10**9)})
+    later.coalesce(1).write.mode("append").parquet(pieces)
+    run()
+    want = row_windows(ad.log_lines(events), ad.TEMPLATES, 30)
+    assert values(rw.read_row_windows(spark, out), "window_no", "lines", *T4) == values(want, "window_no", "lines", *T4)
+    with open(seen) as file:
+        keys = file.read().splitlines()
+    assert keys and len(keys) == len(set(keys))
+
+
+def test_held_blocks_keep_microseconds_and_nulls(spark, tmp_path, values, monkeypatch):
+    monkeypatch.setattr(rw, "BLOCK_ROWS", 3)
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    moment = datetime(2024, 1, 1, 0, 0, 0, 123_456)
+    rows = [(i if i else None, moment + timedelta(microseconds=i % 3), "Receiving block x src: a dest: b" if i % 2 else "none") for i in range(20)]
+    shape = "line_no long, ts timestamp, line string"
+    df = spark.createDataFrame(rows, shape)
+    df.coalesce(1).write.parquet(source)
+    spark.createDataFrame([(99, moment + timedelta(days=9), "none")], shape).coalesce(1).write.mode("append").parquet(source)
+    lines = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    settled = rw.settled_rows(lines, ad.TEMPLATES, "1 day")
+    jobs.start(spark, settled.writeStream.format("parquet").option("path", out), checkpoint).awaitTermination()
+    got = spark.read.schema(settled.schema).parquet(out)
+    want = [(t, n, "E5" if "Receiving" in x else None) for n, t, x in rows]
+    assert values(got, "ts", "tie", "event_id") == sorted(want, key=repr)
+
+
+def test_pieces_are_dealt_in_one_pass_to_several_files(spark, tmp_path):
+    spark.range(0, 4000, 1, 4).selectExpr("id AS event_id", "id % 500 AS block_id").write.parquet(str(tmp_path / "in"))
+    rows = spark.read.parquet(str(tmp_path / "in"))
+    for key, n in (("event_id", 4), ("block_id", 3)):
+        dealt = spark.read.parquet(catalog._pieces(spark, rows, key, n)).withColumn("file", F.input_file_name())
+        sizes = [r["count"] for r in dealt.groupBy("file").count().collect()]
+        assert len(sizes) == n * catalog.FILES and sum(sizes) == 4000 and max(sizes) < 4000 / n
+        assert dealt.select(key, "file").distinct().count() == dealt.select(key).distinct().count()
+
+
 @pytest.mark.parametrize("bucket", [None, "1 day"])
 def test_counts_are_read_from_the_state(spark, small, pieces, tmp_path, values, bucket):
     checkpoint = str(tmp_path / "cp")
