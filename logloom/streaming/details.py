@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from datetime import datetime, timedelta, timezone
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
@@ -16,41 +16,56 @@ from .board import clear_board, read_board, replace_board, update_board
 from .jobs import start
 
 
+_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+
+
+def _micros(moment: datetime | None) -> int:
+    if moment is None:
+        raise ValueError("a row without detected_at has no end")
+    return (moment.replace(tzinfo=moment.tzinfo or timezone.utc) - _EPOCH) // timedelta(microseconds=1)
+
+
 class KeepDetails(StatefulProcessor):
-    """The newest detail of a block, until its timer goes off; each change is handed on."""
+    """The newest detail of a block, until its timer goes off; each change is handed on.
+
+    There are many blocks with few rows each, so rows are taken as they come and
+    not made into a table per block.
+    """
 
     def __init__(self, columns: Sequence[str], kinds: str, seconds: int, wall_clock: bool) -> None:
+        # The time is the last column and held in microseconds.
         self.columns, self.kinds = list(columns), kinds
         self.length, self.wall_clock = seconds * 1000, wall_clock
+        self.out = Row("block_id", *columns, "live")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.detail = handle.getValueState("detail", f"{self.kinds}, ends long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.detail.get() if self.detail.exists() else None
-        best = None
-        for part in rows:
-            part = part.sort_values(["detected_at", "anomaly_score"], kind="stable")
-            row = part.iloc[-1]
-            if best is None or (row["detected_at"], row["anomaly_score"]) > (best["detected_at"], best["anomaly_score"]):
-                best = row
+        self.detail = handle.getValueState("detail", f"{self.kinds}, moment long, ends long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        best = place = None
+        for row in rows:
+            # A row without a score counts as the highest of its time.
+            score = row["anomaly_score"]
+            at = (_micros(row["detected_at"]), float("inf") if score is None else score)
+            if best is None or at >= place:
+                best, place = row, at
+        held = self.detail.get()
         values = [best[c] for c in self.columns]
-        moment = best["detected_at"]
-        if held is not None and (pd.Timestamp(held[self.columns.index("detected_at")]), held[self.columns.index("anomaly_score")]) >= (moment, best["anomaly_score"]):
-            return  # an older row changes nothing
-        ends = self.length + (timerValues.getCurrentProcessingTimeInMs() if self.wall_clock else int(moment.timestamp() * 1000))
         if held is not None:
+            score = held[-3]
+            if (held[-2], float("inf") if score is None else score) >= place:
+                return  # an older row changes nothing
             self.handle.deleteTimer(held[-1])
-        plain = [v.to_pydatetime() if isinstance(v, pd.Timestamp) else v.item() if hasattr(v, "item") else v for v in values]
-        self.detail.update((*plain, ends))
+        ends = self.length + (timerValues.getCurrentProcessingTimeInMs() if self.wall_clock else place[0] // 1000)
+        self.detail.update((*values[:-1], place[0], ends))
         self.handle.registerTimer(ends)
-        yield pd.DataFrame([[key[0], *values, True]], columns=["block_id", *self.columns, "live"])
+        yield self.out(key[0], *values, True)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         held = self.detail.get()
         self.detail.clear()
-        yield pd.DataFrame([[key[0], *held[:-1], False]], columns=["block_id", *self.columns, "live"])
+        yield self.out(key[0], *held[:-2], _EPOCH + timedelta(microseconds=held[-2]), False)
 
     def close(self) -> None:
         pass
@@ -75,8 +90,9 @@ def live_details(
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in columns)
     if late is not None:
         rows = rows.withWatermark("detected_at", late)
-    return rows.groupBy("block_id").transformWithStateInPandas(
-        KeepDetails(columns, kinds, seconds, late is None),
+    held = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in columns[:-1])
+    return rows.groupBy("block_id").transformWithState(
+        KeepDetails(columns, held, seconds, late is None),
         outputStructType=f"block_id string, {kinds}, live boolean",
         outputMode="update",
         timeMode="processingTime" if late is None else "eventTime",

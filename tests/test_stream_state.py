@@ -147,6 +147,32 @@ def test_details_expire_by_the_time_of_the_rows(spark, tmp_path, values, drop):
     assert [r[0] for r in values(leaderboard(rows, event_ids=["E5", "E7"]), "block_id")] == ["a", "b", "c", "d"]
 
 
+def test_a_block_keeps_its_newest_row_without_a_table_of_its_own():
+    state, timers = {}, []
+
+    class Handle:
+        get = staticmethod(lambda: state.get("held"))
+        clear = staticmethod(lambda: state.pop("held"))
+        getValueState = lambda self, name, schema: self
+        deleteTimer = staticmethod(timers.remove)
+        registerTimer = staticmethod(timers.append)
+
+        def update(self, value):
+            state["held"] = value
+
+    moment = lambda second: datetime(2024, 1, 1, 0, 0, second, 7, tzinfo=timezone.utc)
+    columns = ["E5", "anomaly_score", "detected_at"]
+    put_in = lambda *rows: list(keep.handleInputRows(("b",), iter([Row("block_id", *columns)("b", *r) for r in rows]), None))
+    keep = details.KeepDetails(columns, "E5 long, anomaly_score double", 10, False)
+    keep.init(Handle())
+    assert [tuple(r) for r in put_in((1, 0.5, moment(3)), (2, 0.9, moment(5)), (3, 0.7, moment(5)))] == [("b", 2, 0.9, moment(5), True)]
+    first = list(timers)
+    assert put_in((4, 0.8, moment(5)), (5, 1.0, moment(4))) == [] and timers == first
+    assert [tuple(r) for r in put_in((6, 0.6, moment(6)))] == [("b", 6, 0.6, moment(6), True)]
+    assert timers == [first[0] + 1000]
+    assert [tuple(r) for r in keep.handleExpiredTimer(("b",), None, None)] == [("b", 6, 0.6, moment(6), False)] and not state
+
+
 def test_details_expire_by_the_clock_without_any_row(spark, tmp_path):
     source, board, checkpoint = (str(tmp_path / n) for n in ("in", "board", "cp"))
     schema = put(spark, source, [("a", 1, 0), ("b", 2, 5)]).schema
