@@ -116,11 +116,12 @@ def split_files(spark: SparkSession, source: str | list[str], path: str, lines_p
     """Files of exactly ``lines_per_file`` lines in input order (the last may be shorter), in folders ``file_no=0, 1, ...``.
 
     The input files follow each other in order of their paths, however Spark
-    splits them for reading. One shuffle brings the lines of a file together.
+    splits them for reading. One shuffle brings the lines of a file together;
+    its number of tasks is fixed, for it is the files that take time, not their size.
     """
     placed = numbered(spark.read.text(source), "_line").withColumn("file_no", F.expr(f"_line DIV {int(lines_per_file)}"))
     (
-        placed.repartition("file_no")
+        placed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "file_no")
         .sortWithinPartitions("file_no", "_line")
         .select("value", "file_no")
         .write.mode("overwrite")

@@ -5,6 +5,7 @@ import pytest
 from logloom.schemas import event_order
 from logloom.sources import knowledge as kn
 from logloom.sources import logs, sinks, tables
+from logloom.sources.numbering import numbered
 
 IDS = ["E1", "E2"]
 
@@ -125,6 +126,18 @@ def test_files_of_exactly_n_lines_over_several_files_and_splits(spark, tmp_path)
     assert [int(v.split()[1]) for x in seen for v in x] == list(range(1000))
 
 
+def test_many_small_files_are_numbered_in_one_reading(spark, tmp_path, values):
+    os.makedirs(tmp_path / "in")
+    for i in range(40):
+        write(tmp_path / "in" / f"{i:02d}.log", "".join(f"{i} {j}\n" for j in range(i % 4)))
+    source = spark.read.text(str(tmp_path / "in"))
+    want = values(numbered(source, "n"), "value", "n")
+    got = numbered(source, "n", once=True)
+    assert len(want) == 60 and values(got, "value", "n") == want
+    assert 0 < len(got.inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert not [name for name in got.inputFiles() if name.endswith(".log")]
+
+
 def test_unmatched_lines_are_kept(spark, tmp_path):
     df = spark.createDataFrame([("a", "template"), ("b", "unknown")], "line string, match_type string")
     for _ in range(2):
