@@ -32,7 +32,7 @@ class HoldRows(StatefulProcessor):
     """
 
     def __init__(self, slot_ms: int) -> None:
-        self.slot_ms = slot_ms
+        self.slot_ms, self.block_rows = slot_ms, BLOCK_ROWS
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -42,7 +42,7 @@ class HoldRows(StatefulProcessor):
         known = self.blocks.exists()
         for part in rows:
             table = pa.Table.from_pandas(part[_BLOCK.names], _BLOCK, preserve_index=False).replace_schema_metadata()
-            blocks = [(b.serialize().to_pybytes(),) for b in table.to_batches(BLOCK_ROWS)]
+            blocks = [(b.serialize().to_pybytes(),) for b in table.to_batches(self.block_rows)]
             if blocks:
                 self.blocks.appendList(blocks)
         if not known:

@@ -85,11 +85,13 @@ def test_row_windows_go_through_the_state_once_in_blocks(spark, small, pieces, t
     assert keys and len(keys) == len(set(keys))
 
 
-def test_held_blocks_keep_microseconds_and_nulls(spark, tmp_path, values, monkeypatch):
-    monkeypatch.setattr(rw, "BLOCK_ROWS", 3)
+@pytest.mark.parametrize(("n", "block"), [(20, 3), (6000, 1)])
+def test_held_blocks_keep_microseconds_and_nulls(spark, tmp_path, values, monkeypatch, n, block):
+    # The state hands out 500 blocks at a time.
+    monkeypatch.setattr(rw, "BLOCK_ROWS", block)
     source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "cp"))
     moment = datetime(2024, 1, 1, 0, 0, 0, 123_456)
-    rows = [(i if i else None, moment + timedelta(microseconds=i % 3), "Receiving block x src: a dest: b" if i % 2 else "none") for i in range(20)]
+    rows = [(i if i else None, moment + timedelta(microseconds=i % 3), "Receiving block x src: a dest: b" if i % 2 else "none") for i in range(n)]
     shape = "line_no long, ts timestamp, line string"
     df = spark.createDataFrame(rows, shape)
     df.coalesce(1).write.parquet(source)
@@ -97,8 +99,10 @@ def test_held_blocks_keep_microseconds_and_nulls(spark, tmp_path, values, monkey
     lines = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
     settled = rw.settled_rows(lines, ad.TEMPLATES, "1 day")
     jobs.start(spark, settled.writeStream.format("parquet").option("path", out), checkpoint).awaitTermination()
+    held = spark.read.format("statestore").option("stateVarName", "blocks").load(checkpoint, batchId=1)
+    assert held.count() > n / block
     got = spark.read.schema(settled.schema).parquet(out)
-    want = [(t, n, "E5" if "Receiving" in x else None) for n, t, x in rows]
+    want = [(t, i, "E5" if "Receiving" in x else None) for i, t, x in rows]
     assert values(got, "ts", "tie", "event_id") == sorted(want, key=repr)
 
 
