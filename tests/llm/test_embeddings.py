@@ -74,3 +74,58 @@ def test_labels_beyond_an_integer(spark):
     rows = [(1, [1.0, 0.0], 2**40), (2, [1.0, 0.001], 2**40), (3, [1.0, 0.0], 2**40 + 1)]
     got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long"))
     assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got.collect()) == [(1, 1, 1), (2, 1, 1), (3, 0, 3)]
+
+
+def test_copies_in_shards_go_in_waves(spark, group, monkeypatch):
+    """Many dimensions: most borders are near, and every vector asks in most shards."""
+    import os
+    from urllib.parse import urlparse
+
+    from logloom.llm import embeddings
+
+    for name, value in (("SHARD", 80), ("GRAPH", 60), ("PART", 100), ("TURN", 300), ("WAVE_LEAST", 0)):
+        monkeypatch.setattr(embeddings, name, value)
+    random = np.random.default_rng(12)
+    vectors = random.normal(size=(1500, 24))
+    vectors[1000:] = vectors[random.integers(0, 100, 500)] + random.normal(size=(500, 24)) * np.linspace(0.02, 0.2, 500)[:, None]
+    vectors = vectors.astype(np.float32)
+    rows = [(0, i, [float(x) for x in v], 1, 1, 1) for i, v in enumerate(vectors)]
+    unit = vectors.astype(float) / np.linalg.norm(vectors.astype(float), axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.98) & ~np.eye(len(unit), dtype=bool)
+    assert near.sum() > 2_000
+    whole = group(range(len(unit)), zip(*np.nonzero(near)))
+    written, before = [], embeddings.written_once
+
+    def spy(df, purpose):
+        out = before(df, purpose)
+        written.append((purpose, sum(os.path.getsize(urlparse(f).path) for f in out.inputFiles())))
+        return out
+
+    monkeypatch.setattr(embeddings, "written_once", spy)
+    got = {r["vec_id"]: r for r in near_vectors(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not [i for i in range(len(unit)) if got[i]["n_links"] != near[i].sum() or got[i]["component_id"] != whole[i]]
+    # The tables hold the vectors once (in floats, and ids and hashes), not once for each shard.
+    assert sum(size for _, size in written) < 3 * vectors.nbytes
+    assert sum(purpose == "links" for purpose, _ in written) > 3
+
+
+def test_sketches_lead_to_every_hit():
+    """Hits that no list leads to are found, and who has none is not searched for."""
+    import pyarrow as pa
+
+    from logloom.llm import embeddings
+
+    random = np.random.default_rng(6)
+    raw = random.normal(size=(600, 40))
+    raw[300:] = raw[:300] + 0.03 * random.normal(size=(300, 40)) * np.linspace(0, 10, 300)[:, None]
+    rows = pa.table({
+        "rep": np.arange(600), "copies": np.ones(600, np.int64), "dimension": pa.array([40] * 600, pa.int32()),
+        "embedding": pa.array(list(raw), pa.list_(pa.float64())),
+    })
+    unit = raw / np.linalg.norm(raw, axis=1, keepdims=True)
+    part = embeddings.Part(rows, embeddings.sketch_axes(unit), 100, 0.98)
+    part.lists = [np.zeros(0, np.int64)] * 600
+    near = (unit @ unit.T >= 0.98).sum(axis=1) - 1
+    assert (near > 0).sum() <= part.ask(rows.to_batches()[0]) < 600
+    found = {r["rep"]: r["n"] for r in part.answer().to_pylist() if r["n"] is not None}
+    assert found == {i: n for i, n in enumerate(near.tolist()) if n}
